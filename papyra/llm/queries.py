@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.near_dup import NearDuplicates
+from papyra.llm.vectors import SimilarVectors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "chunks").select("id", F.col("specter2_vec").alias("vector"), F.col("ingested_at").alias("ver"))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return SimilarVectors(_chunk_vectors(spark, d), k=5, min_similarity=0.9).neighbours()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    n = p1_neighbours(spark, d)
+    return n.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+
+
 def record_texts(spark: SparkSession, d: str) -> DataFrame:
     """kind, id, text, ver of papers.abstract and chunks.text."""
     p = _t(spark, d, "papers").select(F.lit("abstract").alias("kind"), "id", F.col("abstract").alias("text"), F.col("ingested_at").alias("ver"))
@@ -39,6 +53,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p7_found": p7_found,

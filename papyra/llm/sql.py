@@ -27,7 +27,16 @@ p AS (SELECT b.kind, b.a, b.b FROM b JOIN n p ON p.kind = b.kind AND p.id = b.a
       WHERE shared >= 0.5 * (p.n + q.n - shared))
 """
 
+_COSINE = """
+WITH d AS (SELECT id, specter2_vec::DOUBLE[] AS v FROM chunks WHERE id IS NOT NULL AND len(specter2_vec) = 64
+           AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN specter2_vec]) AND list_bool_or([x <> 0 FOR x IN specter2_vec])
+           QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1),
+s AS (SELECT x.id, y.id AS neighbour, least(1, list_cosine_similarity(x.v, y.v)) AS similarity FROM d x JOIN d y ON x.id <> y.id),
+n AS (SELECT id, neighbour, similarity, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 6) DESC, neighbour) AS rank FROM s WHERE similarity >= 0.9)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _COSINE + "SELECT DISTINCT least(id, neighbour) AS chunk_a, greatest(id, neighbour) AS chunk_b FROM n WHERE rank <= 5",
     "p3_found": _GRAMS + "SELECT kind, a AS id_a, b AS id_b FROM p",
     "p7_found": _RRF + "SELECT query_id, chunk_id FROM k WHERE rank <= 5",
     "p7_ranking": _RRF + "SELECT query_id, chunk_id, fused_score, rank FROM k",
