@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.fusion import candidate_scores, fuse_ranks
+from papyra.llm.leakage import leaked_spans
+from papyra.llm.mixture import Mixture
 from papyra.llm.near_dup import NearDuplicates
+from papyra.llm.splitting import split_oversized
 from papyra.llm.vectors import SimilarVectors
 
 
@@ -29,6 +32,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_t(spark, d, "chunks"), _t(spark, d, "chunking_configs"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).select("chunk_id").distinct()
+
+
 def record_texts(spark: SparkSession, d: str) -> DataFrame:
     """kind, id, text, ver of papers.abstract and chunks.text."""
     p = _t(spark, d, "papers").select(F.lit("abstract").alias("kind"), "id", F.col("abstract").alias("text"), F.col("ingested_at").alias("ver"))
@@ -52,11 +63,39 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_ranking(spark, d).where("rank <= 5").select("query_id", "chunk_id")
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_spans(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    """Human quality marks (1 to 5), where there are any, as sampling weights; others weigh as the middle mark."""
+    marks = _t(spark, d, "review_labels").where("quality is not null").select("doc_id", (F.col("quality") / 3.0).alias("weight"))
+    return Mixture(_t(spark, d, "documents"), _t(spark, d, "mix_targets"), marks)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).documents()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p7_found": p7_found,
     "p7_ranking": p7_ranking,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }

@@ -35,9 +35,20 @@ s AS (SELECT x.id, y.id AS neighbour, least(1, list_cosine_similarity(x.v, y.v))
 n AS (SELECT id, neighbour, similarity, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 6) DESC, neighbour) AS rank FROM s WHERE similarity >= 0.9)
 """
 
+_LEAKS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i+11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM w WHERE len(w) >= 12),
+e AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i+11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM v WHERE len(w) >= 12)
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _COSINE + "SELECT DISTINCT least(id, neighbour) AS chunk_a, greatest(id, neighbour) AS chunk_b FROM n WHERE rank <= 5",
+    "p2_found": r"""
+SELECT DISTINCT id AS chunk_id FROM chunks JOIN chunking_configs USING (config_id)
+WHERE len(regexp_extract_all(text, '[^\s\p{Z}]+')) > tokens_per_chunk""",
     "p3_found": _GRAMS + "SELECT kind, a AS id_a, b AS id_b FROM p",
     "p7_found": _RRF + "SELECT query_id, chunk_id FROM k WHERE rank <= 5",
+    "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
     "p7_ranking": _RRF + "SELECT query_id, chunk_id, fused_score, rank FROM k",
 }
