@@ -241,8 +241,8 @@ class NearDuplicates:
         pairs = scanned.where("hot is null").select("a", "b").distinct()
         named = reps.mapInArrow(_name, "kind string, id string, h long")
         sides = stage(pairs.select(F.explode(F.array("a", "b")).alias("h"), F.struct("a", "b").alias("pair")), "neardup-sides")
-        wanted = stage(named.join(small_side(sides.select("h").distinct()), "h").select("kind", "id", "h"), "neardup-wanted")
-        latest = self.texts.join(small_side(wanted), ["kind", "id"]).groupBy("kind", "id", "h").agg(F.max(F.struct("ver", "text")).alias("x")).select("kind", "id", "h", "x.text")
+        wanted = stage(named.join(sides.select("h").distinct(), "h").select("kind", "id", "h"), "neardup-wanted")
+        latest = self.texts.join(wanted, ["kind", "id"]).groupBy("kind", "id", "h").agg(F.max(F.struct("ver", "text")).alias("x")).select("kind", "id", "h", "x.text")
         met = sides.join(latest, "h").select(F.concat_ws("/", "kind", "pair.a", "pair.b").alias("pair"), "kind", "id", "text")
         found = met.repartition("pair").sortWithinPartitions("pair", "id").mapInArrow(_verify_pairs(self.width, self.threshold), LINKS)
         hot = scanned.where("hot is not null").select(F.col("hot").alias("tree_key"), F.col("a").alias("h")).distinct()
