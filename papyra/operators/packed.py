@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.operators.latest import latest_rows
@@ -32,6 +32,8 @@ _ITEM = re.compile(r"""\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^,]*?))\s
 _cut: dict[tuple[str, ...], re.Pattern] = {}
 
 BITS_PER_CHARACTER = 5.0
+#: of a shape in the code book
+BITS_PER_SIGN = 2.0
 
 
 def shape(value: str) -> str:
@@ -40,7 +42,7 @@ def shape(value: str) -> str:
     def one(m: re.Match) -> str:
         w = m.group()
         if w.isspace():
-            return " "
+            return "\n" if "\n" in w else "\t" if "\t" in w else " "
         if w.isdigit():
             return "9"
         if len(w) == 1:
@@ -104,6 +106,12 @@ def parses(text: str) -> Iterator[tuple[str, list[str], float]]:
             raw, cuts = _cut_by(s, names, q) if names else ([s], 0)
             vals = [_unquote(v) if q else v.strip() for v in raw]
             yield "+".join(names) + (" quoted" if q else ""), [v for v in vals if v], cuts * math.log2(max(1, len(names)))
+        if "comma" in present and not q:
+            # every other comma stands within a name written surname first
+            rest = [n for n in present if n in ("and", "ampersand")]
+            parts = [v for v in (v.strip() for v in _cut_by(s, ("comma", *rest), q)[0]) if v]
+            if len(parts) > 2 and len(parts) % 2 == 0:
+                yield "comma pairs", [f"{a}, {b}" for a, b in zip(parts[::2], parts[1::2])], 0.0
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,38 +130,45 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())))], ["rec_id", "field", "dialect", "bits", "vals", "shapes"])
 
 
-def _code_lengths(parsed: DataFrame, what: str) -> DataFrame:
-    """(field, x, n, total): weighted count of each value or shape, and of all in the field."""
-    n = parsed.select("field", "weight", F.explode(what).alias("x")).groupBy("field", "x").agg(F.sum("weight").alias("n"))
-    return n.withColumn("total", F.sum("n").over(Window.partitionBy("field")))
+def _counts(weighted: DataFrame, what: str, name: str) -> DataFrame:
+    """(field, name, n): weighted count of each value or shape in its field."""
+    return weighted.select("field", "weight", F.explode(what).alias(name)).groupBy("field", name).agg(F.sum("weight").alias(f"n_{name}"))
 
 
-#: a value taking more than this part of its field is joined by broadcast: there are at most so many per field
-FREQUENT = 1 / 2000
+def _vocabulary(fields: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(field, v, s, spelt): every distinct value of any parse, its shape, and the bits that spell its words.
+
+    A word costs by its frequency in the column's raw text, whatever the dialect."""
+    word = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    counts = fields.select("field", F.explode(word("text")).alias("w")).groupBy("field", "w").agg(F.count("*").alias("n"))
+    total = counts.groupBy("field").agg(F.sum("n").alias("t"))
+    bits = counts.join(F.broadcast(total), "field").select("field", "w", F.log2(F.col("t") / F.col("n")).alias("bits"))
+    values = parsed.select("field", F.explode(F.arrays_zip(F.col("vals").alias("v"), F.col("shapes").alias("s"))).alias("z")).select("field", "z.v", "z.s").distinct()
+    spelt = values.select("field", "v", F.explode(word("v")).alias("w")).join(bits, ["field", "w"]).groupBy("field", "v").agg(F.sum("bits").alias("spelt"))
+    return values.join(spelt, ["field", "v"], "left").fillna({"spelt": 0.0})
 
 
-def _with_counts(rows: DataFrame, counts: DataFrame, key: str, name: str) -> DataFrame:
-    """Join each row's value with its count; frequent values by broadcast, whose number is bounded, the rest by shuffle."""
-    common = counts.where(F.col("n") > F.col("total") * FREQUENT).select("field", F.col("x").alias(key), F.col("n").alias(f"c_{name}"))
-    rare = counts.where(F.col("n") <= F.col("total") * FREQUENT).select("field", F.col("x").alias(key), F.col("n").alias(f"r_{name}"))
-    out = rows.join(F.broadcast(common), ["field", key], "left")
-    found, rest = out.where(F.col(f"c_{name}").isNotNull()), out.where(F.col(f"c_{name}").isNull()).drop(f"c_{name}")
-    return found.unionByName(rest.join(rare, ["field", key], "left").withColumnRenamed(f"r_{name}", f"c_{name}"))
+#: a value taking more than this part of its field is joined by broadcast: there are at most so many per field
+FREQUENT = 1 / 2000
 
 
-def _choose(parsed: DataFrame, weighted: DataFrame) -> DataFrame:
+def _choose(parsed: DataFrame, weighted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The cheapest parse of each field under the code lengths that ``weighted`` implies: (rec_id, field, dialect)."""
-    values, shapes = stage(_code_lengths(weighted, "vals"), "packed-values"), stage(_code_lengths(weighted, "shapes"), "packed-shapes")
+    values, shapes = _counts(weighted, "vals", "v"), _counts(weighted, "shapes", "s")
     dialects = weighted.groupBy("field", "dialect").agg(F.sum("weight").alias("nd"))
-    totals = values.groupBy("field").agg(F.max("total").alias("total"))
-    fields = dialects.groupBy("field").agg(F.sum("nd").alias("td")).join(totals, "field", "left")
-    rows = parsed.select("rec_id", "field", "dialect", F.explode(F.arrays_zip(F.col("vals").alias("v"), F.col("shapes").alias("s"))).alias("z")).select("rec_id", "field", "dialect", "z.v", "z.s")
-    rows = _with_counts(_with_counts(rows, values, "v", "v"), shapes, "s", "s").join(F.broadcast(fields.select("field", "total")), "field", "left")
-    total = F.greatest(F.coalesce("total", F.lit(1.0)), F.lit(1.0))
-    spell = F.length("v") * BITS_PER_CHARACTER
-    by_value = F.log2((total + 1) / F.col("c_v")) + spell / F.greatest(F.lit(1.0), F.col("c_v"))
-    by_shape = F.log2((total + 1) / (F.coalesce("c_s", F.lit(0.0)) + 0.05)) + spell
-    cost = rows.groupBy("rec_id", "field", "dialect").agg(F.sum(F.least(by_value, by_shape) + 1.0).alias("cost"))
+    fields = stage(weighted.groupBy("field").agg(F.sum("weight").alias("td"), F.greatest(F.lit(1.0), F.sum(F.col("weight") * F.size("vals"))).alias("total")), "packed-fields")
+    known = vocabulary.join(values, ["field", "v"], "left").join(shapes, ["field", "s"], "left").join(F.broadcast(fields.select("field", "total")), "field", "left")
+    total = F.coalesce("total", F.lit(1.0)) + 1
+    by_value = F.log2(total / F.col("n_v")) + F.length("v") * BITS_PER_CHARACTER / F.greatest(F.lit(1.0), F.col("n_v"))
+    n_s = F.coalesce("n_s", F.lit(0.0))
+    by_shape = F.log2(total / (n_s + 0.05)) + F.length("s") * BITS_PER_SIGN / F.greatest(F.lit(1.0), n_s) + F.col("spelt")
+    costs = stage(known.select("field", "v", (F.least(by_value, by_shape) + 1.0).alias("cost"), (F.col("n_v") > F.col("total") * FREQUENT).alias("common")), "packed-costs")
+    rows = parsed.select("rec_id", "field", "dialect", F.explode("vals").alias("v"))
+    # frequent values by broadcast, as their number is bounded; no other value is frequent enough to make a hot key
+    common = F.broadcast(costs.where("common").select("field", "v", F.col("cost").alias("c")))
+    tried = rows.join(common, ["field", "v"], "left")
+    rest = tried.where("c is null").drop("c").join(costs.where("common is null or not common").select("field", "v", F.col("cost").alias("c")), ["field", "v"])
+    cost = tried.where("c is not null").select(*rest.columns).unionByName(rest).groupBy("rec_id", "field", "dialect").agg(F.sum("c").alias("cost"))
     one = parsed.select("rec_id", "field", "dialect", "bits", F.size("vals").alias("k")).join(cost, ["rec_id", "field", "dialect"], "left")
     # at most a few hundred dialects a field, by their construction
     one = one.join(F.broadcast(dialects), ["field", "dialect"], "left").join(F.broadcast(fields.select("field", "td")), "field", "left")
@@ -171,12 +186,13 @@ def split_packed(fields: DataFrame, rounds: int = 3) -> DataFrame:
     """
     rows = fields.select("rec_id", "field", "text").where("rec_id is not null and field is not null and trim(text) <> ''").distinct()
     parsed = stage(rows.mapInArrow(_parse, "rec_id string, field string, dialect string, bits double, vals array<string>, shapes array<string>"), "packed-parses")
+    vocabulary = stage(_vocabulary(rows, parsed), "packed-vocabulary")
     # blanks are no evidence before values are known
     plain = parsed.where("dialect not like 'blank%'")
     share = plain.groupBy("rec_id", "field").agg((1.0 / F.count("*")).alias("weight"))
     weighted = plain.join(share, ["rec_id", "field"])
     for _ in range(rounds):
-        chosen = stage(_choose(parsed, weighted), "packed-chosen")
+        chosen = stage(_choose(parsed, weighted, vocabulary), "packed-chosen")
         weighted = parsed.join(chosen, ["rec_id", "field", "dialect"]).withColumn("weight", F.lit(1.0))
     out = weighted.select("rec_id", "field", F.posexplode("vals").alias("p", "val"))
     return out.select("rec_id", "field", (F.col("p") + 1).alias("pos"), "val")
