@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.leakage import leaked_spans
 from papyra.llm.mixture import Mixture
+from papyra.llm.names import link_names, name_pairs
 from papyra.llm.near_dup import NearDuplicates
 from papyra.llm.splitting import split_oversized
 from papyra.llm.vectors import SimilarVectors
+from papyra.operators.packed import packed_fields, split_packed
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -55,6 +57,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(record_texts(spark, d), threshold=0.5, width=3, min_words=30).groups()
 
 
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    packed = packed_fields(_t(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at")
+    return link_names(split_packed(packed).where("field = 'authors'").select(F.col("val").alias("name")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(p6_entities(spark, d))
+
+
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fuse_ranks(candidate_scores(_t(spark, d, "candidates")), "query_id", "chunk_id")
 
@@ -92,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p6_entities": p6_entities,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_ranking": p7_ranking,
     "p8_found": p8_found,
