@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,17 @@ def build_session(app: str = "papyra", master: str | None = None, **conf: str) -
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors once per application, so that workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_papyra_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="papyra-src-")) / "papyra_source.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._papyra_shipped = True
