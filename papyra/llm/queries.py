@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm.abuse import AbuseScores
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.leakage import leaked_spans
 from papyra.llm.mixture import Mixture
@@ -96,6 +97,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
+def _abuse(spark: SparkSession, d: str) -> AbuseScores:
+    return AbuseScores(_t(spark, d, "documents"), _t(spark, d, "review_labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).scores
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).scores.where("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).rates()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -111,4 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_spans": p8_spans,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
