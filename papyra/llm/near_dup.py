@@ -21,6 +21,9 @@ from papyra.operators.components import connected_components
 from papyra.storage import small_side, stage
 
 FULL_DEPTH = 6
+#: keys and handles keep so many bits, so that the rows sorted by them shuffle in few bytes. Where two share the rest, some
+#: more candidates are verified; none is lost
+SHORT = np.uint64(2**44 - 1)
 
 
 def prefix_depth(threshold: float, trees: int, target_recall: float, deepest: int = FULL_DEPTH) -> int:
@@ -51,7 +54,7 @@ def forest_keys(flat: np.ndarray, starts: np.ndarray, trees: int, depth: int) ->
             k = (k ^ np.minimum.reduceat(v, starts).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             k ^= k >> np.uint64(29)
         keys[:, t] = k
-    return keys.view(np.int64)
+    return (keys & SHORT).view(np.int64)
 
 
 def _signer(width: int, min_words: int, trees: int, depth: int):
@@ -76,7 +79,7 @@ def _signer(width: int, min_words: int, trees: int, depth: int):
 
 
 def _handle(kind: str, i: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}\x00{i}") - 2**63
+    return xxhash.xxh64_intdigest(f"{kind}\x00{i}") & int(SHORT)
 
 
 def _exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +89,7 @@ def _exploder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.array([_handle(k, i) for k, i in zip(kind, ids)], np.int64)
             keys = np.stack([np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()])
             # kinds never meet: a key of one kind differs from the same key of another
-            salt = {k: xxhash.xxh64_intdigest(k) & (2**62 - 1) for k in set(kind)}
+            salt = {k: xxhash.xxh64_intdigest(k) & int(SHORT) for k in set(kind)}
             keys = keys ^ np.array([salt[k] for k in kind], np.int64)[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h, keys.shape[1]))], ["key", "h"])
 
@@ -228,13 +231,14 @@ class NearDuplicates:
         now = self.signed.groupBy("kind", "id").agg(F.max(F.struct("ver", "fp")).alias("x"), F.count("*").alias("deliveries")).select("kind", "id", "x.fp", "deliveries")
         classes = now.groupBy("kind", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         #: every id with its class: the smallest id with the same set of shingles
-        self.members = stage(now.join(classes, ["kind", "fp"]).select("kind", "id", "rep", "copies", "fp"), "neardup-members")
+        self.members = stage(now.join(classes, ["kind", "fp"]).select("kind", "id", "rep", "copies", "fp", "deliveries"), "neardup-members")
 
     def links(self) -> DataFrame:
         """``(kind, a, b, similarity)``, a < b: every found pair of class representatives at or over the threshold."""
         reps = self.members.where("id = rep").select("kind", "id", "fp")
         spare = self.signed.select("kind", "id", "fp").join(small_side(self.members.where("copies > 1")).select("kind", "id", "rep", "fp"), ["kind", "id", "fp"]).where("id <> rep").select("kind", "id", "fp").distinct()
-        stale = self.signed.select("kind", "id").groupBy("kind", "id").count().where("count > 1").join(self.signed.select("kind", "id", "fp"), ["kind", "id"]).select("kind", "id", "fp").distinct().join(self.members.select("kind", "id", "fp"), ["kind", "id", "fp"], "left_anti")
+        again = self.members.where("deliveries > 1").select("kind", "id", F.col("fp").alias("now"))
+        stale = self.signed.select("kind", "id", "fp").join(small_side(again), ["kind", "id"]).where("fp <> now").select("kind", "id", "fp")
         out = stage(spare.unionByName(stale).distinct(), "neardup-left-out")
         rows = self.signed.join(small_side(out), ["kind", "id", "fp"], "left_anti").select("kind", "id", "keys").mapInArrow(_exploder, "key long, h long")
         scanned = stage(rows.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_pairs_of_runs(self.node_rows), "a long, b long, hot long"), "neardup-candidates")
@@ -255,9 +259,10 @@ class NearDuplicates:
         size = hot.groupBy("tree_key").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("nb"))
         rows = hot.join(size, "tree_key").withColumn("blk", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
         rows = rows.select("tree_key", "h", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("tree_key", "h", "blk", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"))
-        ids = named.join(hot.select("h").distinct(), "h")
-        latest = self.texts.join(ids, ["kind", "id"]).groupBy("kind", "id", "h").agg(F.max(F.struct("ver", "text")).alias("x")).select("kind", "id", "h", "x.text")
-        keys = self.members.where("id = rep").select("kind", "id", "fp").join(self.signed.select("kind", "id", "fp", "keys"), ["kind", "id", "fp"]).dropDuplicates(["kind", "id"]).drop("fp")
+        ids = stage(named.join(hot.select("h").distinct(), "h").select("kind", "id", "h"), "neardup-hot-ids")
+        latest = self.texts.join(small_side(ids), ["kind", "id"]).groupBy("kind", "id", "h").agg(F.max(F.struct("ver", "text")).alias("x")).select("kind", "id", "h", "x.text")
+        fps = stage(self.members.join(small_side(ids.select("kind", "id")), ["kind", "id"]).select("kind", "id", "fp"), "neardup-hot-prints")
+        keys = self.signed.select("kind", "id", "fp", "keys").join(small_side(fps), ["kind", "id", "fp"]).dropDuplicates(["kind", "id"]).drop("fp")
         full = rows.join(latest.join(keys, ["kind", "id"]), "h")
         return full.groupBy("tree_key", "bi", "bj", "kind").applyInArrow(_verify_block(self.width, self.threshold), LINKS)
 
