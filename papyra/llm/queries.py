@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyra.llm.abuse import AbuseScores
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.leakage import leaked_spans
+from papyra.llm.markup import clean_markup
 from papyra.llm.mixture import Mixture
 from papyra.llm.names import link_names, name_pairs
 from papyra.llm.near_dup import NearDuplicates
@@ -58,6 +59,18 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(record_texts(spark, d), threshold=0.5, width=3, min_words=30).groups()
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    p, c = _t(spark, d, "papers"), _t(spark, d, "chunks")
+    fields = c.select(F.lit("chunks").alias("tab"), F.col("id").alias("rec_id"), F.lit("text").alias("field"), "text", F.col("ingested_at").alias("ver"))
+    for name in ("title", "abstract"):
+        fields = fields.unionByName(p.select(F.lit("papers").alias("tab"), F.col("id").alias("rec_id"), F.lit(name).alias("field"), F.col(name).alias("text"), F.col("ingested_at").alias("ver")))
+    return clean_markup(fields)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_clean(spark, d).select("tab", "rec_id", "field")
+
+
 def p6_entities(spark: SparkSession, d: str) -> DataFrame:
     packed = packed_fields(_t(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at")
     return link_names(split_packed(packed).where("field = 'authors'").select(F.col("val").alias("name")))
@@ -120,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
     "p6_entities": p6_entities,
     "p6_found": p6_found,
     "p7_found": p7_found,
