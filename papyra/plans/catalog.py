@@ -2,20 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from papyra.plans import chunk_queries, record_queries, retrieval_queries, text_queries  # noqa: F401  (they register themselves)
+from papyra.plans.registry import QUERIES, SQL
 
-from papyra.operators.packed import packed_fields, split_packed
-
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_packed(packed_fields(_t(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at"))
-
-
-QUERIES["p5_found"] = p5_found
+__all__ = ["QUERIES", "SQL"]
