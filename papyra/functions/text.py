@@ -54,29 +54,30 @@ def plain_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), 1)
 
 
+#: suffix, least length of a word it is taken from, letters dropped, ending put instead; the first that fits counts (fixed values)
+PLURAL_ENDINGS = [("ies", 5, 3, "y"), ("ses", 5, 2, ""), ("s", 4, 1, "")]
+ENDINGS = [("ies", 5, 3, "y"), ("ses", 5, 2, ""), ("ing", 6, 4, ""), ("ed", 5, 3, ""), ("ly", 5, 2, ""), ("er", 5, 2, ""), ("est", 6, 3, ""), ("s", 4, 1, "")]
+
+
+def _without_ending(w: Column, endings: list[tuple[str, int, int, str]]) -> Column:
+    out, n = None, F.length(w)
+    for suffix, least, drop, put in endings:
+        fits = w.endswith(suffix) & (n >= least)
+        if suffix == "s":
+            fits = fits & ~w.endswith("ss")
+        short = F.concat(F.substring(w, F.lit(1), n - drop), F.lit(put))
+        out = F.when(fits, short) if out is None else out.when(fits, short)
+    return out.otherwise(w)
+
+
 def lemma_plural(w: Column) -> Column:
-    """Light lemma: -ies to -y, -ses loses two letters, -s one (not -ss), for words longer than three letters."""
-    n = F.length(w)
-    return (
-        F.when((n > 3) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y")))
-        .when((n > 3) & w.endswith("ses"), F.substring(w, F.lit(1), n - 2))
-        .when((n > 3) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), n - 1))
-        .otherwise(w)
-    )
+    """Light lemma of a lower-case word: plural endings only."""
+    return _without_ending(w, PLURAL_ENDINGS)
 
 
 def lemma(w: Column) -> Column:
-    """Fuller lemma: -ing loses four letters and -ed three, when something is left; -ly, -est and -er go; else as plural."""
-    n = F.length(w)
-    return (
-        F.when((n > 3) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y")))
-        .when((n > 5) & w.endswith("ing"), F.substring(w, F.lit(1), n - 4))
-        .when((n > 4) & w.endswith("ed"), F.substring(w, F.lit(1), n - 3))
-        .when((n > 4) & w.endswith("ly"), F.substring(w, F.lit(1), n - 2))
-        .when((n > 5) & w.endswith("est"), F.substring(w, F.lit(1), n - 3))
-        .when((n > 4) & w.endswith("er"), F.substring(w, F.lit(1), n - 2))
-        .otherwise(lemma_plural(w))
-    )
+    """Fuller lemma of a lower-case word: plural, verb, adverb and comparison endings (-ing takes four letters, -ed three)."""
+    return _without_ending(w, ENDINGS)
 
 
 def strip_stop_words(c: Column) -> Column:

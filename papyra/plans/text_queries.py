@@ -25,7 +25,7 @@ def fn_tokens(spark, d):
 
 @query("fn_lemma_plural", r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]+')) AS w FROM documents)
-SELECT CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 3 AND w LIKE '%ses' THEN w[:-3]
+SELECT CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND w LIKE '%ses' THEN w[:-3]
             WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS lemma, count(*) AS n FROM w GROUP BY 1""")
 def fn_lemma_plural(spark, d):
     w = docs(spark, d).select(F.explode(T.keyword_tokens(F.col("text"))).alias("w"))
@@ -34,9 +34,9 @@ def fn_lemma_plural(spark, d):
 
 @query("fn_lemma", r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]+')) AS w FROM documents)
-SELECT CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-5] WHEN length(w) > 4 AND w LIKE '%ed' THEN w[:-4]
-            WHEN length(w) > 4 AND w LIKE '%ly' THEN w[:-3] WHEN length(w) > 5 AND w LIKE '%est' THEN w[:-4] WHEN length(w) > 4 AND w LIKE '%er' THEN w[:-3]
-            WHEN length(w) > 3 AND w LIKE '%ses' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS lemma, count(*) AS n FROM w GROUP BY 1""")
+SELECT CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND w LIKE '%ses' THEN w[:-3] WHEN length(w) > 5 AND w LIKE '%ing' THEN w[:-5]
+            WHEN length(w) > 4 AND w LIKE '%ed' THEN w[:-4] WHEN length(w) > 4 AND w LIKE '%ly' THEN w[:-3] WHEN length(w) > 4 AND w LIKE '%er' THEN w[:-3]
+            WHEN length(w) > 5 AND w LIKE '%est' THEN w[:-4] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END AS lemma, count(*) AS n FROM w GROUP BY 1""")
 def fn_lemma(spark, d):
     w = docs(spark, d).select(F.explode(T.keyword_tokens(F.col("text"))).alias("w"))
     return w.groupBy(T.lemma(F.col("w")).alias("lemma")).agg(F.count("*").alias("n"))
