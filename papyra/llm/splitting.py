@@ -17,23 +17,33 @@ from papyra.storage import small_side
 TOKEN = re.compile(r"\S+")
 SENTENCE_END = re.compile(r"[.!?…。][\"'’”)\]]*$")
 CLAUSE_END = re.compile(r"[,;:—)\]]$")
-_DIMS = 64
+_DIMS = 256
 
 
-def cohesion(tokens: list[str], block: int = 24) -> np.ndarray:
-    """For each gap before token i (1..n-1): cosine between the words of the ``block`` tokens before and after it."""
+def cohesion(tokens: list[str], block: int = 24, stretch: int = 8192) -> np.ndarray:
+    """For each gap before token i (1..n-1): cosine between the words of the ``block`` tokens before and after it.
+
+    Counts are held for ``stretch`` tokens at a time, so that memory doesn't grow with the text."""
     n = len(tokens)
-    bag = np.zeros((n + 1, _DIMS), np.float32)
+    where = np.full(n, -1)
     for i, t in enumerate(tokens):
         w = t.lower().strip(".,;:!?()[]\"'")
         if len(w) > 3:  # short words are mostly function words
-            bag[i + 1, xxhash.xxh32_intdigest(w) % _DIMS] += 1
-    total = np.cumsum(bag, axis=0)
-    at = np.arange(1, n)
-    left = total[at] - total[np.maximum(0, at - block)]
-    right = total[np.minimum(n, at + block)] - total[at]
-    norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-    return (left * right).sum(1) / np.maximum(norm, 1e-9)
+            where[i] = xxhash.xxh32_intdigest(w) % _DIMS
+    out = np.zeros(max(0, n - 1), np.float32)
+    for lo in range(1, n, stretch):
+        hi = min(n, lo + stretch)
+        a, b = max(0, lo - block), min(n, hi + block)
+        bag = np.zeros((b - a + 1, _DIMS), np.float32)
+        said = np.flatnonzero(where[a:b] >= 0)
+        bag[said + 1, where[a:b][said]] = 1
+        total = np.cumsum(bag, axis=0)
+        at = np.arange(lo, hi) - a
+        left = total[at] - total[np.maximum(0, at - block)]
+        right = total[np.minimum(b - a, at + block)] - total[at]
+        norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
+        out[lo - 1 : hi - 1] = (left * right).sum(1) / np.maximum(norm, 1e-9)
+    return out
 
 
 def depths(sim: np.ndarray) -> np.ndarray:
