@@ -34,6 +34,8 @@ _cut: dict[tuple[str, ...], re.Pattern] = {}
 BITS_PER_CHARACTER = 5.0
 #: of a shape in the code book
 BITS_PER_SIGN = 2.0
+#: of a quote or a delimiter that stands within a value
+BITS_PER_QUOTE, BITS_PER_DELIMITER = 8.0, 3.0
 
 
 def shape(value: str) -> str:
@@ -90,6 +92,11 @@ def _cut_by(text: str, names: tuple[str, ...], quoting: bool) -> tuple[list[str]
     return out, cuts
 
 
+def _signs(value: str) -> float:
+    """Bits for signs that a value holds as content though they usually delimit or quote; no code book makes them free."""
+    return BITS_PER_QUOTE * value.count('"') + BITS_PER_DELIMITER * sum(len(p.findall(value)) for n, p in _PRESENT.items() if n != "comma")
+
+
 def parses(text: str) -> Iterator[tuple[str, list[str], float]]:
     """Every dialect that fits ``text``: its name, the values it gives, and the bits spent on delimiters."""
     s = text.strip()
@@ -105,7 +112,8 @@ def parses(text: str) -> Iterator[tuple[str, list[str], float]]:
         for names in sets:
             raw, cuts = _cut_by(s, names, q) if names else ([s], 0)
             vals = [_unquote(v) if q else v.strip() for v in raw]
-            yield "+".join(names) + (" quoted" if q else ""), [v for v in vals if v], cuts * math.log2(max(1, len(names)))
+            vals = [v for v in vals if v]
+            yield "+".join(names) + (" quoted" if q else ""), vals, cuts * math.log2(max(1, len(names))) + sum(map(_signs, vals))
         if "comma" in present and not q:
             # every other comma stands within a name written surname first
             rest = [n for n in present if n in ("and", "ampersand")]
