@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +141,11 @@ def near(a: str, b: str, least: float = 0.8) -> bool:
     return min(len(a), len(b)) >= 5 and one_edit(a, b) and jaro_winkler(a, b) >= least
 
 
-def _canon(word: str) -> set[str]:
-    return {word} | _FULL.get(word, set())
+@lru_cache(maxsize=100_000)
+def _canon(word: str) -> frozenset[str]:
+    """The names a typed given name may stand for: itself, what it is short for, or a known name one slip away."""
+    slips = set() if len(word) < 5 or word in NICKNAMES or word in _FULL else {n for n in NICKNAMES if abs(len(n) - len(word)) < 2 and near(word, n)}
+    return frozenset({word} | _FULL.get(word, set()) | slips)
 
 
 def given_match(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
@@ -154,9 +158,9 @@ def given_match(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
         if p != q and (p[0] != q[0] if 1 in (len(p), len(q)) else not near(p, q)):
             return None
     if len(x) > 1 and len(y) > 1:
-        if _canon(x) & _canon(y):
+        if x == y or ({x} | _FULL.get(x, set())) & ({y} | _FULL.get(y, set())):
             return "full"
-        return "slip" if near(x, y) else None
+        return "slip" if _canon(x) & _canon(y) or near(x, y) else None
     if len(x) == 1 and len(y) == 1:
         return "letters" if x == y else None
     letter, word = (x, y) if len(x) == 1 else (y, x)
