@@ -21,6 +21,8 @@ from papyra.storage import small_side, stage
 
 #: how far a table look-up may fall below the exact similarity before a neighbour at the floor is missed
 SLACK = 0.2
+#: table scores nearer than this to the k-th best are not taken as ordered
+MARGIN = 0.12
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
@@ -128,6 +130,16 @@ def _probes(index, probes: int):
     return run
 
 
+def _crowded(x, rows, have, s, least, k, floor, qi, xi, sims):
+    """Exact similarities of these queries with every stored vector whose table score reaches ``least``; the k best are added."""
+    exact = x[rows].astype(np.float64) @ x[have].T.astype(np.float64)
+    exact[(s.T < least[:, None]) | (have[None, :] == rows[:, None]) | (exact < floor)] = -2
+    top = np.argpartition(-exact, min(k, len(have)) - 1, axis=1)[:, :k]
+    e = np.take_along_axis(exact, top, 1)
+    ok = e > -1.5
+    return [*qi, np.repeat(rows, top.shape[1]).reshape(top.shape)[ok]], [*xi, have[top][ok]], [*sims, e[ok]]
+
+
 def _search(index, k: int, shortlist: int, floor: float):
     def run(t: pa.Table) -> pa.Table:
         ix = index.value
@@ -148,6 +160,13 @@ def _search(index, k: int, shortlist: int, floor: float):
                 rows, s = rows[near], s[:, near]
                 r = min(shortlist, len(have))
                 best = np.argpartition(-s, r - 1, axis=0)[:r].T if r < len(have) else np.tile(np.arange(len(have)), (len(rows), 1))
+                kth = -np.partition(-s, min(k, len(have)) - 1, axis=0)[min(k, len(have)) - 1]
+                crowd = (s >= np.maximum(kth - MARGIN, floor - SLACK)).sum(0) > r
+                if crowd.any():  # more lie too near to be told apart by tables than the shortlist holds: rerank all of these
+                    qi, xi, sims = _crowded(x, rows[crowd], have, s[:, crowd], np.maximum(kth - MARGIN, floor - SLACK)[crowd], k, floor, qi, xi, sims)
+                    rows, best = rows[~crowd], best[~crowd]
+                    if not len(rows):
+                        continue
                 exact = np.einsum("qd,qrd->qr", x[rows].astype(np.float64), x[have[best]].astype(np.float64))
                 exact[have[best] == rows[:, None]] = -2
                 exact = np.where(exact >= floor, exact, -2)

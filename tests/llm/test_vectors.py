@@ -49,6 +49,15 @@ def test_blocks_of_a_hot_cell_lose_nothing(frame):
     assert len(got & want) / len(want) > 0.98
 
 
+def test_a_crowd_of_near_vectors_is_reranked_whole(frame):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(1, 64)) + r.normal(scale=0.05, size=(150, 64)), r.normal(size=(150, 64))]).astype(np.float32)
+    df = frame([(str(i), v.tolist(), None, "x") for i, v in enumerate(x)], SCHEMA)
+    want = truth(x, 5, 0.9)
+    got = pairs(SimilarVectors(df, k=5, min_similarity=0.9).neighbours())
+    assert len(got & want) / len(want) > 0.98 and len(got - want) / len(got) < 0.02
+
+
 def test_unusable_equal_and_repeated_rows(frame):
     a, b = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62
     rows = [(f"c{i}", a, None, "x") for i in range(9)] + [("near", [1.0, 0.01] + [0.0] * 62, None, "x"), ("far", b, None, "x"), ("far", b, None, "x")]
