@@ -28,11 +28,11 @@ def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return SimilarVectors(_chunk_vectors(spark, d), k=5, min_similarity=0.9).neighbours()
+    return SimilarVectors(_chunk_vectors(spark, d), k=5).neighbours()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    n = p1_neighbours(spark, d)
+    n = SimilarVectors(_chunk_vectors(spark, d), k=5, min_similarity=0.9).neighbours()
     return n.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 

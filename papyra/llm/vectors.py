@@ -1,8 +1,9 @@
 """Most similar vectors for every vector: inverted file with product-quantised residuals.
 
 Vectors are assigned to coarse centroids; the residual to the centroid is quantised, one byte per subspace. Every distinct
-vector is sent to the few cells whose centroids lie nearest and, in each, scored against the cell's codes through asymmetric
+vector is sent to the cells whose centroids lie nearest and, in each, scored against the cell's codes through asymmetric
 distance tables (query against codewords). The best of that shortlist are reranked by exact cosine on the stored vectors.
+Neighbouring cells form a region; a vector travels once to each region that holds some of its cells.
 """
 
 from __future__ import annotations
@@ -63,20 +64,22 @@ def _merged(c: np.ndarray, x: np.ndarray, alike: float = 0.85) -> np.ndarray:
 
 @dataclass
 class IvfPq:
-    """Centroids (cells, dims) and codebooks (subspaces, codewords, dims / subspaces)."""
+    """Centroids (cells, dims), codebooks (subspaces, codewords, dims / subspaces), and the region of each cell."""
 
     centroids: np.ndarray
     books: np.ndarray
+    regions: np.ndarray
 
     @staticmethod
-    def fit(sample: np.ndarray, cells: int, subspaces: int, seed: int = 7) -> IvfPq:
+    def fit(sample: np.ndarray, cells: int, subspaces: int, seed: int = 7, regions: int = 1) -> IvfPq:
         x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
         cent = _merged(_kmeans(x, cells, 6, seed, spherical=True), x)
         rest = x - cent[(x @ cent.T).argmax(1)]
         w = x.shape[1] // subspaces
         pick = rest[np.random.default_rng(seed).permutation(len(rest))[:16384]]
         books = [_kmeans(pick[:, m * w : (m + 1) * w].copy(), 256, 6, seed + m) for m in range(subspaces)]
-        return IvfPq(cent, np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books]))
+        near = _kmeans(cent, regions, 6, seed, spherical=True)
+        return IvfPq(cent, np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books]), (cent @ near.T).argmax(1))
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """(rows, subspaces) uint8 codes of the residuals."""
@@ -126,8 +129,32 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(vals), np.float32).reshape(len(vals), -1)
 
 
+def probes_for(index: IvfPq, sample: np.ndarray, k: int, recall: float, asked: int = 1000) -> int:
+    """How many cells a vector must ask for this share of its k most similar vectors, by brute force in the sample.
+
+    In a sample neighbours lie farther off than among all vectors, so that the figure is rather too large."""
+    x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    home = np.concatenate([(x[lo : lo + 8192] @ index.centroids.T).argmax(1) for lo in range(0, len(x), 8192)])
+    places = []
+    pick = np.random.default_rng(11).permutation(len(x))[:asked]
+    for lo in range(0, len(pick), 250):
+        q = pick[lo : lo + 250]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -2
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        c = x[q] @ index.centroids.T
+        places.append((c[:, None, :] > np.take_along_axis(c, home[near], 1)[:, :, None]).sum(2).ravel())
+    places = np.sort(np.concatenate(places))
+    return int(places[math.ceil(recall * len(places)) - 1]) + 1
+
+
 def _probes(index, probes: int):
-    """Every vector to its ``probes`` nearest cells; the nearest is its home, where it is stored."""
+    """Every vector to the regions of its ``probes`` nearest cells; the nearest cell is its home, where it is stored.
+
+    ``cut`` is the similarity to the farthest centroid asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -138,10 +165,15 @@ def _probes(index, probes: int):
                 s = x @ ix.centroids.T
                 p = min(probes, s.shape[1])
                 near = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < s.shape[1] else np.tile(np.arange(p), (len(x), 1))
-                home = s.argmax(1)
-                rows = np.repeat(np.arange(len(x)), p)
-                cell = near.ravel().astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cell == home[rows]), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], ["cell", "home", "id", "v"])
+                cell = s.argmax(1)
+                region = np.sort(ix.regions[near], axis=1)
+                first = np.ones(region.shape, bool)
+                first[:, 1:] = region[:, 1:] != region[:, :-1]
+                rows = np.nonzero(first)[0]
+                region = region[first]
+                cut = np.take_along_axis(s, near, 1).min(1)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(region == ix.regions[cell][rows]), pa.array(cell[rows].astype(np.int32)), pa.array(cut[rows]), part.column(0).take(at), part.column(1).take(at)], ["region", "home", "cell", "cut", "num", "v"])
 
     return run
 
@@ -156,45 +188,60 @@ def _crowded(x, rows, have, s, least, k, floor, qi, xi, sims):
     return [*qi, np.repeat(rows, top.shape[1]).reshape(top.shape)[ok]], [*xi, have[top][ok]], [*sims, e[ok]]
 
 
+def _search_cell(ix, x, have, ask, cell, k, shortlist, floor, qi, xi, sims):
+    """Adds the k best of the vectors ``have``, all of one cell, for each of the queries ``ask``."""
+    codes = ix.encode(x[have], np.full(len(have), cell))
+    for lo in range(0, len(ask), 256):
+        rows = ask[lo : lo + 256]
+        s = ix.scores(x[rows], cell, codes)
+        near = (s >= floor - SLACK).any(0)  # queries with nothing near the floor need no reranking
+        if not near.any():
+            continue
+        rows, s = rows[near], s[:, near]
+        r = min(shortlist, len(have))
+        best = np.argpartition(-s, r - 1, axis=0)[:r].T if r < len(have) else np.tile(np.arange(len(have)), (len(rows), 1))
+        kth = -np.partition(-s, min(k, len(have)) - 1, axis=0)[min(k, len(have)) - 1]
+        crowd = (s >= np.maximum(kth - MARGIN, floor - SLACK)).sum(0) > r
+        if crowd.any():  # more lie too near to be told apart by tables than the shortlist holds: rerank all of these
+            qi, xi, sims = _crowded(x, rows[crowd], have, s[:, crowd], np.maximum(kth - MARGIN, floor - SLACK)[crowd], k, floor, qi, xi, sims)
+            rows, best = rows[~crowd], best[~crowd]
+            if not len(rows):
+                continue
+        exact = np.einsum("qd,qrd->qr", x[rows].astype(np.float64), x[have[best]].astype(np.float64))
+        exact[have[best] == rows[:, None]] = -2
+        exact = np.where(exact >= floor, exact, -2)
+        n = min(k, r)
+        top = np.argpartition(-exact, n - 1, axis=1)[:, :n] if n < r else np.tile(np.arange(r), (len(rows), 1))
+        e = np.take_along_axis(exact, top, 1)
+        ok = e > -1.5
+        qi = [*qi, np.repeat(rows, top.shape[1]).reshape(top.shape)[ok]]
+        xi = [*xi, have[np.take_along_axis(best, top, 1)][ok]]
+        sims = [*sims, e[ok]]
+    return qi, xi, sims
+
+
 def _search(index, k: int, shortlist: int, floor: float):
+    """The k best of one block of a region for each vector that asks there, over those of its cells that lie in the region."""
+
     def run(t: pa.Table) -> pa.Table:
         ix = index.value
-        cell, stored = t.column("cell")[0].as_py(), t.column("stored").to_numpy()
-        asks = t.column("asks").to_numpy()
-        ids = t.column("id").to_pylist()
+        region, stored, asks = t.column("region")[0].as_py(), t.column("stored").to_numpy(), t.column("asks").to_numpy()
+        num, home, cut = t.column("num").to_numpy(), t.column("cell").to_numpy(), t.column("cut").to_numpy()
         x = _matrix(t.column("v"))
         have, ask = np.flatnonzero(stored), np.flatnonzero(asks)
+        have = have[np.argsort(home[have], kind="stable")]
         qi, xi, sims = [], [], []
-        if len(have) and len(ask):
-            codes = ix.encode(x[have], np.full(len(have), cell))
-            for lo in range(0, len(ask), 256):
-                rows = ask[lo : lo + 256]
-                s = ix.scores(x[rows], cell, codes)
-                near = (s >= floor - SLACK).any(0)  # queries with nothing near the floor need no reranking
-                if not near.any():
-                    continue
-                rows, s = rows[near], s[:, near]
-                r = min(shortlist, len(have))
-                best = np.argpartition(-s, r - 1, axis=0)[:r].T if r < len(have) else np.tile(np.arange(len(have)), (len(rows), 1))
-                kth = -np.partition(-s, min(k, len(have)) - 1, axis=0)[min(k, len(have)) - 1]
-                crowd = (s >= np.maximum(kth - MARGIN, floor - SLACK)).sum(0) > r
-                if crowd.any():  # more lie too near to be told apart by tables than the shortlist holds: rerank all of these
-                    qi, xi, sims = _crowded(x, rows[crowd], have, s[:, crowd], np.maximum(kth - MARGIN, floor - SLACK)[crowd], k, floor, qi, xi, sims)
-                    rows, best = rows[~crowd], best[~crowd]
-                    if not len(rows):
-                        continue
-                exact = np.einsum("qd,qrd->qr", x[rows].astype(np.float64), x[have[best]].astype(np.float64))
-                exact[have[best] == rows[:, None]] = -2
-                exact = np.where(exact >= floor, exact, -2)
-                n = min(k, r)
-                top = np.argpartition(-exact, n - 1, axis=1)[:, :n] if n < r else np.tile(np.arange(r), (len(rows), 1))
-                e = np.take_along_axis(exact, top, 1)
-                ok = e > -1.5
-                qi.append(np.repeat(rows, top.shape[1]).reshape(top.shape)[ok])
-                xi.append(have[np.take_along_axis(best, top, 1)][ok])
-                sims.append(e[ok])
+        for cell in np.flatnonzero(ix.regions == region) if len(ask) else ():
+            own = have[slice(*np.searchsorted(home[have], [cell, cell + 1]))]
+            if len(own):
+                # 1e-5: the same product may round otherwise here than where the cells were chosen
+                who = ask[x[ask] @ ix.centroids[cell] >= cut[ask] - 1e-5]
+                a, b, c = _search_cell(ix, x, own, who, cell, k, shortlist, floor, [], [], [])
+                qi, xi, sims = qi + a, xi + b, sims + c
         q, y, s = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((qi, np.int64), (xi, np.int64), (sims, np.float64)))
-        return pa.table({"a": pa.array([ids[i] for i in q], pa.string()), "b": pa.array([ids[i] for i in y], pa.string()), "similarity": pa.array(s, pa.float64())})
+        order = np.lexsort((num[y], -s, q))
+        keep = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+        return pa.table({"a": pa.array(num[q[keep]]), "b": pa.array(num[y[keep]]), "similarity": pa.array(s[keep])})
 
     return run
 
@@ -207,16 +254,17 @@ class SimilarVectors:
     with a null id, take no part. Equal vectors are indexed once. Similarity is the cosine.
 
     ``min_similarity`` leaves out neighbours below it (-1: none). The index is fitted on at most ``sample_rows`` vectors,
-    drawn by hash of the id; every vector is indexed and searched.
+    drawn by hash of the id; every vector is indexed and searched. ``probes``: cells asked for each vector, by default (at
+    least 4) as many as ``recall`` takes, measured on the sample.
     """
 
-    def __init__(self, rows: DataFrame, k: int = 5, dims: int = 64, min_similarity: float = -1.0, probes: int = 4, shortlist: int = 40, subspaces: int = 16, sample_rows: int = 40_000, max_cells: int = 4096, block_rows: int = 3000):
-        self.k, self.dims, self.floor, self.probes, self.shortlist, self.block_rows = k, dims, min_similarity, probes, shortlist, block_rows
+    def __init__(self, rows: DataFrame, k: int = 5, dims: int = 64, min_similarity: float = -1.0, probes: int | None = None, shortlist: int = 40, subspaces: int = 16, sample_rows: int = 40_000, max_cells: int = 4096, block_rows: int = 32_000, recall: float = 0.9):
+        self.k, self.dims, self.floor, self.shortlist, self.block_rows = k, dims, min_similarity, shortlist, block_rows
         spark = rows.sparkSession
         raw = rows.select("id", "ver", "vector").where("id is not null and vector is not null")
         raw = raw.mapInArrow(_usable(dims), "id string, ver timestamp, v binary")
         w = Window.partitionBy("id").orderBy(F.desc_nulls_last("ver"), "v")
-        self.all = stage(raw.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "v"), "vectors")
+        self.all = stage(raw.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "v", F.monotonically_increasing_id().alias("num")), "vectors")
         # vectors held by several ids: map-side counts first, then the ids of those alone
         many = stage(self.all.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("rep")).where("copies > 1"), "vectors-equal")
         held = self.all.join(small_side(many), "v")
@@ -232,28 +280,38 @@ class SimilarVectors:
         if sample:
             x = np.frombuffer(b"".join(sample), np.float32).reshape(-1, dims)
             cells = max(1, min(max_cells, int(2 * math.sqrt(self.count)), len(x)))
-            self.index = spark.sparkContext.broadcast(IvfPq.fit(x, cells, subspaces))
+            # regions of half a block, so that few are cut
+            index = IvfPq.fit(x, cells, subspaces, regions=math.ceil(2 * self.count / block_rows))
+            self.index = spark.sparkContext.broadcast(index)
+            self.probes = probes or max(4, probes_for(index, x, k, recall))
 
     def _edges(self) -> DataFrame:
-        """(a, b, similarity) between distinct vectors: b among the k best found for a within one block of one cell."""
-        home = self.distinct.select("id", "v").mapInArrow(_probes(self.index, 1), "cell int, home boolean, id string, v binary")
-        size = home.groupBy("cell").count().select("cell", F.ceil(F.col("count") / self.block_rows).cast("int").alias("nb"))
-        sent = self.distinct.select("id", "v").mapInArrow(_probes(self.index, self.probes), "cell int, home boolean, id string, v binary")
-        # size: at most max_cells rows. A cell of many vectors is cut into nb blocks, and its queries into nb parts
-        cut = sent.join(F.broadcast(size), "cell").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("asking", F.pmod(F.xxhash64("id", F.lit(3)), F.col("nb")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("nb") - 1)
-        as_stored = F.when(F.col("home"), F.transform(every, lambda p: F.struct(F.col("mine").alias("block"), p.alias("part"), F.lit(True).alias("stored"), (p == F.col("asking")).alias("asks")))).otherwise(F.array().cast("array<struct<block:int,part:int,stored:boolean,asks:boolean>>"))
-        elsewhere = F.filter(every, lambda b: ~F.col("home") | (b != F.col("mine")))
+        """(a, b, similarity) between distinct vectors by number: b among the k best found for a within one block of one region."""
+        kinds = "region int, home boolean, cell int, cut float, num long, v binary"
+        home = self.distinct.select("num", "v").mapInArrow(_probes(self.index, 1), kinds)
+        blocks = F.ceil(F.col("count") / self.block_rows)
+        parts = F.greatest(blocks, F.ceil(F.col("count") * self.probes / (16 * self.block_rows)))
+        size = home.groupBy("region").count().select("region", blocks.cast("int").alias("nb"), parts.cast("int").alias("np"))
+        sent = self.distinct.select("num", "v").mapInArrow(_probes(self.index, self.probes), kinds)
+        # size: at most max_cells rows. A region of many vectors is cut into nb blocks, and its queries into np parts
+        cut = sent.join(F.broadcast(size), "region").withColumn("mine", F.pmod(F.xxhash64("num"), F.col("nb")).cast("int")).withColumn("asking", F.pmod(F.xxhash64("num", F.lit(3)), F.col("np")).cast("int"))
+        as_stored = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda p: F.struct(F.col("mine").alias("block"), p.alias("part"), F.lit(True).alias("stored"), (p == F.col("asking")).alias("asks")))).otherwise(F.array().cast("array<struct<block:int,part:int,stored:boolean,asks:boolean>>"))
+        elsewhere = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: ~F.col("home") | (b != F.col("mine")))
         as_query = F.transform(elsewhere, lambda b: F.struct(b.alias("block"), F.col("asking").alias("part"), F.lit(False).alias("stored"), F.lit(True).alias("asks")))
-        rows = cut.select("cell", "id", "v", F.explode(F.concat(as_stored, as_query)).alias("r")).select("cell", "r.*", "id", "v")
-        return rows.groupBy("cell", "block", "part").applyInArrow(_search(self.index, self.k, self.shortlist, self.floor), "a string, b string, similarity double")
+        rows = cut.select("region", "cell", "cut", "num", "v", F.explode(F.concat(as_stored, as_query)).alias("r")).select("region", "cell", "cut", "r.*", "num", "v")
+        return rows.groupBy("region", "block", "part").applyInArrow(_search(self.index, self.k, self.shortlist, self.floor), "a long, b long, similarity double")
 
     def neighbours(self) -> DataFrame:
         """``(id, neighbour, similarity, rank)``, best first, equal similarities by id. No usable vector: no rows."""
         k = self.k
         if self.count:
-            found = stage(self._edges(), "vectors-edges")
+            nearest = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+            found = stage(self._edges().withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"), "vectors-edges")
             both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+            both = both.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k)
+            names = small_side(self.distinct.select("num", "id"))
+            both = both.join(names.select(F.col("num").alias("b"), F.col("id").alias("to")), "b").join(names.select(F.col("num").alias("a"), "id"), "a")
+            both = both.select(F.col("id").alias("a"), F.col("to").alias("b"), "similarity")
         else:
             both = self.distinct.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
         heads = small_side(self.heads.select(F.col("rep").alias("b"), F.col("id").alias("other")))

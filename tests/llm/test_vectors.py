@@ -93,3 +93,22 @@ def test_latest_delivery_counts(spark):
     df = spark.sql(f"select 'p' id, {a} vector, timestamp'2024-01-01' ver union all select 'p', {b}, timestamp'2024-02-01' union all select 'q', {b}, timestamp'2024-01-01'")
     got = SimilarVectors(df, min_similarity=0.9).neighbours().select("id", F.round("similarity", 4).alias("s")).collect()
     assert sorted(tuple(r) for r in got) == [("p", 1.0), ("q", 1.0)]
+
+
+def test_every_vector_gets_its_neighbours_however_far(spark, tmp_path):
+    from papyra.llm.queries import p1_neighbours
+
+    x = np.random.default_rng(8).normal(size=(3000, 64)).astype(np.float32)
+    rows = [(f"{i:05d}", v.tolist(), None) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "id string, specter2_vec array<float>, ingested_at timestamp").coalesce(1).write.parquet(str(tmp_path / "chunks.parquet"))
+    got = p1_neighbours(spark, str(tmp_path)).collect()
+    assert len(got) == 5 * len(x) and max(r.similarity for r in got) < 0.9
+
+
+def test_recall_over_all_similarities_by_default_probes(frame):
+    r = np.random.default_rng(9)
+    x = (r.normal(size=(12, 64))[r.integers(0, 12, 4000)] + 2 * r.normal(size=(4000, 10)) @ r.normal(size=(10, 64)) / 3).astype(np.float32)
+    df = frame([(str(i), v.tolist(), None, "x") for i, v in enumerate(x)], SCHEMA)
+    want = truth(x, 5, -1)
+    got = pairs(SimilarVectors(df, k=5, block_rows=500).neighbours())
+    assert len(got & want) / len(want) > 0.9
