@@ -44,8 +44,8 @@ def chunk_search(chunks: DataFrame, queries: DataFrame, config: SearchConfig = S
     if config.bias:
         fused = fused.join(chunks.select("id", section_bias(F.col("section_title"), F.array_join("headings", " ")).alias("bias")), "id").withColumn("fused", F.round(F.col("fused") * F.col("bias"), 9)).drop("bias")
     if config.diversify:
-        top = L.top_per_query(fused, config.lexical + config.semantic, F.desc("fused"), "id").drop("rank")
-        top = top.join(chunks.select("id", F.array_distinct(tokens(F.lower("text"))).alias("tokens")), "id")
+        # every candidate: the lists, config.lexical or config.semantic long each, bound them
+        top = fused.join(chunks.select("id", F.array_distinct(tokens(F.lower("text"))).alias("tokens")), "id")
         return U.diversified(top, "long", config.mmr_weight, config.mmr_most).where(F.col("place") <= config.results).withColumnRenamed("place", "rank")
     return L.top_per_query(fused, config.results, F.desc("fused"), "id")
 
@@ -69,8 +69,11 @@ def post_filter(hits: DataFrame, year_min: int | None = None, year_max: int | No
 
 def paper_search(papers: DataFrame, queries: DataFrame, k: int = 15, fetch: int | None = None, strict_order: bool = False, **filters) -> DataFrame:
     """The k nearest papers of each query after filtering. ``papers``: id long, vector and the filters' columns; ``queries``: qid,
-    v. ``fetch`` rows a query are ranked before the filter. ``strict_order`` cuts to k before filtering, so that fewer may remain."""
-    depth = k if strict_order else max(fetch or max(k, 20), k)
+    v. With ``fetch`` so many rows a query are ranked before the filter, and ``strict_order`` cuts to k before filtering, so that
+    fewer may remain; else the filter comes first."""
+    if not strict_order and fetch is None:
+        return vector_topk(post_filter(papers, **filters).select("id", F.col("vector").alias("v")), queries, k, keep_self=True).join(papers.drop("vector"), "id")
+    depth = k if strict_order else max(fetch, k)
     near = vector_topk(papers.select("id", F.col("vector").alias("v")), queries, depth, keep_self=True)
     rows = post_filter(near.join(papers.drop("vector"), "id"), **filters)
     return L.top_per_query(rows.drop("rank"), k)

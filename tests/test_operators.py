@@ -209,6 +209,21 @@ def test_paper_search_filters_before_the_cut(spark):
     assert P.paper_search(p, q, k=1, year_min=2020, strict_order=True).count() == 0
 
 
+def test_paper_search_finds_matches_however_far(spark):
+    p = spark.createDataFrame([(i, [1.0, i / 100], "2021-01-01" if i >= 50 else "2019-01-01") for i in range(70)], "id long, vector array<float>, update_date string")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, v array<float>")
+    got = P.paper_search(p, q, k=15, year_min=2020).orderBy("rank").collect()
+    assert [r.id for r in got] == list(range(50, 65)) and [r["rank"] for r in got] == list(range(1, 16))
+    assert set(got[0].asDict()) == set(P.paper_search(p, q, k=1, fetch=70).first().asDict())
+
+
+def test_diversification_sees_every_list(spark):
+    chunks = spark.createDataFrame([(i, f"word{i}", "Method", ["Method"], [1.0, 0.0]) for i in range(6)], "id long, text string, section_title string, headings array<string>, vector array<float>")
+    q = spark.createDataFrame([(7, i, f"word{i}", None) for i in range(6)], "qid long, number int, text string, vector array<float>")
+    got = P.chunk_search(chunks, q, P.SearchConfig(lexical=1, semantic=1, results=6, diversify=True)).collect()
+    assert {r.id for r in got} == set(range(6))
+
+
 def test_parent_search(spark):
     c = spark.createDataFrame([(1, "p", [1.0, 0.0]), (2, "p", [0.8, 0.2]), (3, "q", [0.9, 0.0])], "id long, parent string, vector array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, v array<float>")
