@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.storage import stage
+from papyra.storage import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, label: str = "cc"
     cur = stage(e.where("u <> v").distinct(), label)
     before = None
     for _ in range(max_rounds):
-        cur = stage(_star(_star(cur, True), False), label)
+        last, cur = cur, stage(_star(_star(cur, True), False), label)
+        unstage(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break
