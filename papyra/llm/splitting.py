@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.operators.latest import latest_rows
+from papyra.operators.latest import latest_rows, without_superseded
 from papyra.storage import small_side
 
 TOKEN = re.compile(r"\S+")
@@ -58,7 +58,11 @@ def depths(sim: np.ndarray) -> np.ndarray:
 
 
 def cuts(text: str, spans: list[tuple[int, int]], limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Token ranges of the pieces."""
+    """Token ranges of the pieces: each ends at the deepest valley of its window.
+
+    Sentence and paragraph ends come first, clause ends where the window has none, any gap where it has neither. A window
+    runs from the first cut that leaves a new token to the limit; a piece under half of the limit costs depth in proportion,
+    so that a shallow early valley doesn't shorten pieces."""
     n = len(spans)
     if n <= limit:
         return [(0, n)]
@@ -73,22 +77,26 @@ def cuts(text: str, spans: list[tuple[int, int]], limit: int, overlap: int, leas
             pause[i] = 2
         elif CLAUSE_END.search(tokens[i - 1]):
             pause[i] = 1
-    strong = np.flatnonzero(pause >= 2)
-    valley = np.zeros(n + 1)
-    if len(strong):
-        valley[strong] = depths(cohesion(tokens)[strong - 1])
-    valley += 0.15 * (pause == 3)
+    similar = np.concatenate([[0.0], cohesion(tokens), [0.0]])
+    valleys: dict[int, np.ndarray] = {}
+
+    def valley(kind: int) -> np.ndarray:
+        """How deep each gap of at least this pause lies among its like."""
+        if kind not in valleys:
+            at = np.flatnonzero(pause[1:n] >= kind) + 1
+            valleys[kind] = np.zeros(n + 1)
+            valleys[kind][at] = depths(similar[at]) + 0.15 * (pause[at] == 3)
+        return valleys[kind]
+
     out, s = [], 0
     while n - s > limit:
         low, high = s + overlap + 1, s + limit
-        mid = max(low, s + limit // 2)
-        at = np.arange(mid, high + 1)
-        fit = at[(pause[at] >= 2) & ((n - at + overlap >= least) | (at == high))]
-        if len(fit):
-            e = int(fit[np.lexsort((-fit, -valley[fit]))[0]])
-        else:  # no sentence ends in the window's upper half: the last pause of the strongest kind, else the limit
-            at = np.arange(low, high + 1)
-            e = int(at[np.lexsort((-at, -pause[at]))[0]]) if pause[at].any() else high
+        at = np.arange(low, high + 1)
+        fit = at[(n - at + overlap >= least) | (at == high)]
+        kind = min(2, int(pause[fit].max()))
+        fit = fit[pause[fit] >= kind]
+        short = np.maximum(0.0, 1 - (fit - s) / max(1.0, limit / 2))
+        e = int(fit[np.lexsort((-fit, short - valley(kind)[fit]))[0]])
         out.append((s, e))
         s = e - overlap
     out.append((s, n))
@@ -116,18 +124,19 @@ def split_oversized(chunks: DataFrame, configs: DataFrame) -> DataFrame:
     """``(chunk_id, piece, text, token_count, char_start, char_end, section_title)``, pieces from 0, of every oversized text.
 
     Tokens are runs of non-whitespace characters; a text is oversized if it has more of them than its configuration's
-    ``tokens_per_chunk``. Each piece but the last ends at the deepest cohesion valley among the sentence and paragraph ends
-    in the upper half of its window, else at the strongest pause in it, else at the limit; the next piece starts
-    ``overlap_tokens`` before that end (at most the limit less one). Texts keep their inner white space.
+    ``tokens_per_chunk``. Each piece but the last ends at the deepest cohesion valley of its window: among sentence and
+    paragraph ends, else clause ends, else all gaps; the next piece starts ``overlap_tokens`` before that end (at most the
+    limit less one). Texts keep their inner white space.
 
     Texts at or under the limit, null or blank texts, null ids, and chunks without a known configuration or with a limit
     below 1 give no rows. A null or blank section title becomes the configuration's default. Of a chunk delivered several
-    times the latest oversized row counts. Other columns of the inputs are not read.
+    times the latest row counts, so that a newer short one leaves no pieces; of rows of equal time an oversized one counts
+    first. Other columns of the inputs are not read.
     """
     c = chunks.select("id", "text", "section_title", "config_id", "ingested_at").where("id is not null and text is not null")
     k = configs.select("config_id", F.col("tokens_per_chunk").alias("lim"), F.coalesce("overlap_tokens", F.lit(0)).alias("ov"), F.coalesce("min_chunk_tokens", F.lit(0)).alias("least"), "default_section_title").where("lim >= 1").dropDuplicates(["config_id"])
     # a text of more than n tokens has at least 2 n + 1 characters: settled before any text leaves the JVM
     rows = c.join(small_side(k), "config_id").where(F.length("text") > 2 * F.col("lim"))
-    rows = latest_rows(rows, ["id"], "ingested_at")
+    rows = latest_rows(without_superseded(rows, chunks, ["id"], "ingested_at"), ["id"], "ingested_at")
     title = F.coalesce(F.when(F.trim("section_title") != "", F.col("section_title")), "default_section_title")
     return rows.select("id", "text", title.alias("title"), "lim", F.greatest("ov", F.lit(0)).alias("ov"), "least").mapInArrow(_split, PIECES)

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 from papyra.llm.splitting import cuts, TOKEN, split_oversized
 
@@ -61,3 +62,16 @@ def test_pieces(frame):
 
 def test_empty(frame):
     assert split_oversized(frame([], CHUNKS), frame([], CONFIGS)).count() == 0
+
+
+def test_a_newer_short_delivery_leaves_no_pieces(frame):
+    rows = [("a", prose(100), "T", 1, datetime(2024, 1, 1), 5), ("a", "short now", "T", 1, datetime(2024, 2, 1), 5), ("b", "short before", "T", 1, datetime(2024, 1, 1), 5), ("b", prose(100), "T", 1, datetime(2024, 2, 1), 5)]
+    got = split_oversized(frame(rows, CHUNKS), frame([(1, 40, 8, 5, "Body", "c")], CONFIGS))
+    assert {r.chunk_id for r in got.collect()} == {"b"}
+
+
+def test_the_deepest_valley_counts_also_where_no_sentence_ends():
+    a, b = " ".join(f"alpha{i % 7} beta{i % 5}" for i in range(25)), " ".join(f"delta{i % 7} omega{i % 5}" for i in range(40))
+    text = a + " " + b
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    assert abs(cuts(text, spans, 80, 0, 10)[0][1] - 50) <= 2
