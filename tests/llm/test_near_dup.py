@@ -1,6 +1,6 @@
 import random
 
-from papyra.llm.near_dup import NearDuplicates, jaccard, prefix_depth
+from papyra.llm.near_dup import DEEPEST, NearDuplicates, found_share, jaccard, prefix_depth
 from papyra.llm.words import words
 
 SCHEMA = "kind string, id string, text string, ver timestamp, extra int"
@@ -35,7 +35,26 @@ def test_prefix_depth_reaches_the_target():
     for s in (0.5, 0.8):
         d = prefix_depth(s, 48, 0.95)
         assert 1 - (1 - s**d) ** 48 >= 0.95
-        assert d == 6 or 1 - (1 - s ** (d + 1)) ** 48 < 0.95
+        assert d == DEEPEST or found_share(s, d + 1, 48) < 0.95
+
+
+def test_prefixes_are_shortened_while_links_are_dissimilar(frame):
+    """Pairs near the limit make the walk go on with shorter prefixes, and their recall is that of the target."""
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    texts = []
+    for i in range(300):
+        base = [r.choice(vocabulary) for _ in range(100)]
+        t = list(base)
+        for k in r.sample(range(98), 10):
+            t[k] = r.choice(vocabulary)
+        texts += [" ".join(base), " ".join(t)]
+    df = frame([("k", f"d{i:04d}", t, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    g = [grams(t) for t in texts]
+    want = {(f"d{i:04d}", f"d{i + 1:04d}") for i in range(0, len(g), 2) if jaccard(g[i], g[i + 1]) >= 0.5}
+    assert len(want) > 60
+    got = {(x.id_a, x.id_b) for x in NearDuplicates(df, 0.5, 3, 30).pairs().collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
 
 
 def test_pairs_against_brute_force(frame):
@@ -62,6 +81,7 @@ def test_groups_copies_kinds_and_odd_rows(frame):
     rows += [("k", "n", None, None, 1), (None, "m", base, None, 1), ("k", None, base, None, 1), ("k", "s", "too short", None, 1), ("k", "b", "", None, 1), ("k", "long", "z " * 200_000, None, 1)]
     nd = NearDuplicates(frame(rows, SCHEMA), 0.5, 3, 30)
     got = {(r.kind, r.id): (r.class_id, r.group_id, r.links) for r in nd.groups().collect()}
+    assert {r.copies for r in nd.groups().where("class_id = 'c0'").collect()} == {4}
     assert got == {**{("k", f"c{i}"): ("c0", "c0", 1) for i in range(4)}, ("k", "e"): ("e", "c0", 1), ("other", "c9"): ("c9", "c9", 0), ("k", "long"): ("long", "long", 0)}
     assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == {(a, b) for a in ("c0", "c1", "c2", "c3") for b in ("c0", "c1", "c2", "c3", "e") if a < b}
     few = {(r.id_a, r.id_b) for r in nd.pairs(expand_copies=2).collect()}
