@@ -51,8 +51,8 @@ WHERE len(regexp_extract_all(text, '[^\s\p{Z}]+')) > tokens_per_chunk""",
     "p3_groups": _GRAMS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """,
 eq AS (SELECT b.kind, b.a, b.b FROM b JOIN n p ON p.kind = b.kind AND p.id = b.a JOIN n q ON q.kind = b.kind AND q.id = b.b WHERE shared = p.n AND shared = q.n),
 cls AS (SELECT n.kind, n.id, coalesce(least(n.id, min(eq.a)), n.id) AS class_id FROM n LEFT JOIN eq ON eq.kind = n.kind AND eq.b = n.id GROUP BY n.kind, n.id),
-l AS (SELECT p.kind, p.a, p.b FROM p JOIN cls x ON x.kind = p.kind AND x.id = p.a AND x.class_id = p.a JOIN cls y ON y.kind = p.kind AND y.id = p.b AND y.class_id = p.b),
-s AS (SELECT kind, a, b FROM l UNION ALL SELECT kind, b, a FROM l),
+lk AS (SELECT p.kind, p.a, p.b FROM p JOIN cls x ON x.kind = p.kind AND x.id = p.a AND x.class_id = p.a JOIN cls y ON y.kind = p.kind AND y.id = p.b AND y.class_id = p.b),
+s AS (SELECT kind, a, b FROM lk UNION ALL SELECT kind, b, a FROM lk),
 r AS (SELECT kind, id, id AS node FROM cls WHERE id = class_id UNION SELECT r.kind, r.id, s.b FROM r JOIN s ON s.kind = r.kind AND s.a = r.node),
 c AS (SELECT kind, id AS class_id, min(node) AS group_id FROM r GROUP BY ALL),
 k AS (SELECT kind, a AS class_id, count(*) AS links FROM s GROUP BY ALL),
