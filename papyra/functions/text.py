@@ -1,12 +1,18 @@
-"""Text functions: Column in, Column out, all evaluated in the JVM.
+"""Text functions: Column in, Column out, evaluated in the JVM (but for ``token_spans``).
 
 Patterns use ASCII classes, so that they mean the same to every SQL engine.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
+
+_TOKEN = re.compile(r"\S+")
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: short list of function words used where no larger one is configured
@@ -14,7 +20,17 @@ STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "to", "in", "on", "wit
 SECTION_PENALTIES = ["reference", "references", "bibliography", "acknowledgment", "acknowledgement", "supplement", "supplementary"]
 SECTION_BONUSES = ["abstract", "introduction", "background", "method", "methods", "approach", "model", "experiment", "results", "finding", "analysis", "discussion"]
 MODEL_NAME = r"\b([A-Z][A-Za-z0-9]*(?:Net|Former|BERT|GPT|GAN|LM|Transformer|Model|Network|System))\b"
-KEYWORD_TOKEN = r"([A-Za-z0-9][A-Za-z0-9\-]+)"
+NUMBERED_HEADING = r"^(?:[0-9]+(?:\.[0-9]+)*)\s+[^\d]+"
+HEADING_NUMBER = r"^([0-9]+(?:\.[0-9]+)*)\s"
+ENUMERATOR = r"(?:^|\n)\s*(?:[\-•\*]|[0-9]+[.)])"
+SENTENCE_BREAK = r"(?<=[.!?])\s+"
+CLOSED_SENTENCE = r"([^.!?]+[.!?]+)(?=\s|$)"
+KEYWORD_BREAK = r"[\n,;|]+"
+LIST_PREFIX = r"^\d+[).\s-]*"
+QUESTION_TOKEN = r"([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"
+#: function words an English index leaves out
+ENGLISH_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
+DEFAULT_SECTIONS = ["abstract", "introduction", "methods", "results", "discussion", "conclusion"]
 INTENT_CUES = {
     "architecture": ["architecture", "framework"],
     "framework": ["framework", "design"],
@@ -54,30 +70,66 @@ def plain_terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), 1)
 
 
-#: suffix, least length of a word it is taken from, letters dropped, ending put instead; the first that fits counts (fixed values)
-PLURAL_ENDINGS = [("ies", 5, 3, "y"), ("ses", 5, 2, ""), ("s", 4, 1, "")]
-ENDINGS = [("ies", 5, 3, "y"), ("ses", 5, 2, ""), ("ing", 6, 4, ""), ("ed", 5, 3, ""), ("ly", 5, 2, ""), ("er", 5, 2, ""), ("est", 6, 3, ""), ("s", 4, 1, "")]
-
-
-def _without_ending(w: Column, endings: list[tuple[str, int, int, str]]) -> Column:
-    out, n = None, F.length(w)
-    for suffix, least, drop, put in endings:
-        fits = w.endswith(suffix) & (n >= least)
-        if suffix == "s":
-            fits = fits & ~w.endswith("ss")
-        short = F.concat(F.substring(w, F.lit(1), n - drop), F.lit(put))
-        out = F.when(fits, short) if out is None else out.when(fits, short)
-    return out.otherwise(w)
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
 
 
 def lemma_plural(w: Column) -> Column:
-    """Light lemma of a lower-case word: plural endings only."""
-    return _without_ending(w, PLURAL_ENDINGS)
+    """Light lemma of a lower-case word, plural endings only: -ies (over 4 letters) becomes -y, -ses (over 4) loses two letters,
+    and -s (over 3, not -ss) one."""
+    n = F.length(w)
+    return (
+        F.when((n > 4) & w.endswith("ies"), F.concat(_cut(w, 3), F.lit("y")))
+        .when((n > 4) & w.endswith("ses"), _cut(w, 2))
+        .when((n > 3) & w.endswith("s") & ~w.endswith("ss"), _cut(w, 1))
+        .otherwise(w)
+    )
 
 
 def lemma(w: Column) -> Column:
-    """Fuller lemma of a lower-case word: plural, verb, adverb and comparison endings (-ing takes four letters, -ed three)."""
-    return _without_ending(w, ENDINGS)
+    """Fuller lemma of a lower-case word: after -ies and -ses, -ing (over 5 letters) takes four letters with it, -ed (over 4)
+    three, -ly and -er (over 4) two, -est (over 5) three, and -s as in ``lemma_plural``."""
+    n = F.length(w)
+    return (
+        F.when((n > 4) & (w.endswith("ies") | w.endswith("ses")), lemma_plural(w))
+        .when((n > 5) & w.endswith("ing"), _cut(w, 4))
+        .when((n > 4) & w.endswith("ed"), _cut(w, 3))
+        .when((n > 4) & (w.endswith("ly") | w.endswith("er")), _cut(w, 2))
+        .when((n > 5) & w.endswith("est"), _cut(w, 3))
+        .otherwise(lemma_plural(w))
+    )
+
+
+def analyzed(c: Column) -> Column:
+    """Terms as an English index holds them: runs of letters and digits in lower case, without stop words, plural endings cut.
+
+    Null for null; stop words are compared before the ending is cut."""
+    kept = F.filter(plain_terms(c), lambda w: ~w.isin(ENGLISH_STOP_WORDS))
+    return F.transform(kept, lemma_plural)
+
+
+def normalised_terms(c: Column, lemmatised: bool = True) -> Column:
+    """Keyword tokens of a text, each in its fuller lemma, or in lower case only."""
+    words = keyword_tokens(c)
+    return F.transform(words, lemma) if lemmatised else words
+
+
+def question_tokens(c: Column) -> Column:
+    """Words in lower case, with apostrophes and hyphens inside them."""
+    return F.regexp_extract_all(F.lower(c), F.lit(QUESTION_TOKEN), 1)
+
+
+def token_clean(c: Column, most_chars: int = 64, least_alpha: float = 0.35) -> Column:
+    """The token without punctuation at both ends, cut to the length allowed; null if it has neither letters enough nor a digit."""
+    s = F.substring(F.regexp_replace(c, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), 1, most_chars)
+    return F.when((s != "") & ((alpha_ratio(s) >= least_alpha) | s.rlike("[0-9]")), s)
+
+
+@F.pandas_udf(t.ArrayType(t.StructType([t.StructField("token", t.StringType()), t.StructField("start", t.IntegerType()), t.StructField("end", t.IntegerType())])))
+def token_spans(c: pd.Series) -> pd.Series:
+    """Runs of non-white-space with where they stand, ends exclusive. Null for null."""
+    one = lambda x: None if x is None else [{"token": m.group(), "start": m.start(), "end": m.end()} for m in _TOKEN.finditer(x)]
+    return c.map(one)
 
 
 def strip_stop_words(c: Column) -> Column:
@@ -88,14 +140,14 @@ def strip_stop_words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces ending in . ! or ? before white space, stripped, blank ones left out."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, SENTENCE_BREAK), strip), lambda s: s != "")
 
 
 def closed_sentences(c: Column) -> Column:
     """Stretches without . ! ? up to a closing run of them that white space or the end follows, and the unclosed rest.
 
     Text before a point within a number is lost: only what stands after it belongs to the stretch."""
-    closed = F.transform(F.regexp_extract_all(c, F.lit(r"([^.!?]+[.!?]+)(?=\s|$)"), 1), strip)
+    closed = F.transform(F.regexp_extract_all(c, F.lit(CLOSED_SENTENCE), 1), strip)
     rest = strip(F.regexp_extract(c, r"([^.!?]*)$", 1))
     return F.filter(F.concat(closed, F.array(rest)), lambda s: s != "")
 
@@ -112,7 +164,7 @@ def informative(c: Column) -> Column:
 
 
 def numbered_heading(line: Column) -> Column:
-    return line.rlike(r"^(?:[0-9]+(?:\.[0-9]+)*)\s+[^\d]+")
+    return line.rlike(NUMBERED_HEADING)
 
 
 def heading(line: Column) -> Column:
@@ -125,7 +177,7 @@ def heading(line: Column) -> Column:
 
 
 def heading_level(line: Column) -> Column:
-    number = F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\s", 1)
+    number = F.regexp_extract(line, HEADING_NUMBER, 1)
     return F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1).otherwise(F.lit(1))
 
 
@@ -150,7 +202,7 @@ def completeness(c: Column) -> Column:
     low = F.lower(s)
     last = F.regexp_extract(low, r"(\S+)$", 1)
     signs = [
-        s.rlike(r"(?:^|\n)\s*(?:[\-•\*]|[0-9]+[.)])"),
+        s.rlike(ENUMERATOR),
         s.rlike(r"^\p{Ll}"),
         ~s.rlike(r"[.?!]$"),
         low.contains("as above") | last.isin("these", "those", "following"),
@@ -170,7 +222,7 @@ def keyword_list(c: Column) -> Column:
     """Keywords of a JSON list, or of a text split at line breaks, commas, semicolons and bars; blank ones left out."""
     s = strip(c)
     listed = F.from_json(s, "array<string>")
-    parts = F.when(s.startswith("[") & s.endswith("]"), F.coalesce(listed, F.split(s, r"[\n,;|]+"))).otherwise(F.split(s, r"[\n,;|]+"))
+    parts = F.when(s.startswith("[") & s.endswith("]"), F.coalesce(listed, F.split(s, KEYWORD_BREAK))).otherwise(F.split(s, KEYWORD_BREAK))
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
@@ -183,10 +235,12 @@ def span_normalised(c: Column, most_tokens: int = 8, most_chars: int = 64, least
 
 
 def list_prefix_stripped(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"^\d+[).\s-]*", ""))
+    return strip(F.regexp_replace(c, LIST_PREFIX, ""))
 
 
 def shingles(terms: Column, n: int) -> Column:
     """Runs of ``n`` terms, joined by blanks."""
-    count = F.size(terms) - (n - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(terms, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    out = terms
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(terms, i + 1, F.greatest(F.lit(1), F.size(terms))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda x: x.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.records import in_field, year, year_between
-from papyra.functions.text import section_bias, tokens
+from papyra.functions.text import section_bias, strip_stop_words, tokens
 from papyra.operators import fusion as U
 from papyra.operators import lexical as L
 from papyra.operators.vector import vector_topk
@@ -34,10 +34,9 @@ def chunk_search(chunks: DataFrame, queries: DataFrame, config: SearchConfig = S
     """``(qid, id, fused, rank)`` of ``chunks(id long, text, section_title, headings, vector)`` for ``queries(qid, number, text,
     vector)``: each numbered query text is a lexical list of its own, the vector (equal for all of a qid) one more list."""
     terms = L.query_terms(queries.select(F.struct("qid", "number").alias("qid"), "text"))
-    found = L.bm25(chunks.select("id", "text"), terms)
-    if config.every_term:
-        found = L.all_terms(found, terms)
-    lexical = L.top_per_query(found, config.lexical).select("qid.qid", "id", F.concat(F.lit("lexical "), F.col("qid.number").cast("string")).alias("list"), "rank")
+    index = L.text_index(chunks.select("id", "text"), terms)
+    found = L.top_per_query(index.every(terms), config.lexical) if config.every_term else index.top(terms, config.lexical)
+    lexical = found.select("qid.qid", "id", F.concat(F.lit("lexical "), F.col("qid.number").cast("string")).alias("list"), "rank")
     asked = queries.where("vector is not null").groupBy("qid").agg(F.first("vector").alias("v"))
     semantic = vector_topk(chunks.select("id", F.col("vector").alias("v")), asked, config.semantic, keep_self=True).select("qid", "id", F.lit("semantic").alias("list"), "rank")
     fused = U.rrf(lexical.unionByName(semantic), config.constant)
@@ -50,6 +49,20 @@ def chunk_search(chunks: DataFrame, queries: DataFrame, config: SearchConfig = S
     return L.top_per_query(fused, config.results, F.desc("fused"), "id")
 
 
+def lexical_quotes(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """``(qid, rank, quote)``: the texts of the k best of ``chunks(id, text)`` that hold every term left of each question
+    ``(qid, text)`` without its function words."""
+    terms = L.query_terms(questions.select("qid", strip_stop_words(F.col("text")).alias("text")))
+    best = L.top_per_query(L.text_index(chunks.select("id", "text"), terms).every(terms), k)
+    return best.join(chunks.select("id", "text"), "id").select("qid", "rank", F.col("text").alias("quote"))
+
+
+def semantic_quotes(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """``(qid, rank, quote)``: the texts of the k chunks ``(id long, text, vector)`` nearest to each question ``(qid, v)``."""
+    near = vector_topk(chunks.select("id", F.col("vector").alias("v")), questions, k, keep_self=True)
+    return near.join(chunks.select("id", "text"), "id").select("qid", "rank", F.col("text").alias("quote"))
+
+
 def with_provenance(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with a ``provenance`` struct: document, chunk, section, page and character span."""
     c = chunks.select("id", F.struct("doc_id", "chunk_id", "section_title", "page_num", F.struct(F.col("char_start").alias("start"), F.col("char_end").alias("end")).alias("char_span")).alias("provenance"))

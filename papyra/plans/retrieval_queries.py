@@ -67,55 +67,84 @@ def agg_best_child(spark, d):
     return L.top_per_query(best, 5, F.desc("score"), "parent")
 
 
-_BM25 = r"""
-WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL),
+_STOPS = "['" + "','".join(T.ENGLISH_STOP_WORDS) + "']"
+
+
+def _analyzed(c: str) -> str:
+    """The SQL of ``functions.text.analyzed``."""
+    w = "CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND w LIKE '%ses' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END"
+    return f"list_transform(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: NOT list_contains({_STOPS}, w)), lambda w: {w})"
+
+
+def _bm(k1: float = 1.2) -> str:
+    return f"""
+WITH d AS (SELECT doc_id AS id, {_analyzed('text')} AS t FROM documents WHERE text IS NOT NULL),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-q AS (SELECT DISTINCT query_id AS qid, unnest(regexp_extract_all(lower(raw), '[a-z0-9]+')) AS term FROM query_specs),
+q AS (SELECT DISTINCT query_id AS qid, unnest({_analyzed('raw')}) AS term FROM query_specs),
 p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM d),
 tf AS (SELECT id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-h AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, id),
+h AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1}::DOUBLE + 1) / (tf + {k1}::DOUBLE * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h)
 """
 
 
-def _bm(k1: float = 1.2) -> str:
-    return _BM25.replace("k1", f"{k1}::DOUBLE")
-
-
 def _questions(spark, d):
     return table(spark, d, "query_specs").select(F.col("query_id").alias("qid"), F.col("raw").alias("text"))
 
 
-def _hits(spark, d, k1: float = 1.2):
-    return L.bm25(_docs(spark, d), L.query_terms(_questions(spark, d)), k1)
+def _hits(spark, d, k: int, k1: float = 1.2):
+    return L.bm25(_docs(spark, d), L.query_terms(_questions(spark, d)), k, k1)
+
+
+@query("lex_analyzer", f"WITH t AS (SELECT id, ingested_at, {_analyzed('abstract')} AS t FROM papers WHERE abstract IS NOT NULL) SELECT id, ingested_at, len(t) AS n, list_sort(list_distinct(t)) AS terms FROM t")
+def lex_analyzer(spark, d):
+    t = T.analyzed(F.col("abstract"))
+    return table(spark, d, "papers").where("abstract is not null").select("id", "ingested_at", F.size(t).alias("n"), F.array_sort(F.array_distinct(t)).alias("terms"))
 
 
 @query("lex_bm25_or", _bm() + "SELECT qid, id, score, matched, rank FROM r WHERE rank <= 50")
 def lex_bm25_or(spark, d):
-    return L.top_per_query(_hits(spark, d), 50)
+    return _hits(spark, d, 50)
 
 
 @query("lex_bm25_preset", _bm(1.4) + "SELECT qid, id, score, matched, rank FROM r WHERE rank <= 10")
 def lex_bm25_preset(spark, d):
-    return L.top_per_query(_hits(spark, d, 1.4), 10)
+    return _hits(spark, d, 10, 1.4)
 
 
-_MUST = r"""
-WITH q AS (SELECT DISTINCT query_id AS qid, lower(unnest(keyword_boosted)) AS term FROM query_specs),
+_BOOSTED = f"SELECT DISTINCT query_id AS qid, unnest({_analyzed('array_to_string(keyword_boosted, chr(32))')}) AS term FROM query_specs"
+_MUST = f"""
+WITH q AS ({_BOOSTED}),
 m AS (SELECT qid, count(*) AS wanted FROM q GROUP BY qid),
-p AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL)
+p AS (SELECT DISTINCT doc_id AS id, unnest({_analyzed('text')}) AS term FROM documents WHERE text IS NOT NULL)
 """
 
 
 def _boosted(spark, d):
-    return table(spark, d, "query_specs").select(F.col("query_id").alias("qid"), F.explode(F.transform("keyword_boosted", F.lower)).alias("term")).distinct()
+    return L.query_terms(table(spark, d, "query_specs").select(F.col("query_id").alias("qid"), F.array_join("keyword_boosted", " ").alias("text")))
 
 
 @query("lex_and", _MUST + "SELECT qid, id, count(*) AS matched FROM q JOIN p USING (term) JOIN m USING (qid) GROUP BY qid, id, wanted HAVING count(*) = wanted")
 def lex_and(spark, d):
     terms = _boosted(spark, d)
-    return L.all_terms(L.bm25(_docs(spark, d), terms), terms).select("qid", "id", "matched")
+    return L.text_index(_docs(spark, d), terms).every(terms).select("qid", "id", "matched")
+
+
+@query("lex_entry", rf"""
+WITH s AS (SELECT query_id AS qid, coalesce(nullif(array_to_string(list_filter(regexp_extract_all(lower(raw), '[a-z0-9'']+'), lambda x: NOT list_contains({"['" + "','".join(T.STOP_WORDS) + "']"}, x)), ' '), ''), raw) AS text FROM query_specs),
+q AS (SELECT DISTINCT qid, unnest({_analyzed('text')}) AS term FROM s), m AS (SELECT qid, count(*) AS wanted FROM q GROUP BY qid),
+c AS (SELECT DISTINCT ON (id) id, text, {_analyzed('text')} AS t FROM chunks WHERE text IS NOT NULL ORDER BY id, ingested_at DESC),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM c),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+h AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN m USING (qid) JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, id, wanted HAVING count(*) = wanted),
+r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h QUALIFY rank <= 10)
+SELECT r.qid, r.rank, c.text AS quote FROM r JOIN c USING (id)""")
+def lex_entry(spark, d):
+    """Stop words stripped, chunks that hold every word left, the best ten as quotes."""
+    from papyra.plans.pipeline import lexical_quotes
+
+    return lexical_quotes(_chunks(spark, d, "text").where("text is not null"), table(spark, d, "query_specs").select(F.col("query_id").alias("qid"), F.col("raw").alias("text")), 10)
 
 
 @query("lex_terms_set", """
@@ -129,57 +158,147 @@ def lex_terms_set(spark, d):
     return c.join(small_side(q), "term").groupBy("qid", "id", "n").agg(F.count("*").alias("matched")).where(F.col("matched") >= F.greatest(F.lit(1), F.ceil(0.6 * F.col("n")))).drop("n")
 
 
-_FIELD = r"""
-{f} AS (SELECT q.qid, c.id, sum(1.0::DOUBLE) AS s FROM q JOIN (SELECT DISTINCT id, unnest(regexp_extract_all(lower({col}), '[a-z0-9]+')) AS term FROM c) c USING (term) GROUP BY ALL)
+# chunks by field: text, shingles of two and three terms, section title, headings, model names
+_BOOSTS = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in L.CHUNK_BOOSTS.items()) + "}"
+_SHINGLES = "list_concat([t[i] || ' ' || t[i+1] FOR i IN range(1, len(t))], [t[i] || ' ' || t[i+1] || ' ' || t[i+2] FOR i IN range(1, len(t) - 1)])"
+_FIELDS = f"""
+WITH c AS (SELECT DISTINCT ON (id) id, {_analyzed('text')} AS t, {_analyzed('section_title')} AS s, {_analyzed("array_to_string(headings, ' ')")} AS h, list_transform(model_names, lambda x: lower(x)) AS m, header_score FROM chunks ORDER BY id, ingested_at DESC),
+f AS (SELECT id, 'text' AS field, t FROM c UNION ALL SELECT id, 'shingle', {_SHINGLES} FROM c UNION ALL SELECT id, 'section', s FROM c UNION ALL SELECT id, 'headings', h FROM c UNION ALL SELECT id, 'model', m FROM c),
+st AS (SELECT field, count(*) AS n, avg(len(t)) AS avgdl FROM f WHERE t IS NOT NULL GROUP BY field),
+q0 AS (SELECT query_id AS qid, {_analyzed('raw')} AS t FROM query_specs WHERE raw IS NOT NULL),
+q AS (SELECT DISTINCT qid, unnest(list_concat(t, {_SHINGLES})) AS term FROM q0),
+tf AS (SELECT field, id, dl, term, count(*) AS tf FROM (SELECT field, id, len(t) AS dl, unnest(t) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
+idf AS (SELECT field, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df JOIN st USING (field)),
+w AS (SELECT field, id, term, {_BOOSTS}[field] * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN idf USING (field, term) JOIN st USING (field)),
+sums AS (SELECT qid, id, field, sum(w) AS s, count(*) AS n FROM q JOIN w USING (term) GROUP BY ALL),
+best AS (SELECT qid, id, round(max(s) + 0.2::DOUBLE * (sum(s) - max(s)), 6) AS score, sum(n)::BIGINT AS matched FROM sums GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM best)
+"""
+#: a question's phrase: its last two terms; in-order matches with at most two terms in between
+_PHRASE = """,
+qp AS (SELECT qid, t[-2] AS a, t[-1] AS b FROM q0 WHERE len(t) >= 2),
+ph0 AS (SELECT qid, id, a, b, list_sum([1.0::DOUBLE / coalesce(list_position(t[i+1:i+3], b), 0) FOR i IN range(1, len(t)) IF t[i] = a AND list_contains(t[i+1:i+3], b)]) AS freq FROM qp JOIN c ON list_contains(c.t, a) AND list_contains(c.t, b)),
+ph AS (SELECT qid, id, round((x.idf + CASE WHEN a = b THEN 0 ELSE y.idf END) * freq * 2.2::DOUBLE / (freq + 1.2::DOUBLE), 6) AS phrase FROM ph0 JOIN idf x ON x.field = 'text' AND x.term = a JOIN idf y ON y.field = 'text' AND y.term = b WHERE freq > 0)
 """
 
 
-@query("lex_best_fields", "WITH c AS (SELECT DISTINCT ON (id) id, title, abstract FROM papers ORDER BY id, ingested_at DESC), q AS (SELECT DISTINCT query_id AS qid, lower(unnest(keyword_boosted)) AS term FROM query_specs), " + _FIELD.format(f="a", col="title") + "," + _FIELD.format(f="b", col="abstract") + """
-SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, greatest(3 * coalesce(a.s, 0), coalesce(b.s, 0)) + 0.2::DOUBLE * least(3 * coalesce(a.s, 0), coalesce(b.s, 0)) AS score FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id""")
-def lex_best_fields(spark, d):
-    """Distinct query terms in the title (weight 3) and the abstract: the better field plus 0.2 of the other."""
-    p = latest_rows(table(spark, d, "papers").select("id", "title", "abstract", "ingested_at"), ["id"], "ingested_at")
-    q = small_side(_boosted(spark, d))
+def _chunks(spark, d, *cols):
+    """The latest delivery of each chunk: its id and these columns."""
+    return latest_rows(table(spark, d, "chunks").select("id", *cols, "ingested_at"), ["id"], "ingested_at").drop("ingested_at")
 
-    def field(c: str):
-        return p.select("id", F.explode(F.array_distinct(T.plain_terms(F.col(c)))).alias("term")).join(q, "term").groupBy("qid", "id").agg(F.count("*").cast("double").alias(c))
 
-    both = field("title").join(field("abstract"), ["qid", "id"], "full")
-    return both.select("qid", "id", L.best_field(0.2, 3 * F.col("title"), F.col("abstract")).alias("score"))
+def _with_shingles(t):
+    return F.concat(t, T.shingles(t, 2), T.shingles(t, 3))
 
 
-@query("lex_bool", _bm() + r""", m AS (SELECT DISTINCT query_id AS qid, lower(unnest(keyword_boosted)) AS term FROM query_specs), n AS (SELECT qid, count(*) AS wanted FROM m GROUP BY qid),
-k AS (SELECT m.qid, tf.id, count(*) AS held FROM m JOIN (SELECT DISTINCT id, term FROM p) tf USING (term) GROUP BY ALL)
-SELECT r.qid, r.id, round(r.score + held, 6) AS score FROM r JOIN k USING (qid, id) JOIN n USING (qid) WHERE held = wanted""")
-def lex_bool(spark, d):
-    """Every boosted keyword must be there, the question's other terms add to the score."""
-    must = _boosted(spark, d)
-    held = L.all_terms(L.bm25(_docs(spark, d), must), must).select("qid", "id", F.col("matched").alias("held"))
-    return _hits(spark, d).join(held, ["qid", "id"]).select("qid", "id", F.round(F.col("score") + F.col("held"), 6).alias("score"))
+def _field_terms(spark, d):
+    q = _questions(spark, d).where("text is not null")
+    return q.select("qid", F.explode(F.array_distinct(_with_shingles(T.analyzed(F.col("text"))))).alias("term"))
 
 
-@query("lex_rescore", _bm() + r""", w AS (SELECT r.qid, r.id, r.score, r.rank, (CASE WHEN contains(lower(d.text), lower(q.keyword_boosted[1])) THEN 1.0 ELSE 0.0 END)::DOUBLE AS phrase FROM r JOIN documents d ON d.doc_id = r.id JOIN query_specs q ON q.query_id = r.qid WHERE rank <= 50)
-SELECT qid, id, round(CASE WHEN rank <= 20 THEN score + 2 * coalesce(phrase, 0) ELSE score END, 6) AS new_score, row_number() OVER (PARTITION BY qid ORDER BY (rank > 20)::INT, CASE WHEN rank <= 20 THEN -round(score + 2 * coalesce(phrase, 0), 6) ELSE rank END, rank) AS new_rank FROM w""")
-def lex_rescore(spark, d):
-    """The first 20 of 50 hits are scored again: a hit that holds the first boosted keyword gains 2."""
-    top = L.top_per_query(_hits(spark, d), 50)
-    first = table(spark, d, "query_specs").select(F.col("query_id").alias("qid"), F.lower(F.get("keyword_boosted", F.lit(0))).alias("k"))
-    j = top.join(_docs(spark, d), "id").join(small_side(first), "qid").withColumn("phrase", F.when(F.contains(F.lower("text"), F.col("k")), 1.0).otherwise(0.0))
-    return L.rescored(j.drop("text", "k"), 20, "phrase").select("qid", "id", "new_score", "new_rank")
+def _field_index(spark, d, terms):
+    t = T.analyzed(F.col("text"))
+    fields = {"text": t, "shingle": F.concat(T.shingles(t, 2), T.shingles(t, 3)), "section": T.analyzed(F.col("section_title")), "headings": T.analyzed(F.array_join("headings", " ")), "model": F.transform("model_names", F.lower)}
+    c = _chunks(spark, d, "text", "section_title", "headings", "model_names")
+    return L.LexicalIndex.build(c, terms, {k: (v, L.CHUNK_BOOSTS[k]) for k, v in fields.items()})
+
 
+def _phrases(spark, d):
+    q = _questions(spark, d).select("qid", T.analyzed(F.col("text")).alias("t")).where("size(t) >= 2")
+    return q.select("qid", F.slice("t", -2, 2).alias("phrase"))
 
-@query("lex_phrase", r"""
-WITH c AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM chunks WHERE text IS NOT NULL ORDER BY id, ingested_at DESC)
-SELECT id, len([1 FOR i IN range(1, len(t)) IF t[i] = 'we' AND t[i+1] = 'treat'])::INT AS n FROM c WHERE len([1 FOR i IN range(1, len(t)) IF t[i] = 'we' AND t[i+1] = 'treat']) > 0""")
+
+def _phrase_scores(spark, d, index):
+    docs = _chunks(spark, d, "text").select("id", T.analyzed(F.col("text")).alias("terms"))
+    return L.phrase_scores(docs, _phrases(spark, d), index, "text", 2)
+
+
+@query("lex_best_fields", _FIELDS + "SELECT qid, id, score, matched, rank FROM r WHERE rank <= 50")
+def lex_best_fields(spark, d):
+    """BM25 in five boosted fields of the chunks: the best field plus 0.2 of the others."""
+    terms = _field_terms(spark, d)
+    return _field_index(spark, d, terms).top(terms, 50, 0.2)
+
+
+@query("lex_phrase", _FIELDS + _PHRASE + "SELECT qid, id, phrase FROM ph")
 def lex_phrase(spark, d):
-    c = latest_rows(table(spark, d, "chunks").where("text is not null").select("id", "text", "ingested_at"), ["id"], "ingested_at")
-    return c.select("id", L.phrase_at(T.plain_terms(F.col("text")), ["we", "treat"]).alias("n")).where("n > 0")
+    return _phrase_scores(spark, d, _field_index(spark, d, _field_terms(spark, d)))
+
+
+@query("lex_dis_max", _FIELDS + _PHRASE + """, m AS (SELECT coalesce(best.qid, ph.qid) AS qid, coalesce(best.id, ph.id) AS id, coalesce(score, 0) AS f, coalesce(phrase, 0) AS p FROM best FULL JOIN ph ON best.qid = ph.qid AND best.id = ph.id),
+x AS (SELECT qid, id, round(greatest(f, p) + 0.1::DOUBLE * ((f + p) - greatest(f, p)) + 1e-9::DOUBLE, 6) AS score FROM m) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM x QUALIFY rank <= 50""")
+def lex_dis_max(spark, d):
+    """The better of the fields' score and the phrase's, plus 0.1 of the other."""
+    return _dis_max(spark, d, 50).select("qid", "id", "score", "rank")
+
 
+def _dis_max(spark, d, k):
+    terms = _field_terms(spark, d)
+    index = _field_index(spark, d, terms)
+    phrase = stage(_phrase_scores(spark, d, index), "phrase-scores")
+    # a chunk without the phrase is among the k best only if it is so by its fields
+    fields = index.top(terms, k, 0.2).select("qid", "id").unionByName(phrase.select("qid", "id"))
+    rows = index.scored(terms, fields, 0.2).join(phrase, ["qid", "id"], "left")
+    score = F.round(L.best_field(0.1, F.col("score"), F.col("phrase")) + 1e-9, 6)  # halves of the last digit go up on every engine
+    return L.top_per_query(rows.select("qid", "id", score.alias("score")), k)
 
-@query("lex_highlight", rf"WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s FROM documents) SELECT doc_id, regexp_replace(s, '\b(ranker|retriever)\b', '<em>\1</em>', 'gi') AS snippet FROM s WHERE regexp_matches(s, '(?i)\b(ranker|retriever)\b')")
+
+@query("lex_function_score", _FIELDS + "SELECT r.qid, r.id, round(r.score + coalesce(header_score, 0), 6) AS score FROM r JOIN c USING (id) WHERE rank <= 50")
+def lex_function_score(spark, d):
+    """The fifty best chunks by field, their scores raised by the header score."""
+    terms = _field_terms(spark, d)
+    hits = _field_index(spark, d, terms).top(terms, 50, 0.2)
+    return L.function_score(hits.join(_chunks(spark, d, "header_score"), "id"), "header_score").select("qid", "id", "score")
+
+
+@query("lex_rescore", _FIELDS + _PHRASE + """, win AS (SELECT r.qid, r.id, r.score, r.rank, coalesce(ph.phrase, 0) AS phrase FROM r LEFT JOIN ph ON ph.qid = r.qid AND ph.id = r.id WHERE rank <= 250)
+SELECT qid, id, round(CASE WHEN rank <= 200 THEN score + 2 * phrase ELSE score END, 6) AS new_score, row_number() OVER (PARTITION BY qid ORDER BY (rank > 200)::INT, CASE WHEN rank <= 200 THEN -round(score + 2 * phrase, 6) ELSE rank END, rank) AS new_rank FROM win""")
+def lex_rescore(spark, d):
+    """Of 250 hits the first 200 are ordered again by their score plus twice the phrase's."""
+    terms = _field_terms(spark, d)
+    index = _field_index(spark, d, terms)
+    top = index.top(terms, 250, 0.2).join(_phrase_scores(spark, d, index), ["qid", "id"], "left").fillna(0.0, ["phrase"])
+    return L.rescored(top, 200, "phrase").select("qid", "id", "new_score", "new_rank")
+
+
+@query("lex_bool", _bm() + f""", m AS ({_BOOSTED}), n AS (SELECT qid, count(*) AS wanted FROM m GROUP BY qid),
+k AS (SELECT m.qid, t.id FROM m JOIN (SELECT DISTINCT id, term FROM p) t USING (term) JOIN n USING (qid) GROUP BY m.qid, t.id, wanted HAVING count(*) = wanted)
+SELECT k.qid, k.id, round(1 + coalesce(h.score, 0), 6) AS score FROM k LEFT JOIN h USING (qid, id) JOIN documents d ON d.doc_id = k.id WHERE d.source IS NOT NULL""")
+def lex_bool(spark, d):
+    """Every boosted keyword must be there (1 point), the question's terms add their score, and the source must be known."""
+    must, terms = _boosted(spark, d), L.query_terms(_questions(spark, d))
+    index = L.text_index(_docs(spark, d), must.unionByName(terms))
+    held = index.every(must).select("qid", "id", F.lit(1.0).alias("must"))
+    rows = held.join(index.scored(terms, held).select("qid", "id", F.nullif("score", F.lit(0.0)).alias("should")), ["qid", "id"], "left")
+    rows = rows.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return L.bool_query(rows, ["must"], ["should"], F.col("source").isNotNull()).select("qid", "id", "score")
+
+
+@query("lex_highlight", rf"""
+WITH k AS (SELECT DISTINCT ON (query_id, chunk_id) query_id, chunk_id FROM candidates ORDER BY query_id, chunk_id), c AS (SELECT DISTINCT ON (id) id, text FROM chunks ORDER BY id, ingested_at DESC),
+q AS (SELECT query_id, array_to_string(list_distinct(list_filter(regexp_extract_all(lower(raw), '[a-z0-9]+'), lambda w: NOT list_contains({_STOPS}, w))), '|') AS p FROM query_specs),
+s AS (SELECT query_id, chunk_id, p, unnest({_SENTENCES}) AS s FROM k JOIN c ON c.id = k.chunk_id JOIN q USING (query_id))
+SELECT query_id, chunk_id, regexp_replace(s, '(?i)\b(' || p || ')\b', '<em>\1</em>', 'g') AS snippet FROM s WHERE p <> '' AND regexp_matches(s, '(?i)\b(' || p || ')\b')""")
 def lex_highlight(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).where(F.col("s").rlike(r"(?i)\b(ranker|retriever)\b"))
-    return s.select("doc_id", L.highlighted(F.col("s"), "ranker|retriever").alias("snippet"))
+    """The sentences of each candidate that hold a word of the question, with these words marked."""
+    k = table(spark, d, "candidates").select("query_id", "chunk_id").distinct()
+    words = F.array_distinct(F.filter(T.plain_terms(F.col("raw")), lambda w: ~w.isin(T.ENGLISH_STOP_WORDS)))
+    q = table(spark, d, "query_specs").select("query_id", words.alias("words"))
+    s = k.join(_chunks(spark, d, "text"), F.col("chunk_id") == F.col("id")).join(small_side(q), "query_id").select("query_id", "chunk_id", "words", F.explode(T.sentences(F.col("text"))).alias("s"))
+    s = s.withColumn("snippet", L.highlighted(F.col("s"), F.col("words")))
+    return s.where("snippet <> s").select("query_id", "chunk_id", "snippet")
+
+
+@query("lex_fallback", _MUST.replace("documents", "documents") + """, h AS (SELECT qid, id, count(*)::DOUBLE AS score FROM q JOIN p USING (term) JOIN m USING (qid) GROUP BY qid, id, wanted HAVING count(*) = wanted),
+f AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 5)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM h QUALIFY rank <= 5
+UNION ALL SELECT query_id, f.id, 0.0::DOUBLE, f.rank FROM query_specs, f WHERE query_id NOT IN (SELECT qid FROM h)""")
+def lex_fallback(spark, d):
+    """Five documents that hold every boosted keyword; a question without one gets the first five documents."""
+    terms = _boosted(spark, d)
+    hits = L.text_index(_docs(spark, d), terms).every(terms).select("qid", "id", F.col("matched").cast("double").alias("score"))
+    return L.with_fallback(stage(L.top_per_query(hits, 5, "id"), "lexical-fallback"), _questions(spark, d), _docs(spark, d), 5)
 
 
 # hybrid: each question's vector is that of the document its number names, where there is one
@@ -192,7 +311,7 @@ m AS (SELECT coalesce(lx.qid, sm.qid) AS qid, coalesce(lx.id, sm.id) AS id, lx.s
 
 
 def _two_lists(spark, d):
-    lexical = stage(L.top_per_query(_hits(spark, d), 40).select("qid", "id", "score", "rank"), "lexical-hits")
+    lexical = stage(_hits(spark, d, 40).select("qid", "id", "score", "rank"), "lexical-hits")
     asked = _questions(spark, d).select("qid").join(_vectors(spark, d).select(F.col("id").alias("qid"), "v"), "qid")
     return lexical, vector_topk(_vectors(spark, d), asked, 80)
 

@@ -1,6 +1,7 @@
 """Core operators against plain restatements on small inputs."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -91,26 +92,59 @@ def test_vector_topk_without_queries(spark):
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta beta gamma"), (3, None), (4, "")], "id long, text string")
-    q = spark.createDataFrame([(0, "alpha beta"), (1, "nothing")], "qid long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "the beta of betas, gamma"), (3, None), (4, ""), (None, "alpha")], "id long, text string")
+    q = spark.createDataFrame([(0, "the alpha beta"), (1, "nothing"), (2, None), (3, "alpha gamma")], "qid long, text string")
     terms = L.query_terms(q)
-    got = {(r.qid, r.id): r for r in L.bm25(docs, terms).collect()}
+    got = {(r.qid, r.id): r for r in L.bm25(docs, terms, 5).collect()}
     n, avg = 3, 5 / 3
     idf = lambda df: math.log(1 + (n - df + 0.5) / (df + 0.5))
     part = lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))
     assert got[0, 1].score == pytest.approx(idf(1) * part(1, 2) + idf(2) * part(1, 2), abs=1e-6)
     assert got[0, 2].score == pytest.approx(idf(2) * part(2, 3), abs=1e-6)
-    assert set(got) == {(0, 1), (0, 2)}
-    assert [(r.qid, r.id) for r in L.all_terms(L.bm25(docs, terms), terms).collect()] == [(0, 1)]
-
-
-def test_phrase_and_fields(spark):
-    df = spark.sql("select array('we','treat','we','treat','it') t, 3.0D a, 1.0D b, cast(null as double) c")
-    assert df.select(L.phrase_at(F.col("t"), ["we", "treat"])).first()[0] == 2
+    assert set(got) == {(0, 1), (0, 2), (3, 1), (3, 2)} and got[0, 1].rank == 1
+    index = L.text_index(docs, terms)
+    assert [(r.qid, r.id) for r in index.every(terms).collect()] == [(0, 1)]
+    some = spark.createDataFrame([(0, 2), (0, 99), (3, 2)], "qid long, id long")
+    assert {(r.qid, r.id): r.score for r in index.scored(terms, some).collect()} == {(0, 2): got[0, 2].score, (0, 99): 0.0, (3, 2): got[3, 2].score}
+    empty = L.bm25(docs.where("false"), terms, 5)
+    assert empty.count() == 0
+
+
+def test_top_documents_against_brute_force(spark):
+    """The documents left unscored never belong to the best, whatever the weights."""
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choices([f"w{k}" for k in range(60)], weights=[1 / (k + 1) for k in range(60)], k=r.randint(3, 40)))) for i in range(400)]
+    asked = [(q, " ".join(f"w{r.randrange(60)}" for _ in range(r.randint(1, 6)))) for q in range(30)]
+    d, terms = spark.createDataFrame(docs, "id long, text string"), L.query_terms(spark.createDataFrame(asked, "qid long, text string"))
+    got = sorted((x.qid, x.rank, x.id) for x in L.bm25(d, terms, 5).collect())
+    index = L.text_index(d, terms)
+    every = terms.select("qid").distinct().crossJoin(d.select("id"))
+    want = L.top_per_query(index.scored(terms, every).where("score > 0"), 5)
+    assert got == sorted((x.qid, x.rank, x.id) for x in want.collect())
+
+
+def test_phrases(spark):
+    df = spark.sql("select array('we','treat','a','we','so','treat','it') t, 3.0D a, 1.0D b, cast(null as double) c")
+    at = lambda slop, *p: df.select(L.phrase_frequency(F.col("t"), F.array(*map(F.lit, p)), slop)).first()[0]
+    assert at(0, "we", "treat") == 1 and at(1, "we", "treat") == 1.5 and at(0, "it", "we") == 0 and at(0, "it") == 1
+    assert at(2, "treat", "we", "it") == 0 and at(3, "treat", "we", "it") == pytest.approx(0.25)
+    assert df.select(L.phrase_frequency(F.lit(None).cast("array<string>"), F.col("t"), 1)).first()[0] == 0
+
+
+def test_fields_and_clauses(spark):
+    df = spark.sql("select array('we','treat','it') t, 3.0D a, 1.0D b, cast(null as double) c")
     assert df.select(L.best_field(0.2, F.col("a"), F.col("b"), F.col("c"))).first()[0] == pytest.approx(3.2)
     assert df.select(L.least_matching(F.col("t"), F.array(F.lit("we"), F.lit("x"), F.lit("it")))).first()[0]
 
 
+def test_bool_query(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, 2.0), (3, 1.0, 2.0), (4, None, None)], "id long, m double, s double")
+    ids = lambda x: {r.id: r.score for r in x.collect()}
+    assert ids(L.bool_query(df, ["m"], ["s"])) == {1: 1.0, 3: 3.0}
+    assert ids(L.bool_query(df, [], ["s"])) == {2: 2.0, 3: 2.0}
+    assert ids(L.bool_query(df, ["m"], ["s"], F.col("id") > 1, 1)) == {3: 3.0}
+
+
 def test_rescored_window(spark):
     df = spark.createDataFrame([(0, i, 10.0 - i, i, 1.0 if i == 3 else 0.0) for i in range(1, 6)], "qid long, id long, score double, rank int, p double")
     got = [r.id for r in L.rescored(df, 3, "p").orderBy("new_rank").collect()]
