@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.text import strip
@@ -25,6 +25,11 @@ def authors_from_parts(parts: Column) -> Column:
     return F.nullif(F.array_join(F.filter(one, lambda x: x != ""), ", "), F.lit(""))
 
 
+def format_authors(authors: Column) -> Column:
+    """Structs as ``author_name`` takes, joined by commas; blank ones left out, null if none is left."""
+    return F.nullif(F.array_join(F.filter(F.transform(authors, author_name), lambda x: x.isNotNull()), ", "), F.lit(""))
+
+
 def author_name(author: Column) -> Column:
     """A struct's name, else full_name, else first, middle, last and suffix joined; null if blank."""
     joined = F.concat_ws(" ", *[F.nullif(strip(author[k]), F.lit("")) for k in ("first", "middle", "last", "suffix")])
@@ -36,6 +41,11 @@ def date_part(c: Column) -> Column:
     return F.nullif(F.substring_index(strip(c), "T", 1), F.lit(""))
 
 
+def first_date(dates: Column) -> Column:
+    """Of a list of dates the first that isn't blank, cut as ``date_part`` does."""
+    return F.get(F.filter(F.transform(dates, date_part), lambda x: x.isNotNull()), F.lit(0))
+
+
 def year(*columns: Column) -> Column:
     """First 19xx or 20xx found, trying the columns in order."""
     found = [F.nullif(F.regexp_extract(c.cast("string"), r"((?:19|20)\d{2})", 1), F.lit("")) for c in columns]
@@ -57,6 +67,31 @@ def in_categories(categories: Column, wanted: list[str]) -> Column:
     return F.coalesce(F.arrays_overlap(F.split(strip(categories), r"\s+"), F.array(*[F.lit(w) for w in wanted])), F.lit(False))
 
 
+def in_category_lists(categories: Column, wanted: list[str]) -> Column:
+    """The same for a list of strings, each of which may name several."""
+    split = F.flatten(F.transform(F.filter(categories, lambda c: c.isNotNull()), lambda c: F.split(strip(c), r"\s+")))
+    return F.coalesce(F.arrays_overlap(split, F.array(*[F.lit(w) for w in wanted])), F.lit(False))
+
+
+def any_contains(value: str, *columns: Column) -> Column:
+    """Whether any of the columns (venue, journal, source, url, source url) holds the value, whatever its case."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.lower(c).contains(value.lower()), F.lit(False))
+    return out
+
+
+def author_contains(value: str, names: Column, listed: Column) -> Column:
+    """Whether an author string, or a list of authors joined by blanks where there is none, holds the value."""
+    text = F.coalesce(F.nullif(names, F.lit("")), F.array_join(listed, " "), F.lit(""))
+    return F.lower(text).contains(value.lower())
+
+
+def citations(*columns: Column) -> Column:
+    """The first of several counts that is a number, as a whole number; 0 if none is."""
+    return F.coalesce(*[F.nullif(c, F.lit(float("nan"))).cast("double") for c in columns], F.lit(0.0)).cast("long")
+
+
 def in_field(categories: Column, field: str) -> Column:
     """Whether any category holds ``field`` or starts with it and a point."""
     return F.coalesce(F.exists(categories, lambda c: F.lower(c).contains(field.lower()) | F.lower(c).startswith(field.lower() + ".")), F.lit(False))
@@ -74,3 +109,46 @@ def card(rank: Column, title: Column, authors: Column, date: Column, score: Colu
         date_part(date).alias("date"),
         F.when(score.isNotNull(), F.format_string("%.3f", F.floor(score.cast("double") * 1000 + 0.5) / 1000)).alias("score"),
     )
+
+
+def one_line(c: Column, most: int = 420) -> Column:
+    """A text on one line, cut with an ellipsis; empty for null."""
+    return trimmed(strip(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")), most)
+
+
+def link(url: Column, path: Column) -> Column:
+    """The url, else the file's path as one; empty if both are."""
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat(F.lit("file://"), F.nullif(path, F.lit(""))), F.lit(""))
+
+
+def known(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in which none of the keys is null or empty."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
+    return df
+
+
+def source_fields(df: DataFrame, includes: list[str]) -> DataFrame:
+    """The named columns, as far as the table has them."""
+    return df.select(*[c for c in includes if c in df.columns])
+
+
+def vector_md5(v: Column) -> Column:
+    """md5 of a vector written with six digits a number."""
+    return F.md5(F.array_join(F.transform(v, lambda x: F.format_string("%.6f", x.cast("double"))), ""))
+
+
+def zip_checked(a: Column, b: Column, names: tuple[str, str]) -> Column:
+    """Two lists as one of structs, place by place; an error if their lengths differ."""
+    pairs = F.arrays_zip(a.alias(names[0]), b.alias(names[1]))
+    return F.when(F.size(a) == F.size(b), pairs).otherwise(F.raise_error(F.concat(F.size(b).cast("string"), F.lit(" values for "), F.size(a).cast("string"))))
+
+
+def top_k_bound(wanted: Column, initial: int = 50, shown: int = 15) -> Column:
+    """A number of results within 1 and ``initial``; ``shown`` (at most ``initial``) if none is given."""
+    return F.coalesce(F.least(F.greatest(wanted, F.lit(1)), F.lit(initial)), F.lit(min(shown, initial)))
+
+
+def rerank_text(title: Column, *bodies: Column, separator: str = " [SEP] ") -> Column:
+    """What a cross-encoder reads: the title, and the first body that isn't blank."""
+    return F.concat_ws(separator, first_non_empty(title), first_non_empty(*bodies))

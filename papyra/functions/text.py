@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-_TOKEN = re.compile(r"\S+")
+_TOKEN = re.compile(r"\S+", re.ASCII)
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 #: short list of function words used where no larger one is configured
@@ -30,7 +30,7 @@ LIST_PREFIX = r"^\d+[).\s-]*"
 QUESTION_TOKEN = r"([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"
 #: function words an English index leaves out
 ENGLISH_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
-DEFAULT_SECTIONS = ["abstract", "introduction", "methods", "results", "discussion", "conclusion"]
+DEFAULT_SECTIONS = ["Introduction", "Method", "Results"]
 INTENT_CUES = {
     "architecture": ["architecture", "framework"],
     "framework": ["framework", "design"],
@@ -120,9 +120,48 @@ def question_tokens(c: Column) -> Column:
 
 
 def token_clean(c: Column, most_chars: int = 64, least_alpha: float = 0.35) -> Column:
-    """The token without punctuation at both ends, cut to the length allowed; null if it has neither letters enough nor a digit."""
-    s = F.substring(F.regexp_replace(c, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""), 1, most_chars)
-    return F.when((s != "") & ((alpha_ratio(s) >= least_alpha) | s.rlike("[0-9]")), s)
+    """The token without white space and punctuation at both ends; null if it is blank, too long, or has neither letters enough
+    nor a digit."""
+    s = F.regexp_replace(c, r"""^[\s"'.,:;()\[\]{}]+|[\s"'.,:;()\[\]{}]+$""", "")
+    return F.when((s != "") & (F.length(s) <= most_chars) & ((alpha_ratio(s) >= least_alpha) | s.rlike("[0-9]")), s)
+
+
+def kept_sections(titles: Column, question: Column) -> Column:
+    """Section titles without blank ones, and without reference lists unless the question speaks of references or citations."""
+    asked = F.lower(question).rlike(r"\breferenc|\bcitation")
+    low = lambda h: F.lower(h)
+    return F.filter(titles, lambda h: (h != "") & (F.coalesce(asked, F.lit(False)) | ~(low(h).contains("reference") | low(h).contains("bibliography"))))
+
+
+def section_defaults(titles: Column) -> Column:
+    """The titles that aren't blank, or the default sections if there is none."""
+    have = F.filter(F.coalesce(titles, F.array().cast("array<string>")), lambda h: strip(h) != "")
+    return F.when(F.size(have) > 0, have).otherwise(words_of(DEFAULT_SECTIONS))
+
+
+def anchors_mined(c: Column, most: int = 10) -> Column:
+    """struct(section_titles, model_names) of a raw text, in order, each once, at most so many: lines that start with a capital,
+    without a final colon, and model names."""
+    lines = F.transform(F.split(c, r"\R"), strip)
+    titles = F.transform(F.filter(lines, lambda x: x.rlike(r"^\p{Lu}")), lambda x: F.regexp_replace(x, ":+$", ""))
+    return F.struct(F.slice(F.array_distinct(titles), 1, most).alias("section_titles"), F.slice(model_names(c), 1, most).alias("model_names"))
+
+
+def term_overlap(sentence: Column, wanted: Column) -> Column:
+    """The share of the wanted terms (lemmas) that the sentence holds; 0 if there are none."""
+    have = F.array_distinct(normalised_terms(sentence))
+    need = F.array_distinct(F.filter(wanted, lambda x: x != ""))
+    return F.when(F.size(need) > 0, F.size(F.array_intersect(have, need)) / F.size(need)).otherwise(F.lit(0.0))
+
+
+def question_line(c: Column) -> Column:
+    """A generator's answer as one question: what follows "Question:", its first line, ended by a question mark; ``INVALID`` if
+    there is none or the generator says so."""
+    s = strip(F.coalesce(c, F.lit("")))
+    s = strip(F.regexp_replace(s, r"(?s)^.*?Question:", ""))
+    line = strip(F.regexp_extract(s, r"^([^\r\n]*)", 1))
+    asked = F.when(line.endswith("?"), line).otherwise(F.concat(F.regexp_replace(line, r"[. ]+$", ""), F.lit("?")))
+    return F.when((line == "") | F.upper(line).startswith("INVALID"), F.lit("INVALID")).otherwise(asked)
 
 
 @F.pandas_udf(t.ArrayType(t.StructType([t.StructField("token", t.StringType()), t.StructField("start", t.IntegerType()), t.StructField("end", t.IntegerType())])))

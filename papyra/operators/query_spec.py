@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import INTENT_CUES, STOP_WORDS, SYNONYMS, keyword_tokens, strip, words_of
+from papyra.functions.text import INTENT_CUES, STOP_WORDS, SYNONYMS, alpha_ratio, keyword_tokens, strip, words_of
 
+# ---- fixed values: the analyzer's fields and enumerations ----------------------------------------------------------
 ANALYSIS = (
     "intent string, keyword_query string, semantic_query string, content string, authors array<string>, venues array<string>, recency string, centrality string,"
     " broad_or_specific string, qualifiers array<string>, time_range struct<start:int,end:int>, domains struct<main:string,other:array<string>>,"
@@ -14,6 +15,10 @@ ANALYSIS = (
 )
 INTENTS = ["find_papers", "find_specific_paper", "find_author"]
 QUALIFIERS = ["recent", "popular", "classic", "central"]
+#: scores of a document's section titles and model names, and of terms that an intent suggests
+SECTION_SCORE, MODEL_SCORE, INTENT_SCORE = 2.4, 2.2, 2.0
+CLAUSE = r'([+-]?\s*(?:"[^"]*"?|[^\s"]\S*))'
+# -------------------------------------------------------------------------------------------------------------------
 
 
 def _blank(c: Column) -> Column:
@@ -49,8 +54,87 @@ def entity_spans(question: Column) -> Column:
 
 
 def raw_terms(question: Column) -> Column:
-    """The question's terms: entity spans whole, then single words outside stop words, each once."""
-    return F.array_distinct(F.concat(entity_spans(question), F.filter(keyword_tokens(question), lambda w: ~w.isin(STOP_WORDS))))
+    """The question's terms in order, each once: entity spans whole, between them single words outside stop words."""
+    span = r"\b[A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+)+"
+    pieces = F.regexp_extract_all(question, F.lit(rf"({span}|[A-Za-z0-9][A-Za-z0-9\-]+)"), 1)
+    terms = F.transform(pieces, lambda x: F.when(x.rlike(r"\s"), x).otherwise(F.lower(x)))
+    return F.array_distinct(F.filter(terms, lambda w: ~w.isin(STOP_WORDS)))
+
+
+def parsed_query_string(raw: Column) -> Column:
+    """Clauses array<struct<text, is_phrase, must>> of a query in which ``+`` marks a term that must match, ``-`` an optional
+    one, and quotes a phrase. Blank clauses are left out."""
+    pieces = F.regexp_extract_all(raw, F.lit(CLAUSE), 1)
+    body = lambda x: F.regexp_replace(x, r"^[+-]\s*", "")
+    quoted = lambda x: body(x).startswith('"')
+    text = lambda x: strip(F.when(quoted(x), F.regexp_replace(body(x), r'^"|"$', "")).otherwise(body(x)))
+    clauses = F.transform(pieces, lambda x: F.struct(text(x).alias("text"), quoted(x).alias("is_phrase"), x.startswith("+").alias("must")))
+    return F.filter(clauses, lambda c: c["text"] != "")
+
+
+def query_clauses(boosted: Column, normal: Column) -> Column:
+    """Clauses of a keyword query, in order: boosted terms must match, normal ones may; each (term, must) once, whatever its
+    case; terms of several words are phrases."""
+    def of(terms: Column, must: bool) -> Column:
+        known = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), strip), lambda t: t != "")
+        low = F.transform(known, F.lower)
+        first = F.filter(known, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+        return F.transform(first, lambda t: F.struct(t.alias("text"), t.rlike(r"\s").alias("is_phrase"), F.lit(must).alias("must")))
+
+    return F.concat(of(boosted, True), of(normal, False))
+
+
+def query_text(boosted: Column, normal: Column) -> Column:
+    """The normal terms, else the boosted ones, joined by blanks; "keyword" if there is none."""
+    joined = lambda c: F.nullif(F.array_join(F.filter(F.transform(c, strip), lambda t: t != ""), " "), F.lit(""))
+    return F.coalesce(joined(normal), joined(boosted), F.lit("keyword"))
+
+
+def analyzer_terms(keyword_query: Column, boosted: Column, regular: Column, question: Column) -> Column:
+    """The terms of one query: the analyzer's keywords, else its boosted and regular ones, else the question's; each once."""
+    some = lambda c: F.filter(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda t: t != "")
+    a, b = some(keyword_query), some(F.concat(F.coalesce(boosted, F.array().cast("array<string>")), F.coalesce(regular, F.array().cast("array<string>"))))
+    return F.when(F.size(a) > 0, a).when(F.size(b) > 0, b).otherwise(F.array_distinct(keyword_tokens(question)))
+
+
+def search_text(generated: Column, question: Column) -> Column:
+    """A generated text (simulated answer, hypothetical abstract, rewrite) in place of the question, unless it is blank."""
+    return F.coalesce(_blank(generated), strip(question))
+
+
+def scored_candidates(questions: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(qid, term, score, sources)``: candidate terms of ``questions(qid, text)`` with those of their documents' anchors.
+
+    Phrases between stop words of at most five tokens and 96 characters, mostly letters, score the sum of their words' degrees
+    plus frequencies over frequency, counted in the question, and more for several words, capitals, digits and an early place. A phrase
+    of several words counts only if all are capitalised or one holds a digit. Terms of ``anchors(qid, section_titles,
+    model_names)`` and of the question's intent have fixed scores; a term found several times keeps its best."""
+    word = r"[A-Za-z0-9][A-Za-z0-9\-]+"
+    pieces, gaps = F.regexp_extract_all("text", F.lit(f"({word})"), 1), F.transform(F.split("text", word), F.length)
+    zipped = F.arrays_zip(pieces.alias("surface"), F.slice(gaps, 1, F.size(pieces)).alias("gap"))
+    t = questions.where("text is not null").select("qid", F.posexplode(zipped).alias("pos", "x")).select("qid", "pos", "x.surface", "x.gap")
+    t = t.withColumn("lemma", F.lower("surface"))
+    own = Window.partitionBy("qid").orderBy("pos")
+    t = t.withColumn("start", F.sum(F.col("gap") + F.length("surface")).over(own) - F.length("surface"))
+    t = t.withColumn("stop", F.col("lemma").isin(STOP_WORDS)).withColumn("grp", F.sum(F.col("stop").cast("int")).over(own)).where("not stop")
+    t = t.withColumn("len", F.count("*").over(Window.partitionBy("qid", "grp")))
+    same = Window.partitionBy("qid", "lemma")
+    t = t.withColumn("ws", (F.sum(F.col("len") - 1).over(same) + F.count("*").over(same)) / F.count("*").over(same))
+    upper, digit = F.col("surface").rlike("^[A-Z]"), F.col("surface").rlike("[0-9]")
+    p = t.groupBy("qid", "grp", "len").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "surface"))), lambda x: x["surface"]), " ").alias("term"), F.min("start").alias("start"), F.sum("ws").alias("base"),
+        F.bool_and(upper).alias("caps"), F.bool_or(digit).alias("digit"), F.bool_or(F.length("lemma") >= 3).alias("long"), F.bool_or(F.col("surface").rlike("^[A-Z0-9\\-]*[A-Z][A-Z0-9\\-]*$")).alias("acronym"),
+    )
+    several = (F.col("len") == 1) | F.col("caps") | F.col("digit")
+    p = p.where((F.col("len") <= 5) & (F.length("term") <= 96) & (alpha_ratio(F.col("term")) >= 0.35) & several & (F.col("long") | ((F.col("len") > 1) & F.col("caps")) | F.col("acronym") | F.col("digit")))
+    more = F.when(F.col("len") > 1, 0.3).otherwise(0.0) + F.when(F.col("caps"), 0.4).otherwise(0.0) + F.when(F.col("digit"), 0.2).otherwise(0.0) + F.greatest(F.lit(0.0), 0.4 - F.col("start") * 0.01)
+    own_terms = p.select("qid", "term", (F.col("base") + more).alias("score"), F.lit("rake").alias("source"))
+    listed = lambda c, score, name: anchors.select("qid", F.explode(F.array_distinct(F.filter(F.transform(c, strip), lambda x: x != ""))).alias("term"), F.lit(score).alias("score"), F.lit(name).alias("source"))
+    cues = F.create_map(*[x for k, v in INTENT_CUES.items() for x in (F.lit(k), words_of(v))])
+    hit = F.filter(F.map_keys(cues), lambda k: F.contains(F.lower(F.col("text")), k))
+    intent = questions.select("qid", F.explode(F.flatten(F.transform(hit, lambda k: F.element_at(cues, k)))).alias("term"), F.lit(INTENT_SCORE).alias("score"), F.lit("intent").alias("source"))
+    every = own_terms.unionByName(listed("section_titles", SECTION_SCORE, "section")).unionByName(listed("model_names", MODEL_SCORE, "model")).unionByName(intent)
+    return every.groupBy("qid", F.lower("term").alias("term")).agg(F.round(F.max("score"), 6).alias("score"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 def section_score(question: Column, title: Column, priority: Column | None = None) -> Column:

@@ -28,7 +28,35 @@ def delete_index(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p) and fs.delete(p, True))
 
 
-def create_index(chunks: DataFrame, path: str, recreate: bool = False, dims: int | None = None) -> None:
+#: settings of a new index: analyzer, similarity and graph parameters (fixed values; retrieval takes them as arguments)
+SETTINGS = {"analyzer": "english", "similarity": {"k1": 1.4, "b": 0.75}, "vectors": {"dims": 768, "metric": "cosine", "m": 16, "ef_construction": 128}}
+
+
+def merged_settings(base: dict, extra: dict | None) -> dict:
+    """``extra`` over ``base``, section by section."""
+    out = dict(base)
+    for k, v in (extra or {}).items():
+        out[k] = merged_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    """The settings an index was made with."""
+    return json.loads(load_index(spark, path, "settings").first()["settings"])
+
+
+def evolve(spark: SparkSession, path: str, columns: dict[str, str], generation: str) -> None:
+    """Make new columns part of an index: an empty generation that has them. A column known with another type is an error."""
+    have = load_index(spark, path)
+    known = dict(have.dtypes)
+    wrong = {c: k for c, k in columns.items() if known.get(c, k) != k}
+    if wrong:
+        raise ValueError(f"columns of another type in the index: {json.dumps(wrong)}")
+    fields = {"id": known["id"], **columns, "generation": "string"}
+    spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in fields.items())).write.mode("append").parquet(f"{path}/chunks")
+
+
+def create_index(chunks: DataFrame, path: str, recreate: bool = False, dims: int | None = None, extra_settings: dict | None = None) -> None:
     """Write ``chunks`` (id, text and any other columns; vector if there are vectors) with its postings.
 
     Ids must not be null, and vectors, where given, must have ``dims`` numbers. Postings are range-partitioned and sorted by
@@ -40,6 +68,8 @@ def create_index(chunks: DataFrame, path: str, recreate: bool = False, dims: int
         raise ValueError("a chunk has no id, or a vector of another length")
     mode = "overwrite" if recreate else "errorifexists"
     chunks.write.mode(mode).parquet(f"{path}/chunks")
+    made = json.dumps(merged_settings(SETTINGS, extra_settings))
+    chunks.sparkSession.range(1).select(F.lit(made).alias("settings")).write.mode(mode).parquet(f"{path}/settings")
     postings(chunks.select("id", "text")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
 
 

@@ -44,6 +44,13 @@ def read_payloads(spark: SparkSession, path: str, *text_fields: str) -> DataFram
     return df.withColumn("text", first_non_empty(*have) if have else F.lit(None).cast("string"))
 
 
+def payload_text(raw: Column, *text_fields: str) -> Column:
+    """The text of a payload given as JSON: the first of the fields that isn't blank; null for malformed JSON."""
+    fields = text_fields or ("processed_text", "full_text", "summary")
+    j = F.from_json(raw, ", ".join(f"`{f}` string" for f in fields))
+    return first_non_empty(*[j[f] for f in fields])
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Add each missing column with its default, and fill nulls of the others with it."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})

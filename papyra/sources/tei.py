@@ -43,7 +43,12 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()))], ["path", "sentence_id", "text", "section", "order"])
 
 
+def tei_rows(files: DataFrame) -> DataFrame:
+    """One row per sentence of ``files(path, xml)``."""
+    return files.select("path", "xml").where("xml is not null").mapInArrow(_run, SENTENCE)
+
+
 def read_tei(spark: SparkSession, path: str) -> DataFrame:
     """One row per sentence of every file under ``path``. A file is one task's text, as XML can't be cut; malformed XML raises."""
     files = spark.read.option("wholetext", True).text(path).selectExpr("_metadata.file_path as path", "value as xml")
-    return files.mapInArrow(_run, SENTENCE)
+    return tei_rows(files)
