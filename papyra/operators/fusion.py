@@ -41,11 +41,11 @@ def zscore_fused(hits: DataFrame, alpha: float = 0.5) -> DataFrame:
     return hits.withColumn("fused", F.round(alpha * z_lex + (1 - alpha) * z_sem, 6))
 
 
-def max_normalised(hits: DataFrame) -> DataFrame:
+def max_normalised(hits: DataFrame, digits: int = 6) -> DataFrame:
     """Sum of both scores, each divided by the query's largest."""
     w = Window.partitionBy("qid")
     part = lambda c: F.coalesce(F.col(c) / F.nullif(F.max(c).over(w), F.lit(0.0)), F.lit(0.0))
-    return hits.withColumn("fused", F.round(part("lexical_score") + part("semantic_score"), 6))
+    return hits.withColumn("fused", F.round(part("lexical_score") + part("semantic_score"), digits))
 
 
 def best_sentence(text: Column, wanted: Column) -> Column:
@@ -89,7 +89,7 @@ def diversified(hits: DataFrame, id_type: str, weight: float = 0.3, most: int =
 def expanded(chunks: DataFrame, hops: int = 2) -> DataFrame:
     """Chunks ``(doc_id, chunk_id, text)`` with ``context``: following text joined until it reads as complete, at most so many
     steps; an incomplete one also takes the text before it."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_id")
+    w = Window.partitionBy("doc_id").orderBy("chunk_id", *(["id"] if "id" in chunks.columns else []))
     context, state = F.col("text"), completeness(F.col("text"))
     out = chunks.withColumn("before", F.lag("text").over(w))
     for h in range(1, hops + 1):

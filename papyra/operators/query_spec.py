@@ -17,7 +17,7 @@ INTENTS = ["find_papers", "find_specific_paper", "find_author"]
 QUALIFIERS = ["recent", "popular", "classic", "central"]
 #: scores of a document's section titles and model names, and of terms that an intent suggests
 SECTION_SCORE, MODEL_SCORE, INTENT_SCORE = 2.4, 2.2, 2.0
-CLAUSE = r'([+-]?\s*(?:"[^"]*"?|[^\s"]\S*))'
+CLAUSE = r'((?:[+-]\s*)?(?:"[^"]*"?|[^\s"]\S*))'
 # -------------------------------------------------------------------------------------------------------------------
 
 

@@ -45,11 +45,6 @@ def chunk_balanced_parts(spark, d):
     return C.balanced_parts(_docs(spark, d), 3)
 
 
-@query("chunk_headings")
-def chunk_headings(spark, d):
-    return C.heading_lines(_docs(spark, d))
-
-
 def _stub_probability(so_far: str, following: str) -> float:
     """A stand-in for a language model's end-of-unit probability, the same for the same text everywhere."""
     return zlib.crc32(so_far[-64:].encode()) % 1000 / 1000

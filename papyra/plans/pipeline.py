@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.records import in_field, year, year_between
@@ -57,10 +57,18 @@ def lexical_quotes(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame
     return best.join(chunks.select("id", "text"), "id").select("qid", "rank", F.col("text").alias("quote"))
 
 
-def semantic_quotes(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """``(qid, rank, quote)``: the texts of the k chunks ``(id long, text, vector)`` nearest to each question ``(qid, v)``."""
-    near = vector_topk(chunks.select("id", F.col("vector").alias("v")), questions, k, keep_self=True)
-    return near.join(chunks.select("id", "text"), "id").select("qid", "rank", F.col("text").alias("quote"))
+def semantic_quotes(vectors: DataFrame, questions: DataFrame, k: int, texts: DataFrame) -> DataFrame:
+    """``(qid, rank, quote)``: the ``texts(id, text)`` of the k of ``vectors(id long, vector)`` nearest to each question
+    ``(qid, v)``; a vector without a text gives no quote."""
+    near = vector_topk(vectors.select("id", F.col("vector").alias("v")), questions, k, keep_self=True)
+    return texts.select("id", "text").join(small_side(near.select("qid", "id", "rank")), "id").select("qid", "rank", F.col("text").alias("quote"))
+
+
+def knn(vectors: DataFrame, questions: DataFrame, k: int, candidates: int | None = None, filters: Column | None = None) -> DataFrame:
+    """``(qid, id, score, rank)``: the k best of ``candidates`` (by default max(2 k, 100)) nearest vectors, among the rows of the
+    filter. The candidates are exact, so that their number changes nothing but what is fetched."""
+    rows = vectors if filters is None else vectors.where(filters)
+    return vector_topk(rows, questions, max(k, candidates or max(2 * k, 100)), keep_self=True).where(F.col("rank") <= k)
 
 
 def with_provenance(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -73,12 +73,6 @@ def prj_year_filter(spark, d):
     return p.where(R.year_between(R.year(F.col("update_date")), 2019, 2022)).select("id", "ingested_at")
 
 
-@query("prj_venue_author_filter", "SELECT doc_id FROM documents WHERE contains(lower(source), 'review') OR contains(lower(source), 'wiki')")
-def prj_venue_author_filter(spark, d):
-    s = F.lower("source")
-    return table(spark, d, "documents").where(s.contains("review") | s.contains("wiki")).select("doc_id")
-
-
 @query("prj_field_filter", "SELECT id, ingested_at FROM chunks WHERE list_bool_or([contains(lower(x), 'method') FOR x IN headings])")
 def prj_field_filter(spark, d):
     return table(spark, d, "chunks").where(R.in_field(F.col("headings"), "method")).select("id", "ingested_at")
@@ -89,24 +83,11 @@ def prj_section_filter(spark, d):
     return table(spark, d, "chunks").where(F.lower(T.strip(F.col("section_title"))) == "method").select("id", "ingested_at")
 
 
-@query("prj_drop_references", "SELECT section_title, count(*) AS n FROM chunks WHERE NOT (contains(lower(section_title), 'referenc') OR contains(lower(section_title), 'citation')) GROUP BY 1")
-def prj_drop_references(spark, d):
-    low = F.lower("section_title")
-    return table(spark, d, "chunks").where(~(low.contains("referenc") | low.contains("citation"))).groupBy("section_title").agg(F.count("*").alias("n"))
-
-
 @query("prj_trimmed", "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS short FROM documents")
 def prj_trimmed(spark, d):
     return table(spark, d, "documents").select("doc_id", R.trimmed(F.col("text"), 80).alias("short"))
 
 
-@query("join_metadata_left", "SELECT d.doc_id, coalesce(nullif(trim(p.title), ''), '') AS title, p.categories FROM documents d LEFT JOIN (SELECT * FROM papers QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1) p ON p.id = d.paper_id")
-def join_metadata_left(spark, d):
-    p = latest_rows(table(spark, d, "papers").select("id", "title", "categories", "ingested_at"), ["id"], "ingested_at").drop("ingested_at")
-    j = table(spark, d, "documents").select("doc_id", "paper_id").join(p, F.col("paper_id") == F.col("id"), "left")
-    return j.select("doc_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("")).alias("title"), "categories")
-
-
 @query("join_neighbours", "WITH c AS (SELECT DISTINCT id, prev_chunk_id, next_chunk_id, text FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1) SELECT c.id, length(p.text) AS before, length(n.text) AS after FROM c LEFT JOIN c p ON p.id = c.prev_chunk_id LEFT JOIN c n ON n.id = c.next_chunk_id")
 def join_neighbours(spark, d):
     c = latest_rows(table(spark, d, "chunks").select("id", "prev_chunk_id", "next_chunk_id", "text", "ingested_at"), ["id"], "ingested_at").select("id", "prev_chunk_id", "next_chunk_id", F.length("text").alias("n"))
@@ -170,11 +151,6 @@ def agg_corpus_statistics(spark, d):
     return corpus_statistics(table(spark, d, "documents")).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query("agg_ordered_dedupe", "SELECT min(doc_id) AS doc_id, md5(trim(text)) AS h, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY trim(text)")
-def agg_ordered_dedupe(spark, d):
-    return table(spark, d, "documents").where("text is not null").groupBy(F.md5(F.trim("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-
-
 _PHRASES = r"""
 WITH t AS (SELECT query_id, regexp_extract_all(lower(raw), '[a-z0-9][a-z0-9\-]+') AS t FROM query_specs WHERE raw IS NOT NULL),
 w AS (SELECT query_id, unnest(range(len(t))) AS pos, unnest(t) AS w FROM t),

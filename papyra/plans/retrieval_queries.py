@@ -358,15 +358,6 @@ def fuse_section_bias(spark, d):
     return j.select(F.col("query_id").alias("qid"), "id", (F.floor(1000000 * F.col("fused_score") * T.section_bias(F.col("section_title"), F.array_join("headings", " ")) + 0.5) / 1000000).alias("biased"))
 
 
-@query("fuse_best_sentence")
-def fuse_best_sentence(spark, d):
-    k = latest_rows(table(spark, d, "candidates").select("query_id", "chunk_id", "logged_at"), ["query_id", "chunk_id"], "logged_at")
-    c = latest_rows(table(spark, d, "chunks").select("id", "text", "ingested_at"), ["id"], "ingested_at")
-    q = table(spark, d, "query_specs").select("query_id", F.array_distinct(F.transform(F.concat(F.coalesce("keyword_boosted", F.array()), F.coalesce("keyword_regular", F.array())), F.lower)).alias("wanted"))
-    j = k.join(c, F.col("chunk_id") == F.col("id")).join(small_side(q), "query_id")
-    return j.select("query_id", "chunk_id", U.best_sentence(F.col("text"), F.col("wanted")).alias("b")).select("query_id", "chunk_id", "b.score", "b.sentence")
-
-
 @query("fuse_mmr")
 def fuse_mmr(spark, d):
     k = latest_rows(table(spark, d, "candidates").select("query_id", "chunk_id", "fused_score", "logged_at"), ["query_id", "chunk_id"], "logged_at").where("fused_score is not null")
@@ -374,9 +365,3 @@ def fuse_mmr(spark, d):
     top = L.top_per_query(k.select(F.col("query_id").alias("qid"), F.col("chunk_id").alias("id"), F.col("fused_score").alias("score")), 50)
     j = top.join(c, "id").select("qid", "id", F.col("score").alias("fused"), F.array_distinct(T.tokens(F.lower("text"))).alias("tokens"))
     return U.diversified(j, "string")
-
-
-@query("fuse_expand_adjacent")
-def fuse_expand_adjacent(spark, d):
-    c = latest_rows(table(spark, d, "chunks").where("text is not null").select("id", "doc_id", "chunk_id", "text", "ingested_at"), ["id"], "ingested_at")
-    return U.expanded(c.select("id", "doc_id", "chunk_id", "text")).select("id", "context", "state")

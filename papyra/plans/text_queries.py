@@ -52,11 +52,6 @@ def fn_sentences(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("fn_closed_sentences")
-def fn_closed_sentences(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(T.closed_sentences(F.col("text"))).alias("pos", "sentence"))
-
-
 @query("fn_first_sentences", f"SELECT doc_id, array_to_string(({_SENTENCES})[1:2], ' ') AS lead FROM documents")
 def fn_first_sentences(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.slice(T.sentences(F.col("text")), 1, 2), " ").alias("lead"))
