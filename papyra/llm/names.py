@@ -1,8 +1,9 @@
 """Link spellings of names: phonetic blocks, Jaro-Winkler with a nickname table, connected components.
 
-A spelling is read as surname and given names in every order it allows. Spellings of one phonetic block are compared; full
-given names that agree make a strong link. Spellings with initials only are then given to the one component of full names
-they fit, if it is one: best with equal middle initials, else with the same surname, else with a surname one edit away.
+A spelling is read as surname and given names in every order it allows. Spellings of one block of phonetic codes are compared;
+surnames alike by Jaro-Winkler with full given names that agree (alike too, or short forms) make a strong link. Spellings with
+initials only are then given to the one component of full names they fit, if it is one: best with equal middle initials, else
+with the same surname, else with one that is alike.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +23,31 @@ from papyra.operators.blocking import block_pairs
 from papyra.operators.components import connected_components
 from papyra.storage import stage
 
-#: given names with their short forms (fixed values)
+#: common given names with their everyday short forms, in several languages (fixed values)
 NICKNAMES = {
-    "alexander": "alex sasha sandy al xander lex", "anneliese": "anne anna liese anni", "andrew": "andy drew", "anthony": "tony",
-    "beatrice": "bea trixie trix beatrix", "benedikt": "ben benny bene", "benjamin": "ben benny", "catherine": "cathy kate katie kathy cat", "charles": "charlie chuck",
-    "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy", "dorothea": "dora dot dolly thea dorothy", "edward": "ed eddie ted ned",
-    "elizabeth": "beth liz lizzie betty eliza lisa ela", "frederick": "fred freddy rick fritz", "gabriela": "gabi gaby ela gabby", "george": "georgie", "haruka": "haru",
-    "henrietta": "hettie etta hetty harriet", "henry": "harry hank", "ignatius": "iggy nace ignaz", "isabella": "bella isa izzy ella belle", "jadwiga": "jadzia wiga hedwig",
-    "james": "jim jimmy jamie", "john": "jack johnny", "jonathan": "jon jonny nathan", "joseph": "joe joey", "konstantin": "kostya kosta stan", "leonardo": "leo nardo len",
-    "margaret": "maggie peggy meg greta daisy", "matthew": "matt", "michael": "mike mick", "minh": "", "nicholas": "nick nicky nico", "oliver": "ollie olly noll",
-    "oluwaseun": "seun olu", "patricia": "pat trish tricia patty", "peter": "pete", "priyanka": "priya pri", "richard": "dick rick richie", "robert": "bob rob bobby robbie bert",
-    "rutendo": "ruth tendo ru", "samantha": "sam sammy", "samuel": "sam sammy", "stephen": "steve", "susan": "sue susie", "theodore": "ted theo teddy", "thomas": "tom tommy",
-    "tomasz": "tomek tom", "ursula": "ulla uschi ursel", "victoria": "vicky vic tori", "william": "bill will billy liam willy", "xiaolan": "lan lanlan", "yevgenia": "zhenya eugenia jenya genia", "zoltan": "zoli zolti",
+    "aaron": "ron", "abigail": "abby gail", "abraham": "abe bram", "adalbert": "bert", "agnieszka": "aga", "albert": "al bert", "aleksandra": "ola sasha", "alexander": "alex sasha sandy xander lex alec", "alexandra": "alex sasha sandra sandy lexi", "alfonso": "poncho fonsi",
+    "alfred": "al alf fred", "alice": "ali", "amanda": "mandy", "anastasia": "nastya stacy asya", "andrea": "andi", "andreas": "andi", "andrew": "andy drew", "angela": "angie", "anna": "annie anya ania", "anneliese": "anne liese",
+    "anthony": "tony", "antonio": "toni tonio", "arthur": "art artie", "augustus": "gus", "barbara": "barb babs basia", "bartholomew": "bart", "beatrice": "bea trixie", "benjamin": "ben benny benji", "bernard": "bernie", "bradley": "brad",
+    "bridget": "biddy", "calvin": "cal", "cameron": "cam", "carolina": "carol lina", "caroline": "carrie carol", "catherine": "cathy cate kitty kate katie", "cecilia": "celia cissy", "charles": "charlie chuck chas", "charlotte": "lottie charlie lotte", "christian": "chris",
+    "christina": "chris tina chrissy", "christine": "chris chrissy", "christopher": "chris kit topher", "clara": "clare", "clifford": "cliff", "constance": "connie", "cornelius": "neil", "cynthia": "cindy", "daniel": "dan danny", "daniela": "dani",
+    "danielle": "dani", "david": "dave davy", "deborah": "deb debbie", "dennis": "denny", "dmitri": "dima mitya", "dolores": "lola", "dominic": "dom nick", "donald": "don donnie", "dorothea": "dora thea", "dorothy": "dot dottie dolly",
+    "douglas": "doug", "edith": "edie", "eduardo": "edu lalo", "edward": "ed eddie ted ned", "ekaterina": "katya", "eleanor": "ellie nell nora", "elena": "lena", "elizabeth": "beth liz lizzie betty eliza lisa libby elsie bess", "emily": "em emmy", "enrique": "quique kike",
+    "ernest": "ernie", "eugene": "gene", "evelyn": "eve evie", "ferdinand": "ferdi", "fernando": "nando", "florence": "flo florrie", "frances": "fran frannie", "francisco": "paco pancho curro", "francis": "frank fran", "franciszek": "franek",
+    "franklin": "frank", "frederick": "fred freddy fritz rick", "gabriel": "gabe gabi", "gabriela": "gabi gaby", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "trudy gert", "gilbert": "gil bert", "giovanni": "gianni nino vanni",
+    "giuseppe": "beppe peppe pino", "gregory": "greg", "guadalupe": "lupe", "guillermo": "memo", "gwendolyn": "gwen", "hannah": "nan", "harold": "hal harry", "harriet": "hattie", "heinrich": "heinz heiner", "helen": "nell nellie lena",
+    "henrietta": "etta hettie hetty", "henry": "harry hank hal", "hermann": "harm", "hubert": "hugh bert", "ignacio": "nacho", "ignatius": "iggy", "irina": "ira", "isaac": "ike zac", "isabel": "bella izzy bel", "isabella": "bella izzy isa",
+    "ivan": "vanya", "jacob": "jake", "jacqueline": "jackie", "jadwiga": "jadzia", "jakub": "kuba", "james": "jim jimmy jamie", "janet": "jan", "jeffrey": "jeff", "jennifer": "jenny jen", "jeremiah": "jerry",
+    "jessica": "jess jessie", "joanna": "jo asia", "johann": "hans hannes", "johannes": "hans hannes jannes", "john": "jack johnny jock", "jonathan": "jon jonny nathan", "jose": "pepe", "joseph": "joe joey jo", "josephine": "jo josie", "joshua": "josh",
+    "juan": "juanito", "judith": "judy", "julia": "jules", "katarzyna": "kasia", "katharina": "kathi kati", "katherine": "kate katie kathy kat kitty", "kenneth": "ken kenny", "konstantin": "kostya kosta", "krzysztof": "krzys krzysiek", "lawrence": "larry laurie",
+    "leonard": "len lenny leo", "leonardo": "leo", "louis": "lou louie", "louise": "lou", "lucille": "lucy", "ludwig": "lutz", "malgorzata": "gosia", "manuel": "manolo manu", "margaret": "maggie peggy meg madge greta daisy marge", "maria": "mary masha mia",
+    "martha": "marty patty", "martin": "marty", "mathilda": "tilly matty", "matthew": "matt", "maximilian": "max", "michael": "mike mick mickey misha", "mikhail": "misha", "mildred": "millie", "nathaniel": "nate nat", "natalia": "natasha talia",
+    "nicholas": "nick nicky nico klaus", "nikolai": "kolya", "oliver": "ollie noll", "pamela": "pam", "patricia": "pat patty tricia trish", "patrick": "pat paddy rick", "peter": "pete", "philip": "phil pip", "rafael": "rafa", "raymond": "ray",
+    "rebecca": "becky becca", "richard": "dick rick rich richie", "robert": "bob rob bobby robbie bert", "roberto": "beto", "ronald": "ron ronnie", "rosemary": "rose rosie", "rudolf": "rudi", "samantha": "sam sammy", "samuel": "sam sammy", "sebastian": "seb basti",
+    "stanislaw": "stas staszek", "stephen": "steve", "steven": "steve", "susan": "sue susie suzy", "sylvia": "sylvie", "teresa": "terry tess tracy", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "ursula": "uschi ulla",
+    "victoria": "vicky tori vic", "vladimir": "vova volodya", "walter": "walt wally", "wilhelm": "willi helm", "william": "bill will billy liam willy", "yevgenia": "zhenya", "yevgeny": "zhenya",
 }
+#: endings of pet forms (fixed values)
+PET_ENDINGS = ("y", "ie", "i", "ka", "ko", "zia", "sia", "ya", "ek", "ik", "ito", "ita", "chen", "cito", "cita")
 _FULL: dict[str, set[str]] = {}
 for _name, _short in NICKNAMES.items():
     for _s in _short.split():
@@ -96,9 +110,7 @@ def readings(name: str) -> list[Reading]:
     return out
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
+def _jaro(a: str, b: str) -> float:
     reach = max(0, max(len(a), len(b)) // 2 - 1)
     used = [False] * len(b)
     left = []
@@ -113,7 +125,15 @@ def jaro_winkler(a: str, b: str) -> float:
     right = [c for c, u in zip(b, used) if u]
     m = len(left)
     t = sum(x != y for x, y in zip(left, right)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    return (m / len(a) + m / len(b) + (m - t) / m) / 3
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro-Winkler similarity. Letters are matched from either end, whichever finds more in order: one letter typed too many
+    would else take the place of its like and put all that follow out of order."""
+    if a == b:
+        return 1.0
+    jaro = max(_jaro(a, b), _jaro(a[::-1], b[::-1]))
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
         if x != y:
@@ -122,49 +142,147 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Equal, or one letter inserted, left out, replaced, or swapped with its neighbour."""
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+#: how alike two spellings of a surname, or of a given name, must be by Jaro-Winkler; given names differ by less between people
+ALIKE, GIVEN_ALIKE = 0.87, 0.9
+#: what a mistyped given name must reach to be taken for a known one
+KNOWN_ALIKE = 0.92
+
+
+def _slack(longer):
+    """How many letters more the longer of two spellings may have: Jaro-Winkler alone is mild on endings."""
+    return 1 + (longer > 8)
+
+
+def near(a: str, b: str, least: float = ALIKE) -> bool:
+    """A typing slip apart."""
+    return abs(len(a) - len(b)) <= _slack(max(len(a), len(b))) and jaro_winkler(a, b) >= least
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    wide = max(1, max(map(len, words), default=1))
+    codes = np.zeros((len(words), wide), np.uint32)
+    for k, w in enumerate(words):
+        codes[k, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+    return codes
+
+
+def _jaros(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    left, used = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
+    col = np.arange(a.shape[1])
+    for c in range(a.shape[1]):
+        ok = (b == a[:, c, None]) & ~used & (np.abs(col - c)[None] <= reach[:, None]) & (a[:, c, None] != 0)
+        at = ok.argmax(1)
+        rows = np.flatnonzero(ok.any(1))
+        used[rows, at[rows]] = True
+        left[rows, c] = True
+    m = left.sum(1)
+    x = np.take_along_axis(a, np.argsort(~left, axis=1, kind="stable"), 1)
+    y = np.take_along_axis(b, np.argsort(~used, axis=1, kind="stable"), 1)
+    swapped = ((x != y) & (col[None] < m[:, None])).sum(1) / 2
+    return np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swapped) / np.maximum(m, 1)) / 3, 0.0)
+
+
+def jaro_winkler_pairs(words: list[str], i: np.ndarray, j: np.ndarray, most: int = 100_000) -> np.ndarray:
+    """``jaro_winkler`` of words[i] with words[j] for arrays of places; 0 where the lengths alone tell that they aren't near."""
+    codes, back = _letters(words), _letters([w[::-1] for w in words])
+    length = np.array([len(w) for w in words] or [0])
+    out = np.zeros(len(i))
+    # at best all letters of the shorter word match, in order, four of them at the beginning
+    short, long = np.minimum(length[i], length[j]), np.maximum(length[i], length[j])
+    top = (2 + short / np.maximum(long, 1)) / 3
+    likely = np.flatnonzero((top + 0.4 * (1 - top) >= ALIKE) & (long - short <= _slack(long)))
+    for lo in range(0, len(likely), most):
+        at = likely[lo : lo + most]
+        p, q = i[at], j[at]
+        la, lb = length[p], length[q]
+        w = max(1, int(max(la.max(initial=0), lb.max(initial=0))))
+        a, b = codes[p, :w], codes[q, :w]
+        jaro = np.maximum(_jaros(a, b, la, lb), _jaros(back[p, :w], back[q, :w], la, lb))
+        prefix = np.cumprod((a[:, :4] == b[:, :4]) & (a[:, :4] != 0), axis=1).sum(1)
+        jaro[(p == q) & (la > 0)] = 1.0
+        out[at] = jaro + prefix * 0.1 * (1 - jaro)
+    return out
 
 
-def near(a: str, b: str, least: float = 0.8) -> bool:
-    """A typing slip apart: alike by Jaro-Winkler, and one edit between words long enough to stay themselves."""
-    return min(len(a), len(b)) >= 5 and one_edit(a, b) and jaro_winkler(a, b) >= least
+@lru_cache(maxsize=100_000)
+def _names(word: str) -> frozenset[str]:
+    """The names a given name may stand for: itself, and what it is short for."""
+    return frozenset({word} | _FULL.get(word, set()))
 
 
 @lru_cache(maxsize=100_000)
 def _canon(word: str) -> frozenset[str]:
-    """The names a typed given name may stand for: itself, what it is short for, or a known name one slip away."""
-    slips = set() if len(word) < 5 or word in NICKNAMES or word in _FULL else {n for n in NICKNAMES if abs(len(n) - len(word)) < 2 and near(word, n)}
-    return frozenset({word} | _FULL.get(word, set()) | slips)
+    """The same, and for an unknown word the known names it is a slip of."""
+    if len(word) < 5 or word in NICKNAMES or word in _FULL:
+        return _names(word)
+    return _names(word) | {n for n in NICKNAMES if (n[0] == word[0] or n[-2:] == word[-2:]) and near(word, n, KNOWN_ALIKE)}
 
 
-def given_match(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
-    """How two lists of given names agree: ``full``, ``slip``, ``initial`` (letter and word), ``letters``, or not at all."""
-    if not a or not b:
-        return None
-    x, y = a[0], b[0]
-    if a[1:] and b[1:]:
-        p, q = a[1], b[1]
-        if p != q and (p[0] != q[0] if 1 in (len(p), len(q)) else not near(p, q)):
-            return None
+@lru_cache(maxsize=100_000)
+def _stems(word: str) -> tuple[str, ...]:
+    """A pet form without its ending, and without the letter doubled before it; three letters are left at least."""
+    out = []
+    for e in PET_ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= 3:
+            stem = word[: -len(e)]
+            out.append(stem)
+            if len(stem) > 3 and stem[-1] == stem[-2]:
+                out.append(stem[:-1])
+    return tuple(out)
+
+
+def shortened(short: str, name: str) -> bool:
+    """Whether ``short`` is a part of a longer name people go by: its beginning or its end, or the stem of a pet form. A name
+    that is known as a full one isn't."""
+    if short in NICKNAMES:
+        return False
+    cut = 3 <= len(short) <= len(name) - 2 and (name.startswith(short) or name.endswith(short))
+    return cut or any(len(name) > len(x) + 1 and name.startswith(x) for x in _stems(short))
+
+
+def _slip_allowed(x: str, y: str) -> bool:
+    """Two different names that both are known aren't spellings of each other."""
+    return not ((x in NICKNAMES or x in _FULL) and (y in NICKNAMES or y in _FULL))
+
+
+def first_match(x: str, y: str) -> str | None:
+    """How two first given names agree: ``full``, ``slip``, ``initial`` (letter and word), ``letters``, or not at all."""
     if len(x) > 1 and len(y) > 1:
-        if x == y or ({x} | _FULL.get(x, set())) & ({y} | _FULL.get(y, set())):
+        if _names(x) & _names(y) or shortened(x, y) or shortened(y, x):
             return "full"
-        return "slip" if _canon(x) & _canon(y) or near(x, y) else None
+        return "slip" if _slip_allowed(x, y) and near(x, y, GIVEN_ALIKE) or _canon(x) & _canon(y) else None
     if len(x) == 1 and len(y) == 1:
         return "letters" if x == y else None
     letter, word = (x, y) if len(x) == 1 else (y, x)
-    return "initial" if any(c[0] == letter for c in _canon(word)) else None
+    return "initial" if any(n[0] == letter for n in _canon(word)) else None
+
+
+def middles_agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether the second given names, where both have one, don't contradict each other."""
+    if not (a[1:] and b[1:]):
+        return True
+    p, q = a[1], b[1]
+    return p == q or (p[0] == q[0] if 1 in (len(p), len(q)) else near(p, q, GIVEN_ALIKE))
+
+
+def given_match(a: tuple[str, ...], b: tuple[str, ...]) -> str | None:
+    """How two lists of given names agree, as ``first_match`` says of the first ones."""
+    return first_match(a[0], b[0]) if a and b and middles_agree(a, b) else None
+
+
+def _link(r: Reading, s: Reading, surname: float, how: str) -> tuple[int, int, str] | None:
+    """The link of two readings whose surnames are so alike and whose first given names agree so; smaller is better."""
+    same = surname == 1.0
+    # a slip in both names: what they differ by together must not exceed what one may
+    if how == "slip" and not same and (1 - surname) + (1 - jaro_winkler(r.given[0], s.given[0])) > 1 - ALIKE:
+        return None
+    if not middles_agree(r.given, s.given):
+        return None
+    middles = bool(r.given[1:] and s.given[1:]) or (same and r.given == s.given)
+    tier = (0 if middles else 1) if same else 2
+    kind = "strong" if how in ("full", "slip") or (how == "letters" and middles) else how
+    return {"strong": 0, "initial": 1, "letters": 2}[kind], tier, kind
 
 
 def compare(a: list[Reading], b: list[Reading]) -> tuple[str, int] | None:
@@ -172,38 +290,46 @@ def compare(a: list[Reading], b: list[Reading]) -> tuple[str, int] | None:
     best = None
     for r in a:
         for s in b:
-            if r.organisation != s.organisation:
-                continue
-            same = r.surname == s.surname
-            if not same and not near(r.surname, s.surname):
+            alike = jaro_winkler(r.surname, s.surname)
+            if r.organisation != s.organisation or not near(r.surname, s.surname) or (r.surname != s.surname and not _slip_allowed(r.surname, s.surname)):
                 continue
             if r.organisation:
                 return "strong", 0
-            how = given_match(r.given, s.given)
-            if how is None or (how == "slip" and not same and min(len(r.surname), len(s.surname)) < 7):
-                continue
-            middles = bool(r.given[1:] and s.given[1:]) or (same and r.given == s.given)
-            tier = (0 if middles else 1) if same else 2
-            kind = "strong" if how in ("full", "slip") or (how == "letters" and middles) else how
-            found = ({"strong": 0, "initial": 1, "letters": 2}[kind], tier, kind)
-            best = min(best, found) if best else found
+            how = first_match(r.given[0], s.given[0]) if r.given and s.given else None
+            found = how and _link(r, s, alike, how)
+            if found:
+                best = min(best, found) if best else found
     return (best[2], best[1]) if best else None
 
 
-def _codes(word: str) -> set[str]:
-    c = "".join(_CLASS.get(x, "") for x in word)
-    return {f"p{c[:2]}", f"s{c[-2:]}", f"e{c[:1]}{c[-1:]}"}
+@lru_cache(maxsize=200_000)
+def phonetic(word: str) -> str:
+    """The classes of a word's consonants in order; "0" where it has none. Neighbours of one class stay, so that a letter put
+    between them changes one place only."""
+    return "".join(_CLASS.get(x, "") for x in word) or "0"
+
+
+@lru_cache(maxsize=200_000)
+def _variants(word: str) -> tuple[str, ...]:
+    """A word's code, and the code without each of its classes: words one slip apart share one of these."""
+    c = phonetic(word)
+    return tuple(sorted({c} | {c[:i] + c[i + 1 :] for i in range(len(c))})) if len(c) > 2 else (c,)
 
 
 def block_keys(name: str) -> set[str]:
-    """Phonetic codes of the words (their beginning, their end, and both ends), each with an initial of another part."""
+    """Codes of the words, sorted: each variant of one word's whole code with the initials (of the names it may stand for) and
+    the ending of another. As codes are whole, the number of blocks grows with that of different words."""
     out = set()
     for r in readings(name):
         if r.organisation:
-            out |= {f"org {c}" for c in _codes(r.surname)}
-        else:
-            first = {x[0] for x in _canon(r.given[0])} if r.given else {"-"}
-            out |= {f"{c} {f}" for c in _codes(r.surname) for f in first}
+            out |= {f"org {v}" for v in _variants(r.surname.replace(" ", ""))}
+            continue
+        marks = {"-"}
+        if r.given:
+            marks = {n[0] for n in _canon(r.given[0])}
+            if len(r.given[0]) > 1:
+                marks |= {"*" + r.given[0][-2:]}
+        out |= {" ".join(sorted((v, m))) for v in _variants(r.surname) for m in marks}
     return out
 
 
@@ -213,19 +339,81 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.string())], ["key", "name"])
 
 
+def _agreeing(first: list[str]) -> dict[str, list[tuple[str, str]]]:
+    """word -> (other word, how they agree), for all pairs of these first given names, found through shared keys."""
+    words, letters = [w for w in first if len(w) > 1], {w for w in first if len(w) == 1}
+    found: dict[tuple[str, str], str] = {(w, w): "full" if len(w) > 1 else "letters" for w in first}
+    by_name: dict[str, set[str]] = {}
+    for w in words:
+        for n in _names(w):
+            by_name.setdefault(n, set()).add(w)
+    for group in by_name.values():
+        for x in group:
+            found.update(((x, y), "full") for y in group)
+    by_stem: dict[str, list[str]] = {}
+    for w in words:
+        for x in {w, *_stems(w)}:
+            by_stem.setdefault(x, []).append(w)
+    for w in words:
+        for part in {w[:k] for k in range(3, len(w) - 1)} | {w[-k:] for k in range(3, len(w) - 1)}:
+            for x in by_stem.get(part, ()):
+                if shortened(x, w):
+                    found[x, w] = found[w, x] = "full"
+        for x in letters & {n[0] for n in _canon(w)}:
+            found[x, w] = found[w, x] = "initial"
+    if len(words) > 1:
+        i, j = np.triu_indices(len(words), 1)
+        near_ones = jaro_winkler_pairs(words, i, j) >= GIVEN_ALIKE
+        for p, q in zip(i[near_ones], j[near_ones]):
+            x, y = words[p], words[q]
+            if (x, y) not in found and _slip_allowed(x, y):
+                found[x, y] = found[y, x] = "slip"
+    meant: dict[str, list[str]] = {}
+    for w in words:
+        for n in _canon(w):
+            meant.setdefault(n, []).append(w)
+    for group in meant.values():
+        for x in group:
+            found.update(((x, y), "slip") for y in group if (x, y) not in found)
+    out: dict[str, list[tuple[str, str]]] = {}
+    for (x, y), how in found.items():
+        out.setdefault(x, []).append((y, how))
+    return out
+
+
 def _compare_block(t: pa.Table) -> pa.Table:
+    """All links of one block: surnames and first given names are compared once each, and only rows whose names agree meet."""
     names, blk = t.column("name").to_pylist(), t.column("blk").to_pylist()
-    same = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
+    same_block = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
     read = [readings(n) for n in names]
     has = [any(len(r.given[0]) > 1 for r in x if r.given) or any(r.organisation for r in x) for x in read]
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    rows = []
-    for p, i in enumerate(order):
-        for j in order[p + 1 :]:
-            if not same and blk[i] == blk[j]:
-                continue
-            if m := compare(read[i], read[j]):
-                rows.append((names[i], names[j], m[0], m[1], has[i], has[j]))
+    # surname (of a kind) -> first given name -> rows
+    places: dict[tuple[bool, str], dict[str, list[tuple[int, Reading]]]] = {}
+    for i, rs in enumerate(read):
+        for r in rs:
+            if r.given or r.organisation:
+                places.setdefault((r.organisation, r.surname), {}).setdefault(r.given[0] if r.given else "", []).append((i, r))
+    agreeing = _agreeing(sorted({g for x in places.values() for g in x if g}))
+    best: dict[tuple[int, int], tuple[int, int, str]] = {}
+    surnames = sorted(places)
+    i, j = np.triu_indices(len(surnames))
+    alike = jaro_winkler_pairs([s for _, s in surnames], i, j)
+    for p, q, z in zip(*(x[alike >= ALIKE] for x in (i, j, alike))):
+        (organisation, a), (other, b) = surnames[p], surnames[q]
+        if organisation != other or (a != b and not _slip_allowed(a, b)):
+            continue
+        z = 1.0 if a == b else float(z)
+        for g, rows in places[surnames[p]].items():
+            for h, how in [("", "full")] if organisation else agreeing.get(g, ()):
+                for k, r in rows:
+                    for m, s in places[surnames[q]].get(h, ()):
+                        if k == m or names[k] == names[m] or (not same_block and blk[k] == blk[m]):
+                            continue
+                        found = (0, 0, "strong") if organisation else _link(r, s, z, how)
+                        if found:
+                            key = (k, m) if names[k] < names[m] else (m, k)
+                            best[key] = min(best.get(key, found), found)
+    rows = [(names[k], names[m], f[2], f[1], has[k], has[m]) for (k, m), f in best.items()]
     cols = list(zip(*rows)) if rows else [()] * 6
     return pa.table({k: pa.array(c, t) for (k, t), c in zip((("a", pa.string()), ("b", pa.string()), ("kind", pa.string()), ("tier", pa.int32()), ("full_a", pa.bool_()), ("full_b", pa.bool_())), cols)})
 
@@ -240,8 +428,8 @@ def _settle(links: DataFrame) -> DataFrame:
 def link_names(names: DataFrame, block_rows: int = 1500) -> DataFrame:
     """``(name, entity)``: every distinct spelling of column ``name`` with the smallest spelling of its entity.
 
-    Spellings are compared without case, marks, hyphens and punctuation. Persons are one entity if their surnames are equal
-    or a slip apart and their given names agree (equal, nickname, slip, initial), middle names not contradicting. A spelling
+    Spellings are compared without case, marks, hyphens and punctuation. Persons are one entity if their surnames are
+    equal or alike and their given names agree (equal, nickname, alike, initial), middle names not contradicting. A spelling
     with initials that fits two entities equally well stays alone. Collaborations match by the words left without "the" and
     "collaboration". Nulls and blanks are left out; repeated rows count once; a spelling without letters is its own entity.
     """

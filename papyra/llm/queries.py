@@ -72,8 +72,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_entities(spark: SparkSession, d: str) -> DataFrame:
-    packed = packed_fields(_t(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at")
-    return link_names(split_packed(packed).where("field = 'authors'").select(F.col("val").alias("name")))
+    packed = packed_fields(_t(spark, d, "papers"), "id", ["authors"], "ingested_at")
+    return link_names(split_packed(packed).select(F.col("val").alias("name")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
