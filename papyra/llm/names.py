@@ -158,6 +158,23 @@ def near(a: str, b: str, least: float = ALIKE) -> bool:
     return abs(len(a) - len(b)) <= _slack(max(len(a), len(b))) and jaro_winkler(a, b) >= least
 
 
+#: up to so many words pairs are compared one by one, and remembered; beyond, all at once
+FEW = 24
+
+
+@lru_cache(maxsize=500_000)
+def _alike(a: str, b: str) -> float:
+    """``jaro_winkler``, remembered; 0 where lengths or letters alone tell that the words aren't near."""
+    la, lb = len(a), len(b)
+    long = max(la, lb)
+    if abs(la - lb) > _slack(long):
+        return 0.0
+    # a pair at the limit shares at least this many letters
+    if len(set(a) & set(b)) * 3 < min(len(set(a)), len(set(b))):
+        return 0.0
+    return jaro_winkler(a, b)
+
+
 def _letters(words: list[str]) -> np.ndarray:
     wide = max(1, max(map(len, words), default=1))
     codes = np.zeros((len(words), wide), np.uint32)
@@ -361,13 +378,15 @@ def _agreeing(first: list[str]) -> dict[str, list[tuple[str, str]]]:
                     found[x, w] = found[w, x] = "full"
         for x in letters & {n[0] for n in _canon(w)}:
             found[x, w] = found[w, x] = "initial"
-    if len(words) > 1:
+    if len(words) > FEW:
         i, j = np.triu_indices(len(words), 1)
         near_ones = jaro_winkler_pairs(words, i, j) >= GIVEN_ALIKE
-        for p, q in zip(i[near_ones], j[near_ones]):
-            x, y = words[p], words[q]
-            if (x, y) not in found and _slip_allowed(x, y):
-                found[x, y] = found[y, x] = "slip"
+        slips = [(words[p], words[q]) for p, q in zip(i[near_ones], j[near_ones])]
+    else:
+        slips = [(x, y) for k, x in enumerate(words) for y in words[k + 1 :] if _alike(x, y) >= GIVEN_ALIKE]
+    for x, y in slips:
+        if (x, y) not in found and _slip_allowed(x, y):
+            found[x, y] = found[y, x] = "slip"
     meant: dict[str, list[str]] = {}
     for w in words:
         for n in _canon(w):
@@ -381,10 +400,22 @@ def _agreeing(first: list[str]) -> dict[str, list[tuple[str, str]]]:
     return out
 
 
-def _compare_block(t: pa.Table) -> pa.Table:
+def _surname_pairs(surnames: list[str]) -> Iterator[tuple[int, int, float]]:
+    """Places of surnames that are alike, each also with itself, and how much."""
+    n = len(surnames)
+    if n > FEW:
+        i, j = np.triu_indices(n)
+        alike = jaro_winkler_pairs(surnames, i, j)
+        yield from zip(*(x[alike >= ALIKE].tolist() for x in (i, j, alike)))
+        return
+    for i in range(n):
+        for j in range(i, n):
+            if i == j or (z := _alike(surnames[i], surnames[j])) >= ALIKE:
+                yield i, j, 1.0 if i == j else z
+
+
+def _block_links(names: list[str], blk: list[int], same_block: bool) -> list[tuple[str, str, str, int, bool, bool]]:
     """All links of one block: surnames and first given names are compared once each, and only rows whose names agree meet."""
-    names, blk = t.column("name").to_pylist(), t.column("blk").to_pylist()
-    same_block = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
     read = [readings(n) for n in names]
     has = [any(len(r.given[0]) > 1 for r in x if r.given) or any(r.organisation for r in x) for x in read]
     # surname (of a kind) -> first given name -> rows
@@ -393,29 +424,52 @@ def _compare_block(t: pa.Table) -> pa.Table:
         for r in rs:
             if r.given or r.organisation:
                 places.setdefault((r.organisation, r.surname), {}).setdefault(r.given[0] if r.given else "", []).append((i, r))
+    surnames = sorted(places)
+    pairs = list(_surname_pairs([s for _, s in surnames]))
     agreeing = _agreeing(sorted({g for x in places.values() for g in x if g}))
     best: dict[tuple[int, int], tuple[int, int, str]] = {}
-    surnames = sorted(places)
-    i, j = np.triu_indices(len(surnames))
-    alike = jaro_winkler_pairs([s for _, s in surnames], i, j)
-    for p, q, z in zip(*(x[alike >= ALIKE] for x in (i, j, alike))):
+    for p, q, z in pairs:
         (organisation, a), (other, b) = surnames[p], surnames[q]
         if organisation != other or (a != b and not _slip_allowed(a, b)):
             continue
-        z = 1.0 if a == b else float(z)
+        z = 1.0 if a == b else z
         for g, rows in places[surnames[p]].items():
             for h, how in [("", "full")] if organisation else agreeing.get(g, ()):
                 for k, r in rows:
                     for m, s in places[surnames[q]].get(h, ()):
-                        if k == m or names[k] == names[m] or (not same_block and blk[k] == blk[m]):
+                        if names[k] == names[m] or (not same_block and blk[k] == blk[m]):
                             continue
                         found = (0, 0, "strong") if organisation else _link(r, s, z, how)
                         if found:
                             key = (k, m) if names[k] < names[m] else (m, k)
                             best[key] = min(best.get(key, found), found)
-    rows = [(names[k], names[m], f[2], f[1], has[k], has[m]) for (k, m), f in best.items()]
-    cols = list(zip(*rows)) if rows else [()] * 6
-    return pa.table({k: pa.array(c, t) for (k, t), c in zip((("a", pa.string()), ("b", pa.string()), ("kind", pa.string()), ("tier", pa.int32()), ("full_a", pa.bool_()), ("full_b", pa.bool_())), cols)})
+    return [(names[k], names[m], f[2], f[1], has[k], has[m]) for (k, m), f in best.items()]
+
+
+LINKS = "a string, b string, kind string, tier int, full_a boolean, full_b boolean"
+
+
+def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, bi, bj, name, blk) in order of their block -> the links of every block. A block is held until it ends."""
+
+    def table(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["a", "b", "kind", "tier", "full_a", "full_b"])
+
+    block, names, blk, out = None, [], [], []
+    for b in batches:
+        for key, bi, bj, name, at in zip(*(c.to_pylist() for c in b.columns)):
+            if (key, bi, bj) != block:
+                if len(names) > 1:
+                    out += _block_links(names, blk, block[1] == block[2])
+                block, names, blk = (key, bi, bj), [], []
+            names.append(name)
+            blk.append(at)
+        yield table(out)
+        out = []
+    if len(names) > 1:
+        yield table(_block_links(names, blk, block[1] == block[2]))
 
 
 def _settle(links: DataFrame) -> DataFrame:
@@ -436,7 +490,8 @@ def link_names(names: DataFrame, block_rows: int = 1500) -> DataFrame:
     distinct = stage(names.select("name").where("trim(name) <> ''").distinct(), "names")
     keyed = distinct.mapInArrow(_keys, "key string, name string")
     met = block_pairs(keyed, "key", "name", block_rows)
-    found = met.groupBy("key", "bi", "bj").applyInArrow(_compare_block, "a string, b string, kind string, tier int, full_a boolean, full_b boolean")
+    runs = met.select("key", "bi", "bj", "name", "blk").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "name")
+    found = runs.mapInArrow(_compare_runs, LINKS)
     links = stage(found.distinct(), "names-links")
     strong = links.where("kind = 'strong'").select("a", "b")
     part = stage(connected_components(strong, "a", "b"), "names-strong")
