@@ -123,66 +123,71 @@ def parses(text: str) -> Iterator[tuple[str, list[str], float]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, field, text, n) -> a row for each dialect that cuts the text in a way of its own."""
     for b in batches:
         for lo in range(0, b.num_rows, 500):
-            rows: list[list] = [[] for _ in range(6)]
-            for rec, field, text in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns)):
-                seen = set()
+            rows: list[list] = [[] for _ in range(8)]
+            for tid, field, text, n in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns)):
+                seen: set[tuple[str, ...]] = set()
                 for name, vals, bits in parses(text):
                     # a dialect that cuts as a simpler one did adds nothing
                     if tuple(vals) in seen:
                         continue
-                    seen.add(tuple(vals))
-                    for col, v in zip(rows, (rec, field, name, bits, vals, [shape(v) for v in vals])):
+                    for col, v in zip(rows, (tid, tid * PARSES + len(seen), field, n, name, bits, vals, [shape(v) for v in vals])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())))], ["rec_id", "field", "dialect", "bits", "vals", "shapes"])
+                    seen.add(tuple(vals))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["tid", "pid", "field", "n", "dialect", "bits", "vals", "shapes"])
 
 
-def _counts(weighted: DataFrame, what: str, name: str) -> DataFrame:
-    """(field, name, n): weighted count of each value or shape in its field."""
-    return weighted.select("field", "weight", F.explode(what).alias(name)).groupBy("field", name).agg(F.sum("weight").alias(f"n_{name}"))
+#: no text has as many parses: the subsets of the delimiters, with and without quotes, and three more
+PARSES = 1024
 
 
-def _vocabulary(fields: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(field, v, s, spelt): every distinct value of any parse, its shape, and the bits that spell its words.
+def _vocabulary(texts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(vh, sh, field, lv, ls, spelt): every distinct value of any parse and its shape by number, their lengths, and the bits
+    that spell the value's words.
 
     A word costs by its frequency in the column's raw text, whatever the dialect."""
     word = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
-    counts = fields.select("field", F.explode(word("text")).alias("w")).groupBy("field", "w").agg(F.count("*").alias("n"))
+    counts = texts.select("field", "n", F.explode(word("text")).alias("w")).groupBy("field", "w").agg(F.sum("n").alias("n"))
     total = counts.groupBy("field").agg(F.sum("n").alias("t"))
-    bits = counts.join(F.broadcast(total), "field").select("field", "w", F.log2(F.col("t") / F.col("n")).alias("bits"))
-    values = parsed.select("field", F.explode(F.arrays_zip(F.col("vals").alias("v"), F.col("shapes").alias("s"))).alias("z")).select("field", "z.v", "z.s").distinct()
-    spelt = values.select("field", "v", F.explode(word("v")).alias("w")).join(bits, ["field", "w"]).groupBy("field", "v").agg(F.sum("bits").alias("spelt"))
-    return values.join(spelt, ["field", "v"], "left").fillna({"spelt": 0.0})
+    bits = counts.join(F.broadcast(total), "field").select("field", "w", F.log2(F.col("t") / F.col("n")).alias("bits"))  # a row per field
+    z = F.arrays_zip(F.col("vh").alias("vh"), F.col("sh").alias("sh"), F.col("vals").alias("v"), F.col("shapes").alias("s"))
+    # of each value its text once, before words are counted off it
+    values = stage(parsed.select("field", F.explode(z).alias("z")).groupBy("z.vh").agg(F.first("field").alias("field"), F.first("z.sh").alias("sh"), F.first("z.v").alias("v"), F.first(F.length("z.s")).alias("ls")), "packed-values")
+    spelt = values.select("vh", "field", F.explode(word("v")).alias("w")).join(bits, ["field", "w"]).groupBy("vh").agg(F.sum("bits").alias("spelt"))
+    return values.join(spelt, "vh", "left").select("vh", "sh", "field", F.length("v").alias("lv"), "ls", F.coalesce("spelt", F.lit(0.0)).alias("spelt"))
 
 
 #: a value taking more than this part of its field is joined by broadcast: there are at most so many per field
 FREQUENT = 1 / 2000
+#: a parse goes on to the next round if it costs at most so many times as much as the cheapest of its text, plus so many bits
+KEPT_TIMES, KEPT_BITS = 1.5, 40.0
 
 
-def _choose(parsed: DataFrame, weighted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The cheapest parse of each field under the code lengths that ``weighted`` implies: (rec_id, field, dialect)."""
-    values, shapes = _counts(weighted, "vals", "v"), _counts(weighted, "shapes", "s")
+def _costed(tried: DataFrame, weighted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(tid, pid, k, cost): what each parse of ``tried`` costs under the code lengths that ``weighted`` implies."""
+    counted = lambda c: weighted.select("weight", F.explode(c).alias(c)).groupBy(c).agg(F.sum("weight").alias(f"n_{c}"))
     dialects = weighted.groupBy("field", "dialect").agg(F.sum("weight").alias("nd"))
-    fields = stage(weighted.groupBy("field").agg(F.sum("weight").alias("td"), F.greatest(F.lit(1.0), F.sum(F.col("weight") * F.size("vals"))).alias("total")), "packed-fields")
-    known = vocabulary.join(values, ["field", "v"], "left").join(shapes, ["field", "s"], "left").join(F.broadcast(fields.select("field", "total")), "field", "left")
+    fields = stage(weighted.groupBy("field").agg(F.sum("weight").alias("td"), F.greatest(F.lit(1.0), F.sum(F.col("weight") * F.size("vh"))).alias("total")), "packed-fields")
+    known = vocabulary.join(counted("vh"), "vh", "left").join(counted("sh"), "sh", "left").join(F.broadcast(fields.select("field", "total")), "field", "left")
     total = F.coalesce("total", F.lit(1.0)) + 1
-    by_value = F.log2(total / F.col("n_v")) + F.length("v") * BITS_PER_CHARACTER / F.greatest(F.lit(1.0), F.col("n_v"))
-    n_s = F.coalesce("n_s", F.lit(0.0))
-    by_shape = F.log2(total / (n_s + 0.05)) + F.length("s") * BITS_PER_SIGN / F.greatest(F.lit(1.0), n_s) + F.col("spelt")
-    costs = stage(known.select("field", "v", (F.least(by_value, by_shape) + 1.0).alias("cost"), (F.col("n_v") > F.col("total") * FREQUENT).alias("common")), "packed-costs")
-    rows = parsed.select("rec_id", "field", "dialect", F.explode("vals").alias("v"))
+    by_value = F.log2(total / F.col("n_vh")) + F.col("lv") * BITS_PER_CHARACTER / F.greatest(F.lit(1.0), F.col("n_vh"))
+    n_s = F.coalesce("n_sh", F.lit(0.0))
+    by_shape = F.log2(total / (n_s + 0.05)) + F.col("ls") * BITS_PER_SIGN / F.greatest(F.lit(1.0), n_s) + F.col("spelt")
+    costs = stage(known.select("vh", (F.least(by_value, by_shape) + 1.0).alias("cost"), (F.col("n_vh") > F.col("total") * FREQUENT).alias("common")), "packed-costs")
+    rows = tried.select("pid", F.explode("vh").alias("vh"))
     # frequent values by broadcast, as their number is bounded; no other value is frequent enough to make a hot key
-    common = F.broadcast(costs.where("common").select("field", "v", F.col("cost").alias("c")))
-    tried = rows.join(common, ["field", "v"], "left")
-    rest = tried.where("c is null").drop("c").join(costs.where("common is null or not common").select("field", "v", F.col("cost").alias("c")), ["field", "v"])
-    cost = tried.where("c is not null").select(*rest.columns).unionByName(rest).groupBy("rec_id", "field", "dialect").agg(F.sum("c").alias("cost"))
-    one = parsed.select("rec_id", "field", "dialect", "bits", F.size("vals").alias("k")).join(cost, ["rec_id", "field", "dialect"], "left")
+    common = F.broadcast(costs.where("common").select("vh", F.col("cost").alias("c")))
+    met = rows.join(common, "vh", "left")
+    rest = met.where("c is null").drop("c").join(costs.where("common is null or not common").select("vh", F.col("cost").alias("c")), "vh")
+    cost = met.where("c is not null").select(*rest.columns).unionByName(rest).groupBy("pid").agg(F.sum("c").alias("c"))
+    one = tried.select("tid", "pid", "field", "dialect", "bits", F.size("vh").alias("k")).join(cost, "pid", "left")
     # at most a few hundred dialects a field, by their construction
     one = one.join(F.broadcast(dialects), ["field", "dialect"], "left").join(F.broadcast(fields.select("field", "td")), "field", "left")
-    full = F.coalesce("cost", F.lit(0.0)) + F.col("bits") + F.log2((F.col("td") + 1) / (F.coalesce("nd", F.lit(0.0)) + 0.5))
-    best = one.groupBy("rec_id", "field").agg(F.min(F.struct(full.alias("bits"), "k", "dialect")).alias("b"))
-    return best.select("rec_id", "field", "b.dialect")
+    full = F.coalesce("c", F.lit(0.0)) + F.col("bits") + F.log2((F.col("td") + 1) / (F.coalesce("nd", F.lit(0.0)) + 0.5))
+    return one.select("tid", "pid", "k", full.alias("cost"))
 
 
 def split_packed(fields: DataFrame, rounds: int = 3) -> DataFrame:
@@ -190,19 +195,30 @@ def split_packed(fields: DataFrame, rounds: int = 3) -> DataFrame:
 
     Values lose surrounding white space, list brackets, enclosing quotes and quote escapes; empty ones are left out and take
     no position, repeated ones stay. Null ids, fields and texts, and blank texts, give no rows. A record's field should stand
-    in one row; equal rows count once. ``rounds`` is the number of times code lengths are counted and parses chosen.
+    in one row; equal rows count once. ``rounds`` is the number of times code lengths are counted and parses chosen; parses
+    far behind the cheapest of their text (``KEPT_TIMES``, ``KEPT_BITS``) aren't tried again. Equal texts are parsed once and
+    weigh as often as they stand; values and shapes travel as 64-bit numbers.
     """
     rows = fields.select("rec_id", "field", "text").where("rec_id is not null and field is not null and trim(text) <> ''").distinct()
-    parsed = stage(rows.mapInArrow(_parse, "rec_id string, field string, dialect string, bits double, vals array<string>, shapes array<string>"), "packed-parses")
-    vocabulary = stage(_vocabulary(rows, parsed), "packed-vocabulary")
+    texts = stage(rows.groupBy("field", "text").agg(F.count("*").alias("n")).withColumn("tid", F.pmod(F.monotonically_increasing_id(), F.lit(2**52))), "packed-texts")
+    out = texts.select("tid", "field", "text", "n").mapInArrow(_parse, "tid long, pid long, field string, n long, dialect string, bits double, vals array<string>, shapes array<string>")
+    numbers = [F.transform(c, lambda v: F.xxhash64("field", v)).alias(h) for c, h in (("vals", "vh"), ("shapes", "sh"))]
+    parsed = stage(out.select("*", *numbers), "packed-parses")
+    vocabulary = stage(_vocabulary(texts, parsed), "packed-vocabulary")
+    tried = parsed.select("tid", "pid", "field", "n", "dialect", "bits", "vh", "sh")
     # blanks are no evidence before values are known
-    plain = parsed.where("dialect not like 'blank%'")
-    share = plain.groupBy("rec_id", "field").agg((1.0 / F.count("*")).alias("weight"))
-    weighted = plain.join(share, ["rec_id", "field"])
-    for _ in range(rounds):
-        chosen = stage(_choose(parsed, weighted, vocabulary), "packed-chosen")
-        weighted = parsed.join(chosen, ["rec_id", "field", "dialect"]).withColumn("weight", F.lit(1.0))
-    out = weighted.select("rec_id", "field", F.posexplode("vals").alias("p", "val"))
+    plain = tried.where("dialect not like 'blank%'")
+    weighted = plain.join(plain.groupBy("tid").agg(F.count("*").alias("parses")), "tid").withColumn("weight", F.col("n") / F.col("parses"))
+    for r in range(rounds):
+        cost = stage(_costed(tried, weighted, vocabulary), "packed-cost")
+        best = stage(cost.groupBy("tid").agg(F.min(F.struct("cost", "k", "pid")).alias("b")).select("tid", F.col("b.pid").alias("pid"), F.col("b.cost").alias("least")), "packed-best")
+        if r + 1 < rounds:
+            near = cost.join(best.select("tid", "least"), "tid").where(F.col("cost") <= F.col("least") * KEPT_TIMES + KEPT_BITS).select("pid")
+            tried = stage(tried.join(near, "pid"), "packed-tried")
+            weighted = tried.join(best.select("pid"), "pid", "left_semi").withColumn("weight", F.col("n").cast("double"))
+    chosen = parsed.select("tid", "pid", "vals").join(best.select("pid"), "pid", "left_semi").select("tid", "vals")
+    whole = texts.select("tid", "field", "text").join(chosen, "tid").select("field", "text", "vals")
+    out = rows.join(whole, ["field", "text"]).select("rec_id", "field", F.posexplode("vals").alias("p", "val"))
     return out.select("rec_id", "field", (F.col("p") + 1).alias("pos"), "val")
 
 
