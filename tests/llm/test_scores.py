@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from papyra.llm.abuse import AbuseScores, plain_words
+from papyra.llm.abuse import AbuseScores, best_threshold, labelled, plain_words
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.mixture import Mixture
 
@@ -112,3 +112,19 @@ def test_abuse_of_odd_rows(frame):
         got = a.scores.collect()
         assert sorted(r.doc_id for r in got) == [1, 2, 3, 3] and all(np.isfinite(r.score) for r in got)
     assert AbuseScores(frame([], TEXTS), frame([], LABELS)).scores.count() == 0
+
+
+def test_threshold_lies_in_the_gap_whatever_the_share_of_cases():
+    r = np.random.default_rng(3)
+    for cases in (20, 200, 1000):
+        corpus = np.concatenate([r.beta(2, 8, 10_000), r.beta(30, 2, cases)])
+        positive = np.concatenate([r.beta(30, 2, 80), r.beta(2, 8, 20)])  # a fifth of the labels are wrong
+        assert 0.7 < best_threshold(positive, corpus) < 0.95
+    assert best_threshold(np.array([0.9]), np.array([0.1])) > 0.1
+
+
+def test_training_texts_are_bounded_in_bytes(frame):
+    docs = frame([(i, "word " * (2000 if i == 3 else 20), "en", "s") for i in range(20)], "doc_id long, text string, lang string, source string")
+    marks = frame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    texts, y, langs, ids = labelled(docs, marks, 100, 4000)
+    assert sum(map(len, texts)) <= 4000 and all(len(t) < 4000 for t in texts) and len(texts) == len(y) == len(langs) > 5 and ids.count() == 20
