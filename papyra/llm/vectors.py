@@ -46,11 +46,26 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = Fal
     return c.astype(np.float32)
 
 
+def _home(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector."""
+    return np.concatenate([(x[lo : lo + 4096] @ c.T).argmax(1) for lo in range(0, len(x), 4096)])
+
+
+def _cells(x: np.ndarray, k: int, rounds: int, seed: int, flat: int = 2048) -> np.ndarray:
+    """About k spherical centroids; many of them by groups of their own, so that time grows with the root of their number."""
+    if k <= flat:
+        return _kmeans(x, k, rounds, seed, spherical=True)
+    top = _kmeans(x, math.ceil(math.sqrt(k)), rounds, seed, spherical=True)
+    group = _home(x, top)
+    parts = [x[group == g] for g in range(len(top))]
+    return np.concatenate([_kmeans(p, max(1, round(k * len(p) / len(x))), rounds, seed + g, spherical=True) for g, p in enumerate(parts) if len(p)])
+
+
 def _merged(c: np.ndarray, x: np.ndarray, alike: float = 0.85) -> np.ndarray:
     """Centroids so alike that one crowd of vectors was cut between them become one, the largest first.
 
     A crowd then has one cell, which is searched in blocks, instead of more cells than a query probes."""
-    n = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    n = np.bincount(_home(x, c), minlength=len(c))
     left, out = np.ones(len(c), bool), []
     for i in np.argsort(-n, kind="stable"):
         if left[i]:
@@ -73,8 +88,8 @@ class IvfPq:
     @staticmethod
     def fit(sample: np.ndarray, cells: int, subspaces: int, seed: int = 7, regions: int = 1) -> IvfPq:
         x = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
-        cent = _merged(_kmeans(x, cells, 6, seed, spherical=True), x)
-        rest = x - cent[(x @ cent.T).argmax(1)]
+        cent = _merged(_cells(x, cells, 6, seed), x)
+        rest = x - cent[_home(x, cent)]
         w = x.shape[1] // subspaces
         pick = rest[np.random.default_rng(seed).permutation(len(rest))[:16384]]
         books = [_kmeans(pick[:, m * w : (m + 1) * w].copy(), 256, 6, seed + m) for m in range(subspaces)]
@@ -137,7 +152,7 @@ def probes_for(index: IvfPq, sample: np.ndarray, k: int, recall: float, asked: i
     k = min(k, len(x) - 1)
     if k < 1:
         return 1
-    home = np.concatenate([(x[lo : lo + 8192] @ index.centroids.T).argmax(1) for lo in range(0, len(x), 8192)])
+    home = _home(x, index.centroids)
     places = []
     pick = np.random.default_rng(11).permutation(len(x))[:asked]
     for lo in range(0, len(pick), 250):
@@ -151,7 +166,7 @@ def probes_for(index: IvfPq, sample: np.ndarray, k: int, recall: float, asked: i
     return int(places[math.ceil(recall * len(places)) - 1]) + 1
 
 
-def _probes(index, probes: int):
+def _probes(index, probes: int, coded: bool = True):
     """Every vector to the regions of its ``probes`` nearest cells; the nearest cell is its home, where it is stored.
 
     ``cut`` is the similarity to the farthest centroid asked."""
@@ -173,7 +188,11 @@ def _probes(index, probes: int):
                 region = region[first]
                 cut = np.take_along_axis(s, near, 1).min(1)
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(region == ix.regions[cell][rows]), pa.array(cell[rows].astype(np.int32)), pa.array(cut[rows]), part.column(0).take(at), part.column(1).take(at)], ["region", "home", "cell", "cut", "num", "v"])
+                home = region == ix.regions[cell][rows]
+                # a vector is encoded once, where it is stored
+                codes = ix.encode(x, cell) if coded else None
+                held = pa.array([codes[r].tobytes() if h else None for r, h in zip(rows, home)] if coded else [None] * len(rows), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(home), pa.array(cell[rows].astype(np.int32)), pa.array(cut[rows]), part.column(0).take(at), part.column(1).take(at), held], ["region", "home", "cell", "cut", "num", "v", "codes"])
 
     return run
 
@@ -188,9 +207,8 @@ def _crowded(x, rows, have, s, least, k, floor, qi, xi, sims):
     return [*qi, np.repeat(rows, top.shape[1]).reshape(top.shape)[ok]], [*xi, have[top][ok]], [*sims, e[ok]]
 
 
-def _search_cell(ix, x, have, ask, cell, k, shortlist, floor, qi, xi, sims):
-    """Adds the k best of the vectors ``have``, all of one cell, for each of the queries ``ask``."""
-    codes = ix.encode(x[have], np.full(len(have), cell))
+def _search_cell(ix, x, have, codes, ask, cell, k, shortlist, floor, qi, xi, sims):
+    """Adds the k best of the vectors ``have``, all of one cell and with these codes, for each of the queries ``ask``."""
     for lo in range(0, len(ask), 256):
         rows = ask[lo : lo + 256]
         s = ix.scores(x[rows], cell, codes)
@@ -230,13 +248,15 @@ def _search(index, k: int, shortlist: int, floor: float):
         x = _matrix(t.column("v"))
         have, ask = np.flatnonzero(stored), np.flatnonzero(asks)
         have = have[np.argsort(home[have], kind="stable")]
+        codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(have)).to_pylist()), np.uint8).reshape(len(have), -1) if len(have) else None
         qi, xi, sims = [], [], []
         for cell in np.flatnonzero(ix.regions == region) if len(ask) else ():
-            own = have[slice(*np.searchsorted(home[have], [cell, cell + 1]))]
+            at = slice(*np.searchsorted(home[have], [cell, cell + 1]))
+            own = have[at]
             if len(own):
                 # 1e-5: the same product may round otherwise here than where the cells were chosen
                 who = ask[x[ask] @ ix.centroids[cell] >= cut[ask] - 1e-5]
-                a, b, c = _search_cell(ix, x, own, who, cell, k, shortlist, floor, [], [], [])
+                a, b, c = _search_cell(ix, x, own, codes[at], who, cell, k, shortlist, floor, [], [], [])
                 qi, xi, sims = qi + a, xi + b, sims + c
         q, y, s = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((qi, np.int64), (xi, np.int64), (sims, np.float64)))
         order = np.lexsort((num[y], -s, q))
@@ -253,12 +273,13 @@ class SimilarVectors:
     with the largest ``ver`` counts. Usable are vectors of exactly ``dims`` finite numbers, not all zero; others, and rows
     with a null id, take no part. Equal vectors are indexed once. Similarity is the cosine.
 
-    ``min_similarity`` leaves out neighbours below it (-1: none). The index is fitted on at most ``sample_rows`` vectors,
-    drawn by hash of the id; every vector is indexed and searched. ``probes``: cells asked for each vector, by default (at
+    ``min_similarity`` leaves out neighbours below it (-1: none). The index has about twice the root of the number of
+    distinct vectors as cells, and is fitted on ``sample_rows`` vectors, or ten a cell if these are more, drawn by hash of
+    the id; every vector is indexed and searched. ``probes``: cells asked for each vector, by default (at
     least 4) as many as ``recall`` takes, measured on the sample.
     """
 
-    def __init__(self, rows: DataFrame, k: int = 5, dims: int = 64, min_similarity: float = -1.0, probes: int | None = None, shortlist: int = 40, subspaces: int = 16, sample_rows: int = 40_000, max_cells: int = 4096, block_rows: int = 32_000, recall: float = 0.9):
+    def __init__(self, rows: DataFrame, k: int = 5, dims: int = 64, min_similarity: float = -1.0, probes: int | None = None, shortlist: int = 40, subspaces: int = 16, sample_rows: int = 40_000, cells: int | None = None, block_rows: int = 32_000, recall: float = 0.9):
         self.k, self.dims, self.floor, self.shortlist, self.block_rows = k, dims, min_similarity, shortlist, block_rows
         spark = rows.sparkSession
         raw = rows.select("id", "ver", "vector").where("id is not null and vector is not null")
@@ -274,12 +295,15 @@ class SimilarVectors:
         self.heads = stage(self.copies.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1), "vectors-heads")
         self.distinct = self.all.join(small_side(self.copies.where("id <> rep").select("id")), "id", "left_anti")
         self.count = self.distinct.count()
-        part = min(1.0, 1.1 * sample_rows / max(1, self.count))
-        pick = self.distinct.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(sample_rows)
-        sample = [bytes(r.v) for r in pick.collect()]
+        cells = cells or max(1, int(2 * math.sqrt(self.count)))
+        wanted = max(sample_rows, 10 * cells)
+        # drawn by hash, with a margin, and cut in the order of the hash: the same vectors in every run
+        part = min(1.0, 1.1 * wanted / max(1, self.count) + 1e-4)
+        drawn = self.distinct.withColumn("o", F.xxhash64("id", F.lit(17))).where(F.pmod("o", F.lit(1_000_000)) < int(part * 1_000_000))
+        sample = [bytes(r.v) for r in drawn.orderBy("o", "id").limit(wanted).select("v").collect()]
         if sample:
             x = np.frombuffer(b"".join(sample), np.float32).reshape(-1, dims)
-            cells = max(1, min(max_cells, int(2 * math.sqrt(self.count)), len(x)))
+            cells = min(cells, len(x))
             # regions of half a block, so that few are cut
             index = IvfPq.fit(x, cells, subspaces, regions=math.ceil(2 * self.count / block_rows))
             self.index = spark.sparkContext.broadcast(index)
@@ -287,18 +311,18 @@ class SimilarVectors:
 
     def _edges(self) -> DataFrame:
         """(a, b, similarity) between distinct vectors by number: b among the k best found for a within one block of one region."""
-        kinds = "region int, home boolean, cell int, cut float, num long, v binary"
-        home = self.distinct.select("num", "v").mapInArrow(_probes(self.index, 1), kinds)
+        kinds = "region int, home boolean, cell int, cut float, num long, v binary, codes binary"
+        home = self.distinct.select("num", "v").mapInArrow(_probes(self.index, 1, False), kinds)
         blocks = F.ceil(F.col("count") / self.block_rows)
         parts = F.greatest(blocks, F.ceil(F.col("count") * self.probes / (16 * self.block_rows)))
         size = home.groupBy("region").count().select("region", blocks.cast("int").alias("nb"), parts.cast("int").alias("np"))
         sent = self.distinct.select("num", "v").mapInArrow(_probes(self.index, self.probes), kinds)
-        # size: at most max_cells rows. A region of many vectors is cut into nb blocks, and its queries into np parts
+        # size: a row for each region. A region of many vectors is cut into nb blocks, and its queries into np parts
         cut = sent.join(F.broadcast(size), "region").withColumn("mine", F.pmod(F.xxhash64("num"), F.col("nb")).cast("int")).withColumn("asking", F.pmod(F.xxhash64("num", F.lit(3)), F.col("np")).cast("int"))
         as_stored = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda p: F.struct(F.col("mine").alias("block"), p.alias("part"), F.lit(True).alias("stored"), (p == F.col("asking")).alias("asks")))).otherwise(F.array().cast("array<struct<block:int,part:int,stored:boolean,asks:boolean>>"))
         elsewhere = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: ~F.col("home") | (b != F.col("mine")))
         as_query = F.transform(elsewhere, lambda b: F.struct(b.alias("block"), F.col("asking").alias("part"), F.lit(False).alias("stored"), F.lit(True).alias("asks")))
-        rows = cut.select("region", "cell", "cut", "num", "v", F.explode(F.concat(as_stored, as_query)).alias("r")).select("region", "cell", "cut", "r.*", "num", "v")
+        rows = cut.select("region", "cell", "cut", "num", "v", "codes", F.explode(F.concat(as_stored, as_query)).alias("r")).select("region", "cell", "cut", "r.*", "num", "v", F.when(F.col("r.stored"), F.col("codes")).alias("codes"))
         return rows.groupBy("region", "block", "part").applyInArrow(_search(self.index, self.k, self.shortlist, self.floor), "a long, b long, similarity double")
 
     def neighbours(self) -> DataFrame:

@@ -45,7 +45,7 @@ def test_blocks_of_a_hot_cell_lose_nothing(frame):
     x = clustered(300)
     df = frame([(str(i), v.tolist(), None, "x") for i, v in enumerate(x)], SCHEMA)
     want = truth(x, 5, 0.9)
-    got = pairs(SimilarVectors(df, k=5, min_similarity=0.9, max_cells=1, block_rows=40).neighbours())
+    got = pairs(SimilarVectors(df, k=5, min_similarity=0.9, cells=1, block_rows=40).neighbours())
     assert len(got & want) / len(want) > 0.98
 
 
