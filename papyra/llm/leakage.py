@@ -214,18 +214,18 @@ def _word_spans(text: str) -> list[tuple[int, int]]:
 SPANS = "doc_id long, item_id long, word_start int, word_end int, char_start int, char_end int"
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, phrase_words: int = 12, shard_words: int = 2_000_000, block_items: int = 20_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, phrase_words: int = 12, shard_words: int = 2_000_000, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, item_id, word_start, word_end, char_start, char_end)``: each stretch of a document made of phrases of an
     item, overlapping or adjoining ones merged; ends are exclusive.
 
     Words are runs of letters and digits in lower case, so case, punctuation and white space don't matter. Items are taken
-    ``block_items`` at a time, each block against all documents. Rows with a null id or text are left out; items and texts
+    ``block_items`` at a time, or as many as have ``block_bytes`` of text, each block against all documents. Rows with a null id or text are left out; items and texts
     of fewer words than a phrase match nothing; a repeated document row gives repeated spans. A shard is closed at
     ``shard_words`` words that can be part of a phrase, so a long text makes its shard longer, never cut.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out, block = None, []
+    out, block, size = None, [], 0
 
     def one(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(Phrases.of(block, phrase_words))
@@ -233,8 +233,9 @@ def leaked_spans(documents: DataFrame, items: DataFrame, phrase_words: int = 12,
 
     for r in items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) == block_items:
-            out, block = one(block) if out is None else out.unionByName(one(block)), []
+        size += len(r.text.encode())
+        if len(block) == block_items or size >= block_bytes:
+            out, block, size = one(block) if out is None else out.unionByName(one(block)), [], 0
     if block or out is None:
         out = one(block) if out is None else out.unionByName(one(block))
     return out
