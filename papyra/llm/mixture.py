@@ -8,7 +8,6 @@ ever sorted as one group.
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,30 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.storage import stage
+from papyra.storage import small_side, stage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: the split pattern that belongs to the byte-level vocabularies (fixed value, used if the folder states none)
-GPT2_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: the split pattern that belongs to the byte-level vocabularies (fixed value)
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-def _pattern(folder: Path) -> str:
-    try:
-        spec = importlib.util.spec_from_file_location("tokenizer_folder", folder / "__init__.py")
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        return module.PATTERN
-    except (OSError, AttributeError, ImportError):
-        return GPT2_PATTERN
+def _counter(vocabulary, pattern: str):
+    """Token counts by a vocabulary that was broadcast: lines of a base64 token and its rank."""
 
-
-def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        enc = tiktoken.Encoding("papyra", pat_str=_pattern(Path(path).resolve().parent), mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.value.splitlines() if line.strip())}
+        enc = tiktoken.Encoding("papyra", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -50,6 +39,7 @@ def _counter(path: str):
 class Mixture:
     """Documents with how often each is taken, and what shares come out.
 
+    Tokens are those of the public ``tokenizer``, a file of ranks that only the driver reads, and its split ``pattern``.
     ``documents``: doc_id, source, text; ``targets``: source, target_share, max_repeats (a source named twice counts with its
     largest values); ``weights``: doc_id, weight (several rows of a document: their mean; none, null or not above 0: 1).
     The mixture's size is ``total_tokens``, or the largest at which no source that has documents needs more than
@@ -59,13 +49,14 @@ class Mixture:
     twice counts once. Empty tables give no rows.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, weights: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 11, bucket_rows: int = 5000):
+    def __init__(self, documents: DataFrame, targets: DataFrame, weights: DataFrame, tokenizer: str, pattern: str = BYTE_LEVEL_PATTERN, total_tokens: int | None = None, seed: int = 11, bucket_rows: int = 5000):
         t = targets.select("source", "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
         t = stage(t, "mix-targets")
         d = documents.select("doc_id", "source", "text").where("doc_id is not null and text is not null and source is not null")
         named = t.select("source")
-        d = d.join(F.broadcast(named) if t.count() <= 100_000 else named, "source", "left_semi").select("doc_id", "source", "text")
-        counted = d.mapInArrow(_counter(tokenizer), "doc_id long, source string, tokens long")
+        d = d.join(small_side(named), "source", "left_semi").select("doc_id", "source", "text")
+        vocabulary = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+        counted = d.mapInArrow(_counter(vocabulary, pattern), "doc_id long, source string, tokens long")
         w = weights.where("weight > 0 and doc_id is not null").groupBy("doc_id").agg(F.avg("weight").alias("weight"))
         u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
         one = counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.*")
@@ -85,7 +76,7 @@ class Mixture:
     def documents(self) -> DataFrame:
         """``(doc_id, source, tokens, repeats)`` of the documents taken at least once."""
         s = self.sources.where("usable").select("source", "epochs", "rest", "buckets", "cap")
-        s = F.broadcast(s) if s.count() <= 100_000 else s
+        s = small_side(s)
         d = self.docs.join(s, "source")
         # a key's bucket: its place in the distribution of keys of weight 1, in as many steps as the source has buckets
         bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1).cast("int")

