@@ -5,16 +5,23 @@ A model is built on the worker by a factory, once per task, and fed whole Arrow
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import re
+import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from contextlib import contextmanager
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger("papyra")
+T = TypeVar("T")
+
 
 class Embedder(Protocol):
     dims: int
@@ -66,6 +73,55 @@ class EchoModel:
         return [re.split(r"(?<=[.!?])\s+", p.strip())[0] if p and p.strip() else None for p in prompts]
 
 
+class VectorCache:
+    """Vectors of the last ``size`` texts, on the driver: the first in goes first, whether it was asked for again or not."""
+
+    def __init__(self, model: Embedder, size: int = 128):
+        self.model, self.size, self._held = model, size, {}
+
+    def vector(self, text: str) -> np.ndarray:
+        key = hashlib.md5(text.encode()).hexdigest()
+        if key not in self._held:
+            while len(self._held) >= self.size:
+                del self._held[next(iter(self._held))]
+            self._held[key] = np.asarray(self.model.encode([text])[0], np.float32)
+        return self._held[key]
+
+
+_singletons: dict[str, object] = {}
+
+
+def once(name: str, factory: Callable[[], T]) -> T:
+    """A model built once per worker process and kept for its later tasks."""
+    if name not in _singletons:
+        _singletons[name] = factory()
+    return _singletons[name]
+
+
+@contextmanager
+def timed(label: str) -> Iterator[None]:
+    """Logs how long the block took, also where it fails."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        log.debug("%s took %.1f ms", label, 1000 * (time.perf_counter() - began))
+
+
+def device() -> str:
+    """Where models run: a graphics card if PyTorch is there and finds one."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def relevance_prompt(question: Column, title: Column, abstract: Column) -> Column:
+    """Asks a text model why a paper answers a question."""
+    return F.concat(F.lit("Question: "), question, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAbstract: "), F.coalesce(abstract, F.lit("")), F.lit("\nSay in two sentences why this paper is relevant to the question."))
+
+
 def embed(df: DataFrame, key: str, text: str, factory: Callable[[], Embedder], batch: int = 16) -> DataFrame:
     """``(key, vector)``: L2-normalised vectors, ``batch`` texts a call. Null texts embed as empty ones."""
     kind = dict(df.dtypes)[key]

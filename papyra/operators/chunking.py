@@ -53,36 +53,69 @@ def heading_lines(docs: DataFrame) -> DataFrame:
     return lines.select("id", "line", F.regexp_replace("title", r"^\s+|\s+$", "").alias("title")).where(heading(F.col("title")))
 
 
-def _parents(scorer: Callable[[str, str], float], least_words: int, most_sentences: int):
+def _window(words: list[int], at: int, least_words: int, most_sentences: int, least_sentences: int) -> int:
+    """Where the window that starts at sentence ``at`` ends."""
+    end, n = at, 0
+    while end < len(words) and end - at < most_sentences:
+        n += words[end]
+        end += 1
+        if n >= least_words and end - at >= least_sentences:
+            break
+    return end
+
+
+def _split(scores: list[float | None], window: int, reuse: bool) -> tuple[int, float]:
+    """(sentences taken, probability): the latest of the most probable splits. Where a score is missing, those before it count:
+    without reuse with probability NaN, and none of them takes the whole window; with reuse none of them takes one sentence."""
+    known = scores[: scores.index(None)] if None in scores else scores
+    if not known:
+        return (1 if reuse else window), float("nan")
+    best = max(range(len(known)), key=lambda k: (known[k], k))
+    return best + 1, known[best] if reuse or len(known) == len(scores) else float("nan")
+
+
+def _parents(scorer: Callable[[list[str]], list[float | None]], least_words: int, most_sentences: int, least_sentences: int, reuse: bool, batch: int):
     def run(batches):
         for b in batches:
+            docs = [s for s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            words = [[max(1, len(x.split())) for x in s] for _, s in docs]
+            at, number, known = [0] * len(docs), [0] * len(docs), [[] for _ in docs]
             rows: list[list] = [[] for _ in range(6)]
-            for i, sents in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, number = 0, 0
-                while at < len(sents):
-                    end, words = at, 0
-                    while end < len(sents) and (words < least_words or end == at) and end - at < most_sentences:
-                        words += len(sents[end].split())
-                        end += 1
-                    cut, best = end, float("nan")
-                    if end < len(sents):
-                        for k in range(at + 1, end + 1):
-                            p = scorer(" ".join(sents[at:k]), sents[k] if k < len(sents) else "")
-                            if best != best or p >= best:  # equal probabilities: the later split
-                                cut, best = k, p
-                    for col, v in zip(rows, (i, number, at, cut, " ".join(sents[at:cut]), best)):
+            going = list(range(len(docs)))
+            while going:  # a window of every unfinished document at a time, so that the scorer gets them together
+                ends = [_window(words[d], at[d], least_words, most_sentences, least_sentences) for d in going]
+                asked = []
+                for d, end in zip(going, ends):
+                    known[d] = known[d][: end - at[d]]
+                    asked += [" ".join(docs[d][1][at[d] : k]) for k in range(at[d] + len(known[d]) + 1, end + 1)]
+                got = iter([p for lo in range(0, len(asked), batch) for p in scorer(asked[lo : lo + batch])])
+                left = []
+                for d, end in zip(going, ends):
+                    n = end - at[d]
+                    scores = known[d] + [next(got) for _ in range(n - len(known[d]))]
+                    taken, p = _split(scores, n, reuse)
+                    cut = at[d] + taken
+                    for col, v in zip(rows, (docs[d][0], number[d], at[d], cut, " ".join(docs[d][1][at[d] : cut]), p)):
                         col.append(v)
-                    at, number = cut, number + 1
+                    known[d] = scores[taken:] if reuse and None not in scores else []
+                    at[d], number[d] = cut, number[d] + 1
+                    if cut < len(docs[d][1]):
+                        left.append(d)
+                going = left
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["id", "parent", "sent_start", "sent_end", "text", "eos_probability"])
 
     return run
 
 
-def scored_parents(docs: DataFrame, scorer: Callable[[str, str], float], least_words: int = 300, most_sentences: int = 30) -> DataFrame:
-    """``(id, parent, sent_start, sent_end, text, eos_probability)``: windows of at least so many words, ended where ``scorer``
-    (text so far, next sentence -> probability that a unit ends here) is highest; NaN for the rest at the end."""
+def scored_parents(docs: DataFrame, scorer: Callable[[list[str]], list[float | None]], least_words: int = 300, most_sentences: int = 30, least_sentences: int = 1, reuse: bool = False, batch: int = 64) -> DataFrame:
+    """``(id, parent, sent_start, sent_end, text, eos_probability)``: windows of at least so many words (at most so many
+    sentences), each ended where ``scorer`` (texts so far -> probability that a unit ends there, None on failure) is highest,
+    the later of equal ones; the next window starts there.
+
+    The scorer gets ``batch`` texts at a time, of all documents of an Arrow batch. ``reuse`` keeps the scores of sentences
+    beyond a split for the next window, though they were given for a longer text."""
     d = docs.select(F.col("id").cast("long").alias("id"), sentences(F.col("text")).alias("s")).where("size(s) > 0")
-    return d.mapInArrow(_parents(scorer, least_words, most_sentences), "id long, parent int, sent_start int, sent_end int, text string, eos_probability double")
+    return d.mapInArrow(_parents(scorer, least_words, most_sentences, least_sentences, reuse, batch), "id long, parent int, sent_start int, sent_end int, text string, eos_probability double")
 
 
 def section_at(offset: Column, sections: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import alpha_ratio, completeness, informative, keyword_tokens, sentences
+from papyra.operators.sequence import linked
 
 
 def rrf(hits: DataFrame, constant: int = 60) -> DataFrame:
@@ -87,17 +88,28 @@ def diversified(hits: DataFrame, id_type: str, weight: float = 0.3, most: int =
 
 
 def expanded(chunks: DataFrame, hops: int = 2) -> DataFrame:
-    """Chunks ``(doc_id, chunk_id, text)`` with ``context``: following text joined until it reads as complete, at most so many
-    steps; an incomplete one also takes the text before it."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_id", *(["id"] if "id" in chunks.columns else []))
-    context, state = F.col("text"), completeness(F.col("text"))
-    out = chunks.withColumn("before", F.lag("text").over(w))
-    for h in range(1, hops + 1):
-        out = out.withColumn(f"next{h}", F.lead("text", h).over(w))
-    first = F.when((state == "INCOMPLETE") & F.col("before").isNotNull(), F.concat_ws(" ", "before", "text")).otherwise(context)
-    out = out.withColumn("context", first).withColumn("state", state)
-    for h in range(1, hops + 1):
-        more = (F.col("state") != "COMPLETE") & F.col(f"next{h}").isNotNull()
-        out = out.withColumn("context", F.when(more, F.concat_ws(" ", "context", f"next{h}")).otherwise(F.col("context")))
-        out = out.withColumn("state", F.when(more, completeness(F.col("context"))).otherwise(F.col("state")))
-    return out.drop("before", *[f"next{h}" for h in range(1, hops + 1)])
+    """Chunks ``(id, doc_id, chunk_id, text)`` with ``context``: following text joined until it reads as complete, at most so many
+    steps; an incomplete one also takes the text before it. ``state`` is that of the context's end.
+
+    Neighbours are found by id first; only chunks that still read as unfinished fetch a text."""
+    near = linked(chunks, "doc_id", "chunk_id", "id")
+    texts = chunks.select(F.col("id").alias("other"), F.col("text").alias("more"))
+    after = near.select(F.col("id").alias("at"), F.col("after").alias("next"))
+    rows = chunks.join(near, "id").withColumn("state", completeness(F.col("text"))).withColumn("context", F.col("text"))
+
+    def fetched(df: DataFrame, key: str, wanted: Column) -> DataFrame:
+        """Rows with ``more``: the text of the chunk named by ``key``, null unless wanted."""
+        need = df.where(wanted & F.col(key).isNotNull())
+        rest = df.where(~(wanted & F.col(key).isNotNull())).withColumn("more", F.lit(None).cast("string"))
+        return need.join(texts, need[key] == texts["other"]).drop("other").unionByName(rest)
+
+    rows = fetched(rows, "before", F.col("state") == "INCOMPLETE")
+    rows = rows.withColumn("context", F.when(F.col("more").isNotNull(), F.concat_ws(" ", "more", "text")).otherwise(F.col("context"))).drop("more")
+    for h in range(hops):
+        rows = fetched(rows, "after", F.col("state") != "COMPLETE")
+        grown = F.col("more").isNotNull()
+        rows = rows.withColumn("context", F.when(grown, F.concat_ws(" ", "context", "more")).otherwise(F.col("context")))
+        rows = rows.withColumn("state", F.when(grown, completeness(F.col("context"))).otherwise(F.col("state"))).drop("more")
+        if h + 1 < hops:
+            rows = rows.join(after, rows["after"] == after["at"], "left").drop("at", "after").withColumnRenamed("next", "after")
+    return rows.drop("before", "after")

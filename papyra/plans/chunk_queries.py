@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import functions as F
 
 from papyra.operators import chunking as C
@@ -45,11 +43,20 @@ def chunk_balanced_parts(spark, d):
     return C.balanced_parts(_docs(spark, d), 3)
 
 
-def _stub_probability(so_far: str, following: str) -> float:
-    """A stand-in for a language model's end-of-unit probability, the same for the same text everywhere."""
-    return zlib.crc32(so_far[-64:].encode()) % 1000 / 1000
+def _stub_probabilities(texts: list[str]) -> list[float]:
+    """A stand-in for a language model's end-of-unit probability."""
+    return [len(t) % 101 / 101 for t in texts]
+
+
+_PARENTS = f"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, {_SENTENCES} AS s FROM documents WHERE text IS NOT NULL),
+w AS (SELECT id, s, [greatest(1, len(regexp_extract_all(x, '[^\\s\\p{{Z}}]+'))) FOR x IN s] AS wc FROM d WHERE len(s) > 0),
+r AS (SELECT id, s, wc, 0 AS parent, 0 AS fr, 0 AS cut, NULL::DOUBLE AS p FROM w
+ UNION ALL SELECT id, s, wc, parent + 1, cut, cut + b.k, b.p FROM (SELECT id, s, wc, parent, cut, list_max([{{'p': length(array_to_string(s[cut + 1 : cut + k], ' ')) % 101 / 101::DOUBLE, 'k': k}} FOR k IN range(1, n + 1)]) AS b
+  FROM (SELECT *, [k FOR k IN range(1, 31) IF cut + k <= len(s) AND (list_sum(wc[cut + 1 : cut + k]) >= 300 OR k = 30 OR cut + k = len(s))][1] AS n FROM r WHERE cut < len(s))))
+"""
 
 
-@query("chunk_scored_parents")
+@query("chunk_scored_parents", _PARENTS + "SELECT id, (parent - 1)::INT AS parent, fr::INT AS sent_start, cut::INT AS sent_end, array_to_string(s[fr + 1 : cut], ' ') AS text, p AS eos_probability FROM r WHERE parent > 0")
 def chunk_scored_parents(spark, d):
-    return C.scored_parents(_docs(spark, d), _stub_probability)
+    return C.scored_parents(_docs(spark, d), _stub_probabilities)

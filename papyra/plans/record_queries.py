@@ -9,6 +9,7 @@ from papyra.functions import records as R
 from papyra.functions import text as T
 from papyra.operators.latest import latest_rows
 from papyra.operators.packed import packed_fields, split_packed
+from papyra.operators.sequence import last_before, linked, numbered
 from papyra.plans.registry import query, table
 from papyra.storage import small_side
 
@@ -90,7 +91,7 @@ def prj_trimmed(spark, d):
 
 @query("join_neighbours", "WITH c AS (SELECT DISTINCT id, prev_chunk_id, next_chunk_id, text FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1) SELECT c.id, length(p.text) AS before, length(n.text) AS after FROM c LEFT JOIN c p ON p.id = c.prev_chunk_id LEFT JOIN c n ON n.id = c.next_chunk_id")
 def join_neighbours(spark, d):
-    c = latest_rows(table(spark, d, "chunks").select("id", "prev_chunk_id", "next_chunk_id", "text", "ingested_at"), ["id"], "ingested_at").select("id", "prev_chunk_id", "next_chunk_id", F.length("text").alias("n"))
+    c = latest_rows(table(spark, d, "chunks").select("id", "prev_chunk_id", "next_chunk_id", F.length("text").alias("n"), "ingested_at"), ["id"], "ingested_at").drop("ingested_at")
     side = c.select(F.col("id").alias("k"), F.col("n").alias("m"))
     j = c.join(side.withColumnRenamed("m", "before"), F.col("prev_chunk_id") == F.col("k"), "left").drop("k")
     return j.join(side.withColumnRenamed("m", "after"), F.col("next_chunk_id") == F.col("k"), "left").select("id", "before", "after")
@@ -102,15 +103,11 @@ s AS (SELECT doc_id, section_title, min(char_start) AS start FROM c WHERE sectio
 j AS (SELECT c.id, s.section_title, s.start, c.char_start, row_number() OVER (PARTITION BY c.id ORDER BY s.start DESC, s.section_title DESC) AS n FROM c JOIN s ON s.doc_id = c.doc_id AND s.start <= c.char_start)
 SELECT id, section_title AS section, (char_start - start BETWEEN 0 AND 400) AS near FROM j WHERE n = 1""")
 def join_section_asof(spark, d):
-    """Last section that starts at or before each chunk: both sides in one ordered pass per document, no range join."""
+    """Last section that starts at or before each chunk: both sides in ordered passes over ranges of a document, no range join."""
     c = latest_rows(table(spark, d, "chunks").where("char_start is not null").select("id", "doc_id", "char_start", "section_title", "ingested_at"), ["id"], "ingested_at")
-    s = c.where("section_title is not null").groupBy("doc_id", "section_title").agg(F.min("char_start").alias("start"))
-    marks = s.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("section_title").alias("title"), F.lit(None).cast("string").alias("id"))
-    points = c.select("doc_id", F.col("char_start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("title"), "id")
-    w = Window.partitionBy("doc_id").orderBy("at", "kind", "title").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct(F.col("at").alias("start"), F.col("title").alias("title"))), ignorenulls=True).over(w)
-    j = marks.unionByName(points).withColumn("last", last).where("kind = 1 and last is not null")
-    return j.select("id", F.col("last.title").alias("section"), (F.col("at") - F.col("last.start")).between(0, 400).alias("near"))
+    marks = c.where("section_title is not null").groupBy("doc_id", "section_title").agg(F.min("char_start").alias("char_start")).withColumnRenamed("section_title", "mark")
+    j = last_before(c.select("id", "doc_id", "char_start"), marks, "doc_id", "char_start").where("mark is not null")
+    return j.select("id", F.col("mark").alias("section"), (F.col("char_start") - F.col("mark_at")).between(0, 400).alias("near"))
 
 
 @query("join_vector_lookup", "SELECT e.vec_id, e.label, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id")
@@ -201,8 +198,7 @@ _LATEST = "SELECT DISTINCT ON (id) * FROM chunks ORDER BY id, ingested_at DESC"
 @query("rank_chunk_links", f"WITH c AS ({_LATEST}) SELECT id, lag(id) OVER w AS before, lead(id) OVER w AS after FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id, id)")
 def rank_chunk_links(spark, d):
     c = latest_rows(table(spark, d, "chunks").select("id", "doc_id", "chunk_id", "ingested_at"), ["id"], "ingested_at")
-    w = Window.partitionBy("doc_id").orderBy("chunk_id", "id")
-    return c.select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
+    return linked(c, "doc_id", "chunk_id", "id")
 
 
 @query("rank_breadcrumb", f"WITH c AS ({_LATEST}), f AS (SELECT doc_id, section_title, min(chunk_id) AS first FROM c WHERE section_title IS NOT NULL GROUP BY ALL) SELECT doc_id, section_title, first, array_to_string(list(section_title) OVER (PARTITION BY doc_id ORDER BY first, section_title ROWS UNBOUNDED PRECEDING), ' > ') AS trail FROM f")
@@ -217,7 +213,7 @@ def rank_breadcrumb(spark, d):
 @query("rank_section_ordinal", f"WITH c AS ({_LATEST}) SELECT id, row_number() OVER (PARTITION BY doc_id, section_title ORDER BY chunk_id, id) AS in_section, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id, id) AS in_doc FROM c")
 def rank_section_ordinal(spark, d):
     c = latest_rows(table(spark, d, "chunks").select("id", "doc_id", "chunk_id", "section_title", "ingested_at"), ["id"], "ingested_at")
-    return c.select("id", F.row_number().over(Window.partitionBy("doc_id", "section_title").orderBy("chunk_id", "id")).alias("in_section"), F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "id")).alias("in_doc"))
+    return numbered(c, ["doc_id", "section_title"], "chunk_id", "id", "in_section").join(numbered(c, ["doc_id"], "chunk_id", "id", "in_doc"), "id")
 
 
 @query("sort_score_nulls_last", "SELECT query_id, chunk_id, logged_at, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC NULLS LAST, chunk_id, logged_at) AS rank FROM candidates QUALIFY rank <= 10")
@@ -264,8 +260,10 @@ p AS (SELECT id, t, lag(t) OVER (PARTITION BY doc_id ORDER BY chunk_id, id) AS u
 SELECT id, CASE WHEN len(t) > 0 AND len(u) > 0 THEN round(len(list_intersect(t, u))::DOUBLE / len(list_distinct(t || u)), 6) ELSE 0 END AS overlap FROM p WHERE u IS NOT NULL""")
 def set_jaccard(spark, d):
     c = latest_rows(table(spark, d, "chunks").select("id", "doc_id", "chunk_id", "text", "ingested_at"), ["id"], "ingested_at")
-    t = c.select("id", "doc_id", "chunk_id", F.array_distinct(T.tokens(F.lower("text"))).alias("t")).withColumn("u", F.lag("t").over(Window.partitionBy("doc_id").orderBy("chunk_id", "id")))
-    return t.where("u is not null").select("id", F.round(T.jaccard(F.col("t"), F.col("u")), 6).alias("overlap"))
+    t = c.select("id", F.array_distinct(T.tokens(F.lower("text"))).alias("t"))
+    before = linked(c, "doc_id", "chunk_id", "id").where("before is not null").select("id", "before")
+    j = before.join(t, "id").join(t.select(F.col("id").alias("before"), F.col("t").alias("u")), "before").where("u is not null")
+    return j.select("id", F.round(T.jaccard(F.col("t"), F.col("u")), 6).alias("overlap"))
 
 
 @query("set_vocabulary_overlap", "SELECT query_id, list_sort(list_intersect(keyword_boosted, keyword_regular)) AS shared, list_sort([x FOR x IN list_distinct(keyword_regular) IF NOT list_contains(['models', 'queries'], x)]) AS allowed FROM query_specs WHERE keyword_boosted IS NOT NULL AND keyword_regular IS NOT NULL")

@@ -13,6 +13,7 @@ from papyra.operators import lexical as L
 from papyra.operators.blocking import block_pairs
 from papyra.operators.components import connected_components
 from papyra.operators.latest import latest_rows
+from papyra.operators.sequence import last_before, linked, numbered
 from papyra.operators.query_spec import keyword_queries, parse_analysis
 from papyra.operators.vector import vector_topk
 from papyra.plans import pipeline as P
@@ -59,11 +60,18 @@ def test_sentence_groups(spark):
 def test_scored_parents_cover_all_sentences(spark):
     text = " ".join(f"Sentence number {i} has six words." for i in range(40))
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    got = C.scored_parents(df, lambda a, b: 0.5, least_words=30, most_sentences=10).orderBy("parent").collect()
+    got = C.scored_parents(df, lambda texts: [0.5] * len(texts), least_words=30, most_sentences=10).orderBy("parent").collect()
     assert got[0].sent_start == 0 and got[-1].sent_end == 40
     assert all(a.sent_end == b.sent_start for a, b in zip(got, got[1:]))
     assert got[0].sent_end == 5  # equal probabilities: the latest split
-    assert math.isnan(got[-1].eos_probability)
+    assert got[-1].eos_probability == 0.5
+
+
+def test_scored_parents_where_the_model_fails(spark):
+    df = spark.createDataFrame([(1, "A a. B b. C c. D d.")], "id long, text string")
+    at = lambda fails, reuse: [(r.sent_start, r.sent_end, r.eos_probability if r.eos_probability == r.eos_probability else None) for r in C.scored_parents(df, lambda ts: [None if t.endswith(fails) else len(t) / 100 for t in ts], 6, 3, reuse=reuse).orderBy("parent").collect()]
+    assert at("A a.", False)[0] == (0, 3, None) and at("A a.", True)[0] == (0, 1, None)
+    assert at("C c.", False)[0] == (0, 2, None) and at("C c.", True)[0] == (0, 2, 0.09)
 
 
 def test_section_and_page_lookup(spark):
@@ -170,9 +178,43 @@ def test_mmr_prefers_different_texts(spark):
 
 
 def test_expanded(spark):
-    c = spark.createDataFrame([("d", 0, "First part of it,"), ("d", 1, "and the rest."), ("d", 2, "Done.")], "doc_id string, chunk_id int, text string")
-    got = {r.chunk_id: r.context for r in U.expanded(c).collect()}
-    assert got[0] == "First part of it, and the rest." and got[2] == "Done."
+    c = spark.createDataFrame([("a", "d", 0, "First part of it,"), ("b", "d", 1, "and the rest."), ("c", "d", 2, "Done."), ("x", "e", 0, "of one"), ("y", None, 0, "Alone.")], "id string, doc_id string, chunk_id int, text string")
+    got = {r.id: (r.context, r.state) for r in U.expanded(c).collect()}
+    assert got["a"][0] == "First part of it, and the rest." and got["c"] == ("Done.", "COMPLETE") and got["x"] == ("of one", "INCOMPLETE") and got["y"] == ("Alone.", "COMPLETE")
+
+
+def test_order_within_groups_of_any_size(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice("ab"), r.choice([None, *range(40)]), r.choice("uv")) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, o int, mark string")
+    near = {x.id: (x.before, x.after) for x in linked(df, "g", "o", "id", width=7).collect()}
+    number = {x.id: x.n for x in numbered(df, ["g"], "o", "id", "n", width=7).collect()}
+    marks = [("a", 3, "x"), ("a", 3, "y"), ("a", 30, "z"), ("b", 0, "w")]
+    last = {x.id: x.mark for x in last_before(df.drop("mark"), spark.createDataFrame(marks, "g string, o int, mark string"), "g", "o", width=7).collect()}
+    for g in "ab":
+        ids = [i for i, _, _, _ in sorted((x for x in rows if x[1] == g), key=lambda x: (-1 if x[2] is None else x[2], x[0]))]
+        assert [near[i] for i in ids] == list(zip([None, *ids], [*ids[1:], None]))
+        assert [number[i] for i in ids] == list(range(1, len(ids) + 1))
+    for i, g, o, _ in rows:
+        want = [m for h, at, m in marks if h == g and o is not None and at <= o]
+        assert last.get(i) == (want[-1] if want else None)
+    assert linked(df.where("false"), "g", "o", "id").count() == 0
+
+
+def test_greedy_diversity_against_the_definition(spark):
+    r = random.Random(8)
+    hits = [(q, i, r.random(), r.sample("abcdefgh", 4)) for q in range(3) for i in range(20)]
+    df = spark.createDataFrame(hits, "qid long, id long, fused double, tokens array<string>")
+    got = {}
+    for x in U.diversified(df, "long", 0.3, 10).orderBy("qid", "place").collect():
+        got.setdefault(x.qid, []).append(x.id)
+    for q in range(3):
+        own = {i: (f, set(t)) for p, i, f, t in hits if p == q}
+        taken = []
+        while len(taken) < 10:
+            worth = lambda i: 0.3 * own[i][0] - 0.7 * max((len(own[i][1] & own[j][1]) / len(own[i][1] | own[j][1]) for j in taken), default=0)
+            taken.append(max((i for i in own if i not in taken), key=worth))
+        assert got[q] == taken
 
 
 def test_components(spark):

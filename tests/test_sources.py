@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra import models
+from papyra.models import HashEmbedder, VectorCache, device, once, timed
+from papyra.operators import ingest
 from papyra.sources import index as I
 from papyra.sources import papers as S
 from papyra.sources.tei import read_tei, tei_sentences
@@ -105,3 +107,37 @@ def test_entry_point():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and "r1_rrf_hybrid" in q and "p5_found" in q
+
+
+def test_vector_cache_forgets_in_order():
+    calls = []
+
+    class Counting(HashEmbedder):
+        def encode(self, texts):
+            calls.extend(texts)
+            return super().encode(texts)
+
+    c = VectorCache(Counting(8), 2)
+    for t in ("a", "b", "a", "c", "a"):
+        c.vector(t)
+    assert calls == ["a", "b", "c", "a"]
+
+
+def test_models_are_built_once():
+    assert once("x", list) is once("x", list)
+    with timed("nothing"):
+        pass
+    assert device() in ("cpu", "cuda")
+
+
+def test_enriched_chunks_and_odd_texts(spark):
+    docs = spark.createDataFrame([("d", "1 Intro\nalpha beta gamma GraphNet\n2.1 Data:\ndelta epsilon", 1), ("e", "", 1), ("n", None, 1), (None, "x", 1)], "id string, text string, chunk_id int")
+    none = F.lit(None).cast("array<struct<title:string,start:int,level:int>>")
+    pages = F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit(20).alias("end")), F.struct(F.lit(2).alias("page"), F.lit(20).alias("start"), F.lit(0).alias("end")))
+    d = docs.select("id", "text", ingest.sections(F.col("text"), none).alias("sections"), pages.alias("pages"))
+    got = {r.id: r for r in ingest.enriched_chunks(d, 4, 1, 1).collect()}
+    assert sorted(got) == ["d#0000", "d#0001", "d#0002"]
+    a, c = got["d#0000"], got["d#0002"]
+    assert (a.section_title, a.section_level, a.page_num, a.header_score, a.prev_chunk_id, a.next_chunk_id) == ("1 Intro", 1, 1, 1.0, None, "d#0001")
+    assert c.section_title == "2.1 Data" and c.section_level == 2 and list(c.headings) == ["1 Intro", "2.1 Data"] and c.page_num == 2 and c.next_chunk_id is None
+    assert "GraphNet" in got["d#0001"].model_names or "GraphNet" in a.model_names
