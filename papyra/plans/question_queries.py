@@ -12,6 +12,7 @@ from papyra.operators import chunking as C
 from papyra.operators import fusion as U
 from papyra.operators import lexical as L
 from papyra.operators import query_spec as Q
+from papyra.operators.ivf import approximate_topk
 from papyra.operators.latest import latest_rows
 from papyra.operators.vector import dot, l2_normalised, vector_topk
 from papyra.plans import pipeline as P
@@ -459,6 +460,19 @@ def vec_knn(spark, d):
     return P.knn(_vectors(spark, d), q, 10, filters=F.col("label") != 2)
 
 
+@query("vec_approximate", "SELECT vec_id AS qid, 10::BIGINT AS hits, true AS recall_over_nine_tenths, true AS scores_exact FROM embeddings WHERE vec_id % 100 = 0")
+def vec_approximate(spark, d):
+    """Ten neighbours by the inverted file, against the exact ones: recall of all queries together, and equal scores."""
+    v = _vectors(spark, d).select("id", "v")
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "v")
+    near = approximate_topk(v, q, 10)
+    exact = vector_topk(v, q, 10, keep_self=True).select("qid", "id", F.col("score").alias("told"))
+    j = near.join(exact, ["qid", "id"], "left")
+    w = Window.partitionBy()  # one row a query
+    g = j.groupBy("qid").agg(F.count("*").alias("hits"), F.count("told").alias("met"), F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("told")) <= 2e-6, F.lit(True))).alias("scores_exact"))
+    return g.select("qid", "hits", (F.sum("met").over(w) >= 0.9 * F.sum("hits").over(w)).alias("recall_over_nine_tenths"), "scores_exact")
+
+
 @query("vec_rerank_second", f"""
 WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round({_DOT} / {_NORM}, 6) AS score, list_inner_product([abs(x)::DOUBLE FOR x IN a.embedding], [abs(x)::DOUBLE FOR x IN b.embedding]) AS second FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 100 = 0),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 30) SELECT qid, id, round(second, 6) AS second, row_number() OVER (PARTITION BY qid ORDER BY round(second, 6) DESC, id) AS rank FROM f QUALIFY rank <= 10""")

@@ -12,6 +12,7 @@ from papyra.operators import fusion as U
 from papyra.operators import lexical as L
 from papyra.operators.blocking import block_pairs
 from papyra.operators.components import connected_components
+from papyra.operators.ivf import approximate_topk
 from papyra.operators.latest import latest_rows
 from papyra.operators.sequence import last_before, linked, numbered
 from papyra.operators.query_spec import keyword_queries, parse_analysis
@@ -99,6 +100,19 @@ def test_vector_topk_without_queries(spark):
     assert vector_topk(df, df.select(F.col("id").alias("qid"), "v"), 3).count() == 0
 
 
+def test_approximate_neighbours(spark):
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(30, 16)), 20, 0) + 0.3 * r.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (601, None)], "id long, v array<double>")
+    q = df.where("id % 50 = 0").select(F.col("id").alias("qid"), "v")
+    exact = {(a.qid, a.id) for a in vector_topk(df, q, 5, keep_self=True).collect()}
+    got = {(a.qid, a.id) for a in approximate_topk(df, q, 5, 200).collect()}
+    assert len(got) == len(exact) and len(got & exact) > 0.9 * len(exact)
+    assert got == {(a.qid, a.id) for a in approximate_topk(df, q, 5, 200, block_rows=7).collect()}
+    assert exact == {(a.qid, a.id) for a in approximate_topk(df, q, 5, 600).collect()}
+    assert approximate_topk(df.where("false"), q, 5).count() == 0
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "the beta of betas, gamma"), (3, None), (4, ""), (None, "alpha")], "id long, text string")
     q = spark.createDataFrame([(0, "the alpha beta"), (1, "nothing"), (2, None), (3, "alpha gamma")], "qid long, text string")
