@@ -25,6 +25,23 @@ def p5_found(spark, d):
     return split_packed(packed_fields(table(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at"))
 
 
+@query("p5_checks", """
+WITH p AS (SELECT DISTINCT ON (id) * FROM papers WHERE id IS NOT NULL ORDER BY id, ingested_at DESC), f AS (SELECT id AS rec_id, 'authors' AS field, authors AS text FROM p UNION ALL SELECT id, 'categories', categories FROM p)
+SELECT rec_id, field, true AS numbered_from_one, true AS values_stand_in_the_text, true AS rest_is_no_word FROM f WHERE regexp_matches(text, '[^\\s\\p{P}\\p{S}]')""")
+def p5_checks(spark, d):
+    """Of each packed field: whether its values are numbered, stand in its text, and leave only delimiters, quotes and the
+    word "and" behind."""
+    packed = packed_fields(table(spark, d, "papers"), "id", ["authors", "categories"], "ingested_at")
+    vals = F.transform(F.sort_array(F.collect_list(F.struct("pos", "val"))), lambda x: x["val"])
+    g = split_packed(packed).groupBy("rec_id", "field").agg(vals.alias("vals"), (F.max("pos") == F.count("*")).alias("numbered_from_one"))
+    j = g.join(packed, ["rec_id", "field"])
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    whole = bare(F.regexp_replace("text", r"(?i)\band\b", ""))
+    told = bare(F.regexp_replace(F.array_join("vals", " "), r"(?i)\band\b", ""))
+    inside = F.forall("vals", lambda v: F.contains(bare(F.col("text")), bare(v)))
+    return j.select("rec_id", "field", "numbered_from_one", inside.alias("values_stand_in_the_text"), (whole == told).alias("rest_is_no_word"))
+
+
 @query("src_category_filter", rf"SELECT id, ingested_at FROM papers WHERE list_has_any(regexp_split_to_array({_s('categories')}, '\s+'), ['cs.CL', 'cs.IR'])")
 def src_category_filter(spark, d):
     return table(spark, d, "papers").where(R.in_categories(F.col("categories"), ["cs.CL", "cs.IR"])).select("id", "ingested_at")
