@@ -108,6 +108,13 @@ def parent_search(children: DataFrame, queries: DataFrame, k: int, per_parent: i
     return L.top_per_query(best, k, F.desc("score"), "parent")
 
 
+def question_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(qid, id, rank, text, question, distance)``: the k chunks of ``index(id long, text, question, vector)`` whose questions'
+    vectors are nearest to each query ``(qid, v)``; the distance is the squared one, as it is."""
+    near = vector_topk(index.select("id", F.col("vector").alias("v")), queries, k, "l2", keep_self=True)
+    return index.select("id", "text", "question").join(small_side(near), "id").select("qid", "id", "rank", "text", "question", (F.lit(0.0) - F.col("score")).alias("distance"))
+
+
 def rank_by_lists(answers: DataFrame, known: DataFrame) -> DataFrame:
     """``(qid, id, rank)`` of a model's ordering: its lines (qid, pos, line) matched to known texts (qid, id, text) after list
     numbers are stripped; unknown lines are dropped, repeats keep their first place."""

@@ -497,6 +497,20 @@ def vec_quotes(spark, d):
     return P.semantic_quotes(v.select("id", F.col("v").alias("vector")), q, 5, docs)
 
 
+_L2 = f"round(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) + list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) - 2 * {_DOT}, 6)"
+
+
+@query("vec_questions", f"""
+WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id, {_L2} AS distance FROM embeddings a JOIN embeddings b ON true JOIN documents d ON d.doc_id = b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM s QUALIFY rank <= 5) SELECT qid, id, rank, d.text, ({_SENTENCES})[1] AS question, distance FROM r JOIN documents d ON d.doc_id = id""")
+def vec_questions(spark, d):
+    """Documents whose question (here the first sentence) has the nearest vector, with the raw distance."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.get(T.sentences(F.col("text")), F.lit(0)).alias("question"))
+    v = _vectors(spark, d)
+    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), "v")
+    return P.question_search(docs.join(v.select("id", F.col("v").alias("vector")), "id"), q, 5)
+
+
 @query("join_metadata_left", f"SELECT d.doc_id, coalesce(nullif({_S.format('p.title')}, ''), '') AS title, coalesce(nullif({_S.format('p.categories')}, ''), '') AS categories FROM documents d LEFT JOIN ({_LATEST_PAPERS}) p ON p.id = d.paper_id")
 def join_metadata_left(spark, d):
     from papyra.sources.papers import with_metadata

@@ -358,7 +358,15 @@ def fuse_section_bias(spark, d):
     return j.select(F.col("query_id").alias("qid"), "id", (F.floor(1000000 * F.col("fused_score") * T.section_bias(F.col("section_title"), F.array_join("headings", " ")) + 0.5) / 1000000).alias("biased"))
 
 
-@query("fuse_mmr")
+@query("fuse_mmr", r"""
+WITH RECURSIVE k AS (SELECT DISTINCT ON (query_id, chunk_id) * FROM candidates ORDER BY query_id, chunk_id, logged_at DESC), c AS (SELECT DISTINCT ON (id) id, text FROM chunks ORDER BY id, ingested_at DESC),
+t AS (SELECT query_id AS qid, chunk_id AS id, fused_score AS f FROM k WHERE fused_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, chunk_id) <= 50),
+j AS (SELECT qid, t.id, f, list_distinct(regexp_extract_all(lower(c.text), '[^\s]+')) AS w FROM t JOIN c ON c.id = t.id),
+g AS (SELECT qid, list(id ORDER BY f DESC, id) AS ids, list(f ORDER BY f DESC, id) AS fs, list(coalesce(w, []) ORDER BY f DESC, id) AS ws FROM j GROUP BY qid),
+r AS (SELECT qid, ids, fs, ws, [0.0::DOUBLE FOR x IN ids] AS worst, []::INT[] AS taken, 0 AS place, 0 AS pick FROM g
+ UNION ALL SELECT qid, ids, fs, ws, [CASE WHEN len(ws[p]) > 0 AND len(ws[i]) > 0 THEN greatest(worst[i], len(list_intersect(ws[p], ws[i]))::DOUBLE / len(list_distinct(ws[p] || ws[i]))) ELSE worst[i] END FOR i IN range(1, len(ids) + 1)], list_append(taken, p), place + 1, p
+  FROM (SELECT *, list_position(v, list_max(v))::INT AS p FROM (SELECT *, [CASE WHEN list_contains(taken, i::INT) THEN -1e18::DOUBLE ELSE 0.3::DOUBLE * fs[i] - 0.7::DOUBLE * worst[i] END FOR i IN range(1, len(ids) + 1)] AS v FROM r WHERE place < len(ids) AND place < 50)))
+SELECT qid, ids[pick] AS id, fs[pick] AS fused, place FROM r WHERE place > 0""")
 def fuse_mmr(spark, d):
     k = latest_rows(table(spark, d, "candidates").select("query_id", "chunk_id", "fused_score", "logged_at"), ["query_id", "chunk_id"], "logged_at").where("fused_score is not null")
     c = latest_rows(table(spark, d, "chunks").select("id", "text", "ingested_at"), ["id"], "ingested_at")
