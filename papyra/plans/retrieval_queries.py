@@ -290,7 +290,7 @@ def lex_highlight(spark, d):
     return s.where("snippet <> s").select("query_id", "chunk_id", "snippet")
 
 
-@query("lex_fallback", _MUST.replace("documents", "documents") + """, h AS (SELECT qid, id, count(*)::DOUBLE AS score FROM q JOIN p USING (term) JOIN m USING (qid) GROUP BY qid, id, wanted HAVING count(*) = wanted),
+@query("lex_fallback", _MUST + """, h AS (SELECT qid, id, count(*)::DOUBLE AS score FROM q JOIN p USING (term) JOIN m USING (qid) GROUP BY qid, id, wanted HAVING count(*) = wanted),
 f AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 5)
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank FROM h QUALIFY rank <= 5
 UNION ALL SELECT query_id, f.id, 0.0::DOUBLE, f.rank FROM query_specs, f WHERE query_id NOT IN (SELECT qid FROM h)""")

@@ -141,3 +141,57 @@ def test_enriched_chunks_and_odd_texts(spark):
     assert (a.section_title, a.section_level, a.page_num, a.header_score, a.prev_chunk_id, a.next_chunk_id) == ("1 Intro", 1, 1, 1.0, None, "d#0001")
     assert c.section_title == "2.1 Data" and c.section_level == 2 and list(c.headings) == ["1 Intro", "2.1 Data"] and c.page_num == 2 and c.next_chunk_id is None
     assert "GraphNet" in got["d#0001"].model_names or "GraphNet" in a.model_names
+
+
+def test_tei_files_become_a_sentence_index(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text("<TEI xmlns='x'><p>Before.</p><head>One</head><p>First one. Second one.</p></TEI>")
+    ingest.index_tei(spark, str(tmp_path / "ix"), str(tmp_path / "in"), lambda: HashEmbedder(8))
+    got = {r.id: (r.text, r.section, len(r.vector)) for r in I.load_index(spark, str(tmp_path / "ix")).collect()}
+    assert got == {"a.xml#s0000-0001": ("Before.", None, 8), "a.xml#s0001-0001": ("First one.", "One", 8), "a.xml#s0001-0002": ("Second one.", "One", 8)}
+
+
+def test_prompts_and_questions(spark):
+    from papyra.functions.text import question_line
+
+    df = spark.createDataFrame([("q", None, "a")], "q string, t string, a string")
+    assert "Question: q\nTitle: \nAbstract: a" in df.select(models.relevance_prompt(F.col("q"), F.col("t"), F.col("a"))).first()[0]
+    rows = spark.createDataFrame([("Here. Question: What is it.\nmore", "What is it?"), ("invalid", "INVALID"), ("  ", "INVALID"), (None, "INVALID"), ("Why?", "Why?")], "c string, want string")
+    assert all(r.got == r.want for r in rows.select("want", question_line(F.col("c")).alias("got")).collect())
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from papyra import storage
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            applicationId = "x"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        storage.shared_root(Cluster)
+
+
+def test_staged_tables_are_deleted(spark):
+    from papyra.storage import small_side, stage, staging, unstage
+
+    with staging(spark):
+        t = stage(spark.range(5), "test")
+        path = t._papyra_path
+        assert I.exists(spark, path) and t.count() == 5
+    assert not I.exists(spark, path)
+    t = stage(spark.range(3), "test")
+    unstage(t)
+    assert not I.exists(spark, t._papyra_path)
+    wide = spark.range(100).selectExpr("repeat('x', 1000) as s")
+    hinted = lambda df: "BROADCAST" in df._jdf.queryExecution().logical().toString().upper()
+    assert hinted(small_side(wide)) and not hinted(small_side(wide, max_bytes=50_000)) and not hinted(small_side(wide, max_rows=50))
