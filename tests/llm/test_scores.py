@@ -129,3 +129,7 @@ def test_training_texts_are_bounded_in_bytes(frame):
     marks = frame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     texts, y, langs, ids = labelled(docs, marks, 100, 4000)
     assert sum(map(len, texts)) <= 4000 and all(len(t) < 4000 for t in texts) and len(texts) == len(y) == len(langs) > 5 and ids.count() == 20
+
+
+def test_letters_apart():
+    assert plain_words("so n a k e d b*****s, x y z") == ["so", "naked", "b*****s", "x", "y", "z"]
