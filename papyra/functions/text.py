@@ -30,6 +30,8 @@ LIST_PREFIX = r"^\d+[).\s-]*"
 QUESTION_TOKEN = r"([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"
 #: function words an English index leaves out
 ENGLISH_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
+#: words that aren't keywords of their own
+KEYWORD_STOP_WORDS = ["a", "an", "the", "of", "and", "or", "in", "on", "for", "to", "from", "by", "with", "at"]
 DEFAULT_SECTIONS = ["Introduction", "Method", "Results"]
 INTENT_CUES = {
     "architecture": ["architecture", "framework"],
@@ -265,6 +267,12 @@ def keyword_list(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+def single_words(keywords: Column) -> Column:
+    """Keywords cut into single words of letters and digits, in order, small words left out."""
+    parts = F.flatten(F.transform(F.filter(keywords, lambda k: k.isNotNull()), lambda k: F.split(k, r"[^A-Za-z0-9]+")))
+    return F.filter(parts, lambda w: (w != "") & ~F.lower(w).isin(KEYWORD_STOP_WORDS))
+
+
 def span_normalised(c: Column, most_tokens: int = 8, most_chars: int = 64, least_alpha: float = 0.35) -> Column:
     """The first tokens, cut at a blank to the length allowed; null if too few letters."""
     s = F.array_join(F.slice(tokens(c), 1, most_tokens), " ")

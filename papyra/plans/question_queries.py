@@ -93,6 +93,15 @@ def fn_list_prefix(spark, d):
     return q.select("query_id", T.list_prefix_stripped(numbered).alias("line"))
 
 
+_SMALL = "['" + "','".join(T.KEYWORD_STOP_WORDS) + "']"
+
+
+@query("fn_single_words", f"SELECT query_id, [w FOR w IN regexp_extract_all(array_to_string(list_filter([raw] || coalesce(keyword_boosted, []), lambda x: x IS NOT NULL), ' '), '[A-Za-z0-9]+') IF NOT list_contains({_SMALL}, lower(w))] AS words FROM query_specs")
+def fn_single_words(spark, d):
+    k = F.concat(F.array("raw"), F.coalesce("keyword_boosted", F.array().cast("array<string>")))
+    return _specs(spark, d).select("query_id", T.single_words(k).alias("words"))
+
+
 @query("fn_min_max", "SELECT query_id, chunk_id, logged_at, least(semantic_score, fused_score) AS low, greatest(semantic_score, fused_score) AS high FROM candidates")
 def fn_min_max(spark, d):
     return table(spark, d, "candidates").select("query_id", "chunk_id", "logged_at", F.least("semantic_score", "fused_score").alias("low"), F.greatest("semantic_score", "fused_score").alias("high"))
