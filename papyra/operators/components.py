@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from papyra.storage import stage, unstage
@@ -23,6 +24,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def observed(seen: Observation) -> tuple | None:
+    """What was observed, or nothing of a table that the optimizer knows to be empty."""
+    try:
+        return tuple(sorted(seen.get.items()))
+    except Py4JJavaError:
+        return None
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
@@ -33,11 +42,13 @@ def connected_components(edges: DataFrame, src: str, dst: str, label: str = "cc"
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select(F.col("u").alias("node")).distinct()
     cur = stage(e.where("u <> v").distinct(), label)
-    before = None
+    before: tuple | None = ()
     for _ in range(max_rounds):
-        last, cur = cur, stage(_star(_star(cur, True), False), label)
+        seen = Observation()  # size and hash of a round are taken while it is written
+        told = _star(_star(cur, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h"))
+        last, cur = cur, stage(told, label)
         unstage(last)
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        now = observed(seen)
         if now == before:
             break
         before = now

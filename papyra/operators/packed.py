@@ -173,7 +173,7 @@ def _costed(tried: DataFrame, weighted: DataFrame, vocabulary: DataFrame) -> Dat
     """(tid, pid, k, cost): what each parse of ``tried`` costs under the code lengths that ``weighted`` implies."""
     counted = lambda c: weighted.select("weight", F.explode(c).alias(c)).groupBy(c).agg(F.sum("weight").alias(f"n_{c}"))
     dialects = weighted.groupBy("field", "dialect").agg(F.sum("weight").alias("nd"))
-    fields = stage(weighted.groupBy("field").agg(F.sum("weight").alias("td"), F.greatest(F.lit(1.0), F.sum(F.col("weight") * F.size("vh"))).alias("total")), "packed-fields")
+    fields = weighted.groupBy("field").agg(F.sum("weight").alias("td"), F.greatest(F.lit(1.0), F.sum(F.col("weight") * F.size("vh"))).alias("total"))
     known = vocabulary.join(counted("vh"), "vh", "left").join(counted("sh"), "sh", "left").join(F.broadcast(fields.select("field", "total")), "field", "left")
     total = F.coalesce("total", F.lit(1.0)) + 1
     by_value = F.log2(total / F.col("n_vh")) + F.col("lv") * BITS_PER_CHARACTER / F.greatest(F.lit(1.0), F.col("n_vh"))
@@ -214,7 +214,7 @@ def split_packed(fields: DataFrame, rounds: int = 3) -> DataFrame:
     weighted = plain.join(plain.groupBy("tid").agg(F.count("*").alias("parses")), "tid").withColumn("weight", F.col("n") / F.col("parses"))
     for r in range(rounds):
         cost = stage(_costed(tried, weighted, vocabulary), "packed-cost")
-        best = stage(cost.groupBy("tid").agg(F.min(F.struct("cost", "k", "pid")).alias("b")).select("tid", F.col("b.pid").alias("pid"), F.col("b.cost").alias("least")), "packed-best")
+        best = cost.groupBy("tid").agg(F.min(F.struct("cost", "k", "pid")).alias("b")).select("tid", F.col("b.pid").alias("pid"), F.col("b.cost").alias("least"))
         if r + 1 < rounds:
             near = cost.join(best.select("tid", "least"), "tid").where(F.col("cost") <= F.col("least") * KEPT_TIMES + KEPT_BITS).select("pid")
             tried = stage(tried.join(near, "pid"), "packed-tried")
