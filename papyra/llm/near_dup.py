@@ -221,9 +221,10 @@ class NearDuplicates:
     given to them once, so that no two can be taken for each other.
     """
 
-    def __init__(self, texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, trees: int = 48, target_recall: float = 0.99, first_recall: float = 0.9, node_rows: int = 64, block_rows: int = 200):
+    def __init__(self, texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, trees: int = 48, target_recall: float = 0.99, first_recall: float = 0.9, node_rows: int = 64, block_rows: int = 200, crowd_part: int = 128, crowd_rows: int = 40):
         self.texts, self.threshold, self.width, self.min_words = texts.select("kind", "id", "text", "ver"), threshold, width, min_words
         self.trees, self.target_recall, self.node_rows, self.block_rows = trees, target_recall, node_rows, block_rows
+        self.crowd_part, self.crowd_rows = crowd_part, crowd_rows
         self.depth = prefix_depth(threshold, trees, first_recall)
         usable = self.texts.where("kind is not null and id is not null and text is not null")
         signed = usable.select("kind", "id", "ver", "text").mapInArrow(_signer(width, min_words, trees, self.depth), "kind string, id string, ver timestamp, fp binary, keys binary")
@@ -245,8 +246,13 @@ class NearDuplicates:
         rows = self.signed.select("num", "kind", "keys").join(small_side(out), "num", "left_anti").select("num", "kind", "keys")
         found, tried = None, None
         for prefix in range(self.depth, 0, -1):
-            run = rows.mapInArrow(_exploder(self.depth, prefix), "key long, h long").repartition("key").sortWithinPartitions("key", "h")
-            scanned = stage(run.mapInArrow(_pairs_of_runs(self.node_rows), "a long, b long, hot long"), "neardup-candidates")
+            keyed = rows.mapInArrow(_exploder(self.depth, prefix), "key long, h long")
+            crowded = self._crowded(rows, prefix)
+            cold = keyed if crowded is None else keyed.join(crowded, "key", "left_anti").select("key", "h")
+            run = cold.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_pairs_of_runs(self.node_rows), "a long, b long, hot long")
+            if crowded is not None:
+                run = run.unionByName(keyed.join(crowded, "key", "left_semi").select(F.col("h").alias("a"), F.lit(None).cast("long").alias("b"), F.col("key").alias("hot")))
+            scanned = stage(run, "neardup-candidates")
             pairs = scanned.where("hot is null").select("a", "b").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -262,6 +268,15 @@ class NearDuplicates:
         self._links = found
         return found
 
+    def _crowded(self, rows: DataFrame, prefix: int) -> DataFrame | None:
+        """Keys of nodes that hold so many texts that their rows would fill one task, told from one text in ``crowd_part``.
+
+        Their rows go to the blocks at once. A node that isn't told is met in order like any other, so that pairs don't
+        depend on it. At most one key for each ``crowd_rows`` rows of the sample."""
+        some = rows.where(F.pmod(F.xxhash64("num"), F.lit(self.crowd_part)) == 0).mapInArrow(_exploder(self.depth, prefix), "key long, h long")
+        keys = stage(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= self.crowd_rows).select("key"), "neardup-crowded")
+        return small_side(keys) if keys.limit(1).count() else None
+
     def _verified(self, pairs: DataFrame, hot: DataFrame, known: DataFrame | None) -> DataFrame:
         """The pairs of numbers whose sets are similar enough, as links. A text is read once, and moves at most once."""
         any_hot = bool(hot.limit(1).count())

@@ -72,6 +72,8 @@ def test_oversized_nodes_give_the_same_pairs(frame):
     a = {(r.id_a, r.id_b) for r in NearDuplicates(df, 0.5, 3, 30).pairs().collect()}
     b = {(r.id_a, r.id_b) for r in NearDuplicates(df, 0.5, 3, 30, node_rows=2, block_rows=3).pairs().collect()}
     assert a == b
+    c = {(r.id_a, r.id_b) for r in NearDuplicates(df, 0.5, 3, 30, node_rows=2, block_rows=3, crowd_part=1, crowd_rows=4).pairs().collect()}
+    assert a == c
 
 
 def test_groups_copies_kinds_and_odd_rows(frame):
