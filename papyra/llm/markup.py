@@ -13,7 +13,8 @@ import random
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,8 +44,10 @@ _ATTRIBUTE_NAME = re.compile(r"(?<=\s)[\w:-]+(?=\s*=)")
 _ITEM_LINE = re.compile(r"\s*(?:[-+*]|#{1,4}|\*{1,4})\s")
 #: attribute names are hashed to so many features
 ATTRIBUTE_TOKENS = 8
-#: characters of a node's content that its features look at, from both ends; what a field holds is decided from its whole text
-LOOK = 2000
+#: longest word of _COMMON, and one sign more
+COMMON_REACH = 5
+#: contents up to so many characters are counted where they stand, longer ones by the text's index: the counts are the same
+DIRECT = 4000
 
 
 @cache
@@ -74,9 +77,39 @@ def _name_class(n: Node) -> int:
     return 6
 
 
+def _counts(body: str) -> tuple[int, int, int, bool, bool, bool]:
+    """Words, signs of formulas, common words, and whether there is a line end, a digit, nothing but digits."""
+    return len(body.split()), len(_MATH.findall(body)), len(_COMMON.findall(body)), "\n" in body, bool(re.search(r"\d", body)), body.isdigit()
+
+
+class _Index:
+    """``_counts`` of any part of a text from places that are listed once, so that nested contents don't cost their length."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words, self.math, self.common, self.lines, self.digits = (array("q", (m.start() for m in p.finditer(text))) for p in (re.compile(r"\S+"), _MATH, _COMMON, re.compile("\n"), re.compile(r"\d")))
+        self.numeric = array("q", (i for i, c in enumerate(text) if c.isdigit()))
+
+    def counts(self, a: int, b: int) -> tuple[int, int, int, bool, bool, bool]:
+        t = self.text
+        if a >= b:
+            return _counts("")
+        inside = lambda places, lo, hi: bisect_left(places, hi) - bisect_left(places, lo)
+        words = 1 - t[a].isspace() + inside(self.words, a + 1, b)
+        # a part's ends bound words: what begins at its first sign or ends with its last one is read as it stands there
+        if b - a <= 2 * COMMON_REACH:
+            math, common = _counts(t[a:b])[1:3]
+        else:
+            last = t[b - COMMON_REACH : b]
+            math = bool(_MATH.match(t[a : a + 2])) + inside(self.math, a + 1, b - 1) + bool(_MATH.match(last, COMMON_REACH - 1))
+            common = bool(_COMMON.match(t[a : a + COMMON_REACH])) + inside(self.common, a + 1, b - COMMON_REACH + 1) + sum(1 for _ in _COMMON.finditer(last, 1))
+        return words, math, common, inside(self.lines, a, b) > 0, inside(self.digits, a, b) > 0, inside(self.numeric, a, b) == b - a
+
+
 def features(text: str, roots: list[Node], nodes: list[Node]) -> np.ndarray:
-    """One row of small whole numbers for each node."""
+    """One row of small whole numbers for each node, told by all of its content."""
     rows = []
+    index = None
     per_kind: dict[str, int] = {}
     for n in nodes:
         per_kind[n.kind] = per_kind.get(n.kind, 0) + 1
@@ -89,35 +122,37 @@ def features(text: str, roots: list[Node], nodes: list[Node]) -> np.ndarray:
             own[id(n.parent)] = count
     for n in nodes:
         a, b = n.inner
-        body = text[a:b] if b - a <= 2 * LOOK else text[a : a + LOOK] + text[b - LOOK : b]
+        if b - a > DIRECT:
+            index = index or _Index(text)
+            words, math, common, lines, digits, numeric = index.counts(a, b)
+        else:
+            words, math, common, lines, digits, numeric = _counts(text[a:b])
+        long, edges = b - a, text[a : min(b, a + 1)] + text[max(a, b - 1) : b]
         before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
-        below = sum(c.end - c.start for c in n.children[:50])
-        words = len(body.split())
+        below = sum(c.end - c.start for c in n.children)
         siblings = n.parent.children if n.parent else roots
         left = siblings[n.place - 1] if n.place else None
         right = siblings[n.place + 1] if n.place + 1 < len(siblings) else None
         count = own[id(n.parent)]
         ratio = items = 0
         if n.kind == "underlined":
-            first, rule = len(body), n.end - b
-            ratio = 1 + _few(rule / max(1, first), 0.4, 0.7, 1.4, 2)
-            words = len(body.split())
+            ratio = 1 + _few((n.end - b) / max(1, long), 0.4, 0.7, 1.4, 2)
         elif n.kind in ("item", "quote"):
             up, down = lines_around(text, n)
             items = 1 + bool(_ITEM_LINE.match(up)) + bool(_ITEM_LINE.match(down)) + 3 * (not up.strip())
         elif n.kind in ("tag", "element"):
             up = text[n.start : n.start + 2]
             items = int(up.startswith("</")) + 2 * (n.end - n.start > 60)
-        tokens = {zlib.crc32(x.lower().encode()) % ATTRIBUTE_TOKENS for x in _ATTRIBUTE_NAME.findall(n.attributes[:500])} if n.attributes else ()
+        tokens = {zlib.crc32(x.lower().encode()) % ATTRIBUTE_TOKENS for x in _ATTRIBUTE_NAME.findall(n.attributes)} if n.attributes else ()
         rows.append((
-            KINDS[n.kind], _name_class(n), _few(len(n.attributes), 0, 8, 30), int(bool(_ATTRIBUTES.match(n.attributes))) if len(n.attributes) < 500 else 0, int("=" in n.attributes),
+            KINDS[n.kind], _name_class(n), _few(len(n.attributes), 0, 8, 30), int(bool(_ATTRIBUTES.match(n.attributes))), int("=" in n.attributes),
             min(n.depth, 4), _few(len(n.children), 0, 1, 4), _few(below / max(1, n.end - n.start), 0, 0.3, 0.7),
             _few(per_kind[n.kind], 1, 2, 5), _few(len(nodes), 1, 3, 8), _few(len(per_kind), 1, 2, 4),
             _few(len(siblings), 1, 2, 5), _few(count[n.kind], 1, 2, 4), _few(count[n.kind] / len(siblings), 0.3, 0.6, 0.99), _few(n.place, 0, 1, 3),
             1 + KINDS[left.kind] if left else 0, 1 + KINDS[right.kind] if right else 0, _few(n.start - left.end, 0, 3, 20, 80) if left else 5,
-            _few(words, 0, 1, 3, 8, 30), _few(len(body), 0, 2, 10, 40, 200), ratio, items,
-            int(before.isalnum()), int(after.isalnum()), int(n.start == 0 or before == "\n"), int(body[:1].isdigit()), int(body[:1].isspace() or body[-1:].isspace()), int(body[:1].isupper()),
-            _few(len(_MATH.findall(body)) / max(1, words), 0, 0.3, 1), _few(len(_COMMON.findall(body)) / max(1, words), 0, 0.1, 0.3), int("\n" in body), int(n.within), int(bool(re.search(r"\d", body))), int(body.isdigit()), int(len(n.args) > 1), int(text[n.start + 1 : n.start + 3].lstrip("/")[:1].isupper()),
+            _few(words, 0, 1, 3, 8, 30), _few(long, 0, 2, 10, 40, 200), ratio, items,
+            int(before.isalnum()), int(after.isalnum()), int(n.start == 0 or before == "\n"), int(edges[:1].isdigit()), int(edges[:1].isspace() or edges[-1:].isspace()), int(edges[:1].isupper()),
+            _few(math / max(1, words), 0, 0.3, 1), _few(common / max(1, words), 0, 0.1, 0.3), int(lines), int(n.within), int(digits), int(numeric), int(len(n.args) > 1), int(text[n.start + 1 : n.start + 3].lstrip("/")[:1].isupper()),
             *(int(k in tokens) for k in range(ATTRIBUTE_TOKENS)),
         ))
     return np.array(rows, np.int64).reshape(len(rows), 36 + ATTRIBUTE_TOKENS)

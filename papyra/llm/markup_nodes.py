@@ -256,9 +256,10 @@ def tree(text: str) -> tuple[list[Node], list[Node]]:
 def lines_around(text: str, n: Node) -> tuple[str, str]:
     """The lines before and after the one a node begins or ends in."""
     a = text.rfind("\n", 0, n.start)
-    before = text[max(text.rfind("\n", 0, a), a - 200) + 1 : a] if a > 0 else ""
+    before = text[text.rfind("\n", 0, a) + 1 : a] if a > 0 else ""
     b = text.find("\n", n.end)
-    after = text[b + 1 : b + 200].split("\n", 1)[0] if b >= 0 else ""
+    c = text.find("\n", b + 1)
+    after = text[b + 1 : c if c >= 0 else len(text)] if b >= 0 else ""
     return before, after
 
 

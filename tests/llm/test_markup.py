@@ -5,8 +5,8 @@ from datetime import datetime
 import pytest
 
 from papyra.llm.boosting import BoostedTrees
-from papyra.llm.markup import ATTRIBUTE_TOKENS, clean, clean_markup, features, trained
-from papyra.llm.markup_nodes import tree
+from papyra.llm.markup import ATTRIBUTE_TOKENS, _counts, _Index, clean, clean_markup, features, trained
+from papyra.llm.markup_nodes import lines_around, tree
 from papyra.llm.markup_samples import sample
 
 
@@ -120,3 +120,30 @@ def test_long_tex_quotes_are_undone_and_end_with_the_paragraph(model):
     text = f"They wrote ``{said}\n\nanother paragraph'' here."
     assert all(x.kind != "tex quotes" for x in tree(text)[1])
     assert any(x.kind == "tex quotes" for x in tree(text.replace("\n\n", "\n"))[1])
+
+
+@pytest.mark.parametrize("plain,other", [
+    ("<div>" + "word " * 2000 + "</div>", "<div>" + "word " * 1000 + "7 =\n" * 500 + "word " * 1000 + "</div>"),
+    ("<div>" + "<b>c</b>" * 50 + "w" * 3000 + "</div>", "<div>" + "<b>c</b>" * 50 + "<b>" + "w" * 2993 + "</b></div>"),
+    ("<p a='" + "v" * 600 + "'>w", "<p a='" + "v" * 600 + "' b\"c>w"),
+    ("<p a='" + "v" * 600 + "'>w", "<p a='" + "v" * 600 + "' href='x'>w"),
+])
+def test_features_look_at_all_of_a_long_content(plain, other):
+    assert tuple(features(plain, *tree(plain))[0]) != tuple(features(other, *tree(other))[0])
+
+
+def test_lines_around_are_whole():
+    text = "- w" + " word" * 100 + "\n- one\n" + "word " * 100 + "end\nw"
+    n = next(n for n in tree(text)[1] if text[n.start : n.end] == "- one")
+    assert lines_around(text, n) == ("- w" + " word" * 100, "word " * 100 + "end")
+
+
+def test_counts_of_long_contents_are_those_of_their_text():
+    r = random.Random(6)
+    for _ in range(400):
+        text = "".join(r.choice(["the", "them", "of", "x", "a", "=", "<", "\n", " ", "  ", "7", "²", "_", "é", "ſ", "is"]) for _ in range(r.randint(0, 50)))
+        index = _Index(text)
+        for _ in range(10):
+            a = r.randint(0, len(text))
+            b = r.randint(a, len(text))
+            assert index.counts(a, b) == _counts(text[a:b])
