@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from papyra.llm.abuse import AbuseScores, best_threshold, labelled, plain_words
+from papyra.llm.abuse import AbuseScores, best_threshold, labelled, learnt, marked, plain_words, thresholds
 from papyra.llm.fusion import candidate_scores, fuse_ranks
 from papyra.llm.mixture import Mixture
 from papyra.llm.queries import TOKENIZER as VOCABULARY
@@ -133,3 +133,41 @@ def test_training_texts_are_bounded_in_bytes(frame):
 
 def test_letters_apart():
     assert plain_words("so n a k e d b*****s, x y z") == ["so", "naked", "b*****s", "x", "y", "z"]
+
+
+def test_every_label_is_learnt(frame):
+    docs = frame([(i, f"word w{i % 50}", None, "s") for i in range(5000)], "doc_id long, text string, lang string, source string")
+    marks = frame([(i, int(i % 5 == 0)) for i in range(4500)], "doc_id long, toxic int")
+    ids, langs, y, words, rows = learnt(marked(docs, marks)[0])
+    assert ids.tolist() == list(range(4500)) and y.sum() == 900 and set(langs) == {""}
+    assert all(len(d) == 2 for d in words) and len(rows) == 52 and len({int(d[1]) for d in words}) == 50
+
+
+def test_thresholds_are_set_in_the_whole_corpus(frame):
+    docs = corpus(400, 3)
+    a = AbuseScores(frame([(*d[:4], 1) for d in docs], TEXTS), frame([(d[0], int(d[4])) for d in docs], LABELS))
+    got, want = {r.doc_id for r in a.scores.where("flagged").collect()}, {d[0] for d in docs if d[4]}
+    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9  # all are labelled, none is left out
+
+
+def test_thresholds_equal_the_best_of_all_cuts(frame):
+    def best_of_all(positive, all_):
+        pos, all_ = np.sort(positive), np.sort(all_)
+        cuts = np.unique(np.concatenate([pos, all_]))
+        recall = (len(pos) - np.searchsorted(pos, cuts)) / len(pos)
+        flagged = (len(all_) - np.searchsorted(all_, cuts) + 1) / (len(all_) + 1)
+        use = recall >= 0.2
+        share = (flagged[use] / recall[use]).min()
+        f1 = 2 * share * recall / (flagged + share)
+        k = int(np.flatnonzero(f1 >= f1.max() - max(0.005, 1 / len(pos)))[-1])
+        below = np.searchsorted(all_, cuts[k])
+        return (cuts[k] + (all_[below - 1] if below else 0.0)) / 2
+
+    r = np.random.default_rng(8)
+    for n in (3, 40, 300):
+        score = {"en": np.concatenate([r.beta(2, 8, 500), r.beta(9, 2, n)]).round(3), "de": r.beta(2, 5, 200), None: r.beta(1, 3, 20)}
+        positive = {"": r.beta(6, 2, n).round(3), "en": r.beta(8, 3, n).round(3), "fr": r.beta(8, 3, 5)}
+        got = thresholds(frame([(k, float(x)) for k, v in score.items() for x in v], "lang string, score double"), positive)
+        everything = np.concatenate(list(score.values()))
+        assert got == {"": pytest.approx(best_of_all(positive[""], everything)), "en": pytest.approx(best_of_all(positive["en"], score["en"]))}
+        assert got["en"] == pytest.approx(best_threshold(positive["en"], score["en"]))
