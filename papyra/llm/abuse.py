@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +98,21 @@ class Classifier:
         filters = [r.normal(0, 1 / np.sqrt(w * DIMS), (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
         return Classifier(table, filters, np.zeros((len(WIDTHS), FILTERS), np.float32), np.abs(r.normal(0, 0.3, (len(WIDTHS), FILTERS))).astype(np.float32), -1.0, {})
 
-    def _parts(self, rows: np.ndarray) -> np.ndarray:
-        """(words, sum of widths x FILTERS): each word's share in every filter's response, for each place in the window."""
+    def _vectors(self, rows: np.ndarray) -> np.ndarray:
         vec = self.table[rows[:, 0]] + self.table[rows[:, 1]]
         vec[rows[:, 0] < 0] = 0
-        return vec @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], axis=1)
+        return vec
 
-    def _split(self, rows: np.ndarray) -> list[np.ndarray]:
-        """``_parts`` for each place of each width apart."""
-        parts = self._parts(rows)
-        return [np.ascontiguousarray(parts[:, c * FILTERS : (c + 1) * FILTERS]) for c in range(len(WINDOW))]
+    def _split(self, vec: np.ndarray) -> list[np.ndarray]:
+        """For each place of each width (words, FILTERS): each word's share in every filter's response there."""
+        return [vec @ f[o] for f in self.filters for o in range(len(f))]
+
+    def _state(self) -> list[np.ndarray]:
+        return [self.table, *self.filters, self.bias, self.weight]
 
     def scores(self, docs: list[np.ndarray], rows: np.ndarray, batch_words: int = 40_000) -> np.ndarray:
         """Scores of documents whose word numbers index ``rows``."""
-        split = self._split(rows)
+        split = self._split(self._vectors(rows))
         out, lo = np.zeros(len(docs)), 0
         while lo < len(docs):
             hi, n = lo, 0
@@ -131,16 +133,21 @@ class Classifier:
         """AdaGrad on the logistic loss, classes weighed alike up to a factor of 8. Table rows that fewer than ``least``
         documents use stay at zero: a word seen once or twice can only be learnt by heart."""
         r = np.random.default_rng(seed)
-        used, slot = np.zeros(len(self.table), np.int64), np.zeros(len(self.table), np.int64)
-        for d in docs:
-            own = rows[d].ravel()
-            slot[own] = np.arange(len(own))
-            used[own[slot[own] == np.arange(len(own))]] += 1
+        self.begin(uses(docs, rows), r, least)
+        return self.learn(docs, rows, y, epochs, r, self.fresh_sums(), class_weight(y), rate, decay)
+
+    def begin(self, used: np.ndarray, r: np.random.Generator, least: int = 3) -> Classifier:
         frequent = used >= least
         self.table[frequent] = r.normal(0, 0.25, (int(frequent.sum()), DIMS))
-        up = class_weight(y)
-        sums = [np.full_like(self.table, 1e-3), [np.full_like(f, 1e-3) for f in self.filters], np.full_like(self.bias, 1e-3), np.full_like(self.weight, 1e-3)]
-        base_sum = 1e-3
+        return self
+
+    def fresh_sums(self) -> list:
+        """Sums of squared gradients, in the order of the weights, the last of ``base``."""
+        return [np.full_like(self.table, 1e-3), [np.full_like(f, 1e-3) for f in self.filters], np.full_like(self.bias, 1e-3), np.full_like(self.weight, 1e-3), 1e-3]
+
+    def learn(self, docs: list[np.ndarray], rows: np.ndarray, y: np.ndarray, epochs: int, r: np.random.Generator, sums: list, up: float, rate: float = 0.05, decay: float = 3e-4) -> Classifier:
+        """Steps from where the weights and ``sums`` are; table rows at zero stay there."""
+        frequent = self.table.any(axis=1)
         number = np.zeros(len(rows), np.int64)
         for _ in range(epochs):
             order = r.permutation(len(docs))
@@ -151,9 +158,8 @@ class Classifier:
                 number[uniq] = np.arange(len(uniq))
                 inv = number[ids]
                 own = rows[uniq]
-                vec = self.table[own[:, 0]] + self.table[own[:, 1]]
-                vec[own[:, 0] < 0] = 0
-                split = self._split(own)
+                vec = self._vectors(own)
+                split = self._split(vec)
                 best = np.empty((len(pick), len(WIDTHS), FILTERS), np.float32)
                 at = np.empty((len(pick), len(WIDTHS), FILTERS), np.int64)
                 buffers = np.empty((2, len(ids), FILTERS), np.float32)
@@ -201,8 +207,8 @@ class Classifier:
                 self.bias -= rate * db / np.sqrt(sums[2])
                 sums[3] += dw * dw
                 self.weight = np.maximum(self.weight - rate * dw / np.sqrt(sums[3]), 0).astype(np.float32)
-                base_sum += float(dz.sum()) ** 2
-                self.base -= rate * float(dz.sum()) / np.sqrt(base_sum)
+                sums[4] += float(dz.sum()) ** 2
+                self.base -= rate * float(dz.sum()) / np.sqrt(sums[4])
         return self
 
 
@@ -218,6 +224,16 @@ def _windows(split: list[np.ndarray], ids: np.ndarray, k: int, buffers: np.ndarr
     return resp
 
 
+def uses(docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many documents use each table row."""
+    used, slot = np.zeros(ROWS + STEMS, np.int64), np.zeros(ROWS + STEMS, np.int64)
+    for d in docs:
+        own = rows[d].ravel()
+        slot[own] = np.arange(len(own))
+        used[own[slot[own] == np.arange(len(own))]] += 1
+    return used
+
+
 def class_weight(y: np.ndarray) -> float:
     """How much a positive document weighs in training."""
     return min(8.0, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())))
@@ -383,6 +399,10 @@ def labelled(documents: DataFrame, labels: DataFrame, max_labels: int | None = N
     return [r.text for r in rows], np.array([r.y for r in rows], np.int64), [r.lang or "" for r in rows], ids
 
 
+#: labelled documents as words
+WORDS = "doc_id long, lang string, y int, words binary"
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, lang, y -> doc_id, lang, y, words: both table rows of each word as one whole number."""
     lexicon = Lexicon()
@@ -397,16 +417,131 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([code[d].tobytes() for d in docs], pa.binary())], ["doc_id", "lang", "y", "words"])
 
 
+def numbered(codes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word numbers of documents, and the table rows of each word."""
+    known = np.zeros(0, np.int32)
+    for lo in range(0, len(codes), 5000):
+        known = np.unique(np.concatenate([known, *codes[lo : lo + 5000]]))
+    rows = np.concatenate([[[-1, -1]], np.stack([known // STEMS, ROWS + known % STEMS], 1)])
+    return [(np.searchsorted(known, d) + 1).astype(np.int32) for d in codes], rows
+
+
 def learnt(found: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, list[np.ndarray], np.ndarray]:
     """Ids, languages, labels and word numbers of all ``marked`` documents, by id, and the table rows of each word. Words are
     read where the texts are; the driver holds four bytes a word."""
-    t = found.mapInArrow(_encoded, "doc_id long, lang string, y int, words binary").toArrow()
+    return _gathered(found.mapInArrow(_encoded, WORDS))
+
+
+def _gathered(words: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, list[np.ndarray], np.ndarray]:
+    t = words.toArrow()
     order = np.argsort(t["doc_id"].to_numpy(), kind="stable")
-    codes = [np.frombuffer(x, np.int32) for x in t["words"].to_pylist()]
-    lang = t["lang"].to_pylist()
-    known = np.unique(np.concatenate([np.zeros(0, np.int32), *codes]))
-    rows = np.concatenate([[[-1, -1]], np.stack([known // STEMS, ROWS + known % STEMS], 1)])
-    return t["doc_id"].to_numpy()[order], [lang[i] or "" for i in order], t["y"].to_numpy()[order].astype(np.int64), [(np.searchsorted(known, codes[i]) + 1).astype(np.int32) for i in order], rows
+    codes, lang = [np.frombuffer(x, np.int32) for x in t["words"].to_pylist()], t["lang"].to_pylist()
+    docs, rows = numbered([codes[i] for i in order])
+    return t["doc_id"].to_numpy()[order], [lang[i] or "" for i in order], t["y"].to_numpy()[order].astype(np.int64), docs, rows
+
+
+# ---- labels that are too many for one task ----
+
+
+def _flat(m: Classifier, sums: list) -> np.ndarray:
+    return np.concatenate([np.ravel(x) for x in (*m._state(), m.base, sums[0], *sums[1], *sums[2:])]).astype(np.float32)
+
+
+def _unflat(flat: np.ndarray) -> tuple[Classifier, list]:
+    m = Classifier.fresh(0)
+    sums, at, out = m.fresh_sums(), 0, []
+    for x in (*m._state(), m.base, sums[0], *sums[1], *sums[2:]):
+        n = np.size(x)
+        out.append(flat[at : at + n].reshape(np.shape(x)).copy())
+        at += n
+    k = len(WIDTHS)
+    m.table, m.filters, m.bias, m.weight, m.base = out[0], out[1 : k + 1], out[k + 1], out[k + 2], float(out[k + 3])
+    return m, [out[k + 4], out[k + 5 : 2 * k + 5], out[2 * k + 5], out[2 * k + 6], float(out[2 * k + 7])]
+
+
+def _fold(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def _each_shard(table: DataFrame, work, parts: int) -> dict[int, tuple[float, np.ndarray]]:
+    """job -> (sum of n, mean by n of the arrays) of what ``work`` yields of each shard: (job, n, array). Sixteen sums of shards
+    a job are made first, so that no task holds many arrays."""
+    kind = "job long, part long, n double, out binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, keep, codes = [], [], [], []
+        for b in batches:
+            for out, column in ((ids, 0), (y, 2), (keep, 5)):
+                out += b.column(column).to_pylist()
+            codes += [np.frombuffer(x, np.int32) for x in b.column(3).to_pylist()]
+        if ids:
+            ids, y, keep = np.array(ids, np.int64), np.array(y, np.int64), np.array(keep, bool)
+            shard = TaskContext.get().partitionId()
+            docs, rows = numbered(codes)
+            for job in range(parts):
+                use = np.flatnonzero(keep & ((_fold(ids, parts) != job) | (parts == 1)))
+                if len(use):
+                    n, out = work(job, shard, [docs[i] for i in use], rows, y[use])
+                    yield pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([shard % 16], pa.int64()), pa.array([float(n)]), pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["job", "part", "n", "out"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        n, out = t["n"].to_numpy(), 0.0
+        for w, x in zip(n, t["out"]):
+            out = out + w / n.sum() * np.frombuffer(x.as_py(), np.float32)
+        return pa.table({"job": t["job"][:1], "part": t["part"][:1], "n": pa.array([n.sum()]), "out": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
+    some = table.mapInArrow(run, kind).groupBy("job", "part").applyInArrow(mean, kind)
+    rows = some.withColumn("part", F.lit(0).cast("long")).groupBy("job", "part").applyInArrow(mean, kind).collect()
+    return {r.job: (r.n, np.frombuffer(bytes(r.out), np.float32)) for r in rows}
+
+
+def train_in_shards(words: DataFrame, folds: tuple[int, int] = (3, 5), epochs: int = 6, seed: int = 5) -> tuple[Classifier, DataFrame]:
+    """As ``train``, of any number of documents: each task learns an epoch from its own ones, then all go on from the mean of
+    their weights. The second result is ``(doc_id, lang, y, held)``."""
+    spark = words.sparkSession
+    table = words.withColumns({"held": F.lit(0.0), "keep": F.lit(True)})
+
+    def count(job, shard, docs, rows, y):
+        return 1, np.concatenate([uses(docs, rows), [(y == 0).sum(), (y == 1).sum()]])
+
+    for parts in (*folds, 1):
+        counts = {job: n * x for job, (n, x) in _each_shard(table, count, parts).items()}
+        if parts == 1 and (not counts or 0 in counts[0][-2:]):
+            table = table.withColumn("keep", F.lit(True))
+            counts = {job: n * x for job, (n, x) in _each_shard(table, count, parts).items()}
+        states, ups = {}, {job: min(8.0, max(1.0, float(x[-2] / max(1, x[-1])))) for job, x in counts.items()}
+        for job, x in counts.items():
+            m = Classifier.fresh(seed + job).begin(np.round(x[:-2]), np.random.default_rng(seed + job))
+            states[job] = _flat(m, m.fresh_sums())
+        for turn in range(epochs + 2 * (parts == 1)):
+            told = spark.sparkContext.broadcast(states)
+
+            def learn(job, shard, docs, rows, y, told=told, turn=turn, ups=ups):
+                m, sums = _unflat(told.value[job])
+                m.learn(docs, rows, y, 1, np.random.default_rng([seed, job, shard, turn]), sums, ups[job])
+                return len(docs), _flat(m, sums)
+
+            states |= {job: x for job, (_, x) in _each_shard(table, learn, parts).items()}
+        if parts == 1:
+            break
+        told = spark.sparkContext.broadcast(states)
+
+        def judge(batches: Iterator[pa.RecordBatch], told=told, parts=parts) -> Iterator[pa.RecordBatch]:
+            models = {job: _unflat(x)[0] for job, x in told.value.items()}
+            for b in batches:
+                docs, rows = numbered([np.frombuffer(x, np.int32) for x in b.column(3).to_pylist()])
+                fold, y, held = _fold(b.column(0).to_numpy(), parts), b.column(2).to_numpy(), np.zeros(b.num_rows)
+                for job, m in models.items():
+                    own = np.flatnonzero(fold == job)
+                    held[own] = m.scores([docs[i] for i in own], rows)
+                keep = ~((y == 1) & (held < 0.2)) & ~((y == 0) & (held > 0.8))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(held), pa.array(keep)], ["doc_id", "lang", "y", "words", "held", "keep"])
+
+        table = stage(table.mapInArrow(judge, WORDS + ", held double, keep boolean"), "abuse-judged")
+    model, shift = _unflat(states[0])[0], float(np.log(ups[0]))
+    model.base -= shift
+    p = F.least(F.greatest("held", F.lit(1e-9)), F.lit(1 - 1e-9))
+    return model, table.select("doc_id", "lang", "y", (1 / (1 + F.exp(shift - F.ln(p / (1 - p))))).alias("held"))
 
 
 def _score(model):
@@ -428,7 +563,7 @@ class AbuseScores:
     """Scores of documents by a classifier trained on their human labels.
 
     ``documents``: doc_id, text, lang, source; ``labels``: doc_id, toxic (0, 1 or null; several rows of a document are votes).
-    Training uses every labelled document (or, if ``max_labels`` or ``max_bytes`` are given, as many, see ``marked``). Every
+    Training uses every labelled document, in shards if they hold more than ``gathered`` words (or, if ``max_labels`` or ``max_bytes`` are given, as many, see ``marked``). Every
     document is scored over its whole text, once, and thresholds are set on the held-out scores of the positives and on the
     scores of all documents (of those learnt from the held-out ones), for each language with ``least`` positives and for all
     together. A null or empty text scores as one without words; a null language uses the general threshold; rows with a null
@@ -437,24 +572,32 @@ class AbuseScores:
 
     KIND = "doc_id long, lang string, source string, score double"
 
-    def __init__(self, documents: DataFrame, labels: DataFrame, max_labels: int | None = None, max_bytes: int | None = None, least: int = 25):
+    def __init__(self, documents: DataFrame, labels: DataFrame, max_labels: int | None = None, max_bytes: int | None = None, least: int = 25, gathered: int = 16 << 20):
         spark = documents.sparkSession
-        ids, langs, y, docs, words = learnt(marked(documents, labels, max_labels, max_bytes)[0])
+        words = stage(marked(documents, labels, max_labels, max_bytes)[0].mapInArrow(_encoded, WORDS), "abuse-words")
+        told = words.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0), F.sum(F.octet_length("words") / 4)).first()
         rows = documents.select("doc_id", "lang", "source", "text").where("doc_id is not null")
-        either = len(y) and y.min() != y.max()
-        if either:
-            model, held = train(spark, docs, words, y)
+        own = None
+        if told[0] and told[1] and told[2] <= gathered:
+            ids, langs, y, docs, known = _gathered(words)
+            model, held = train(spark, docs, known, y)
+            own = spark.createDataFrame(pa.table({"doc_id": ids, "held": held}))
+            langs, held = np.array(langs, object)[y == 1], held[y == 1]
+        elif told[0] and told[1]:
+            files = max(8, int(told[2] // gathered) + 1)
+            model, own = train_in_shards(stage(words.repartition(files, "doc_id"), "abuse-shards"))
+            own = stage(own, "abuse-held")
+            t = own.where("y = 1").orderBy("doc_id").select("lang", "held").toArrow()
+            langs, held = np.array([x or "" for x in t["lang"].to_pylist()], object), t["held"].to_numpy()
         else:
             model = Classifier.fresh(0)
             model.weight[:] = 0
             model.base = -30.0
         scored = stage(rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), self.KIND), "abuse-scores")
         model.thresholds = {"": 1.1}
-        if either:
-            own = spark.createDataFrame(pa.table({"doc_id": ids, "held": held}))
-            corpus = scored.join(small_side(own), "doc_id", "left").select("lang", F.coalesce("held", "score").alias("score"))
-            langs = np.array(langs, object)
-            positive = {name: held[(y == 1) & ((langs == name) | (name == ""))] for name in ["", *sorted(set(langs) - {""})]}
+        if own is not None:
+            corpus = scored.join(small_side(own.select("doc_id", "held")), "doc_id", "left").select("lang", F.coalesce("held", "score").alias("score"))
+            positive = {name: held[(langs == name) | (name == "")] for name in ["", *sorted(set(langs) - {""})]}
             model.thresholds |= thresholds(corpus, {name: x for name, x in positive.items() if len(x) >= (least if name else 1)})
         self.model = model
         cut = F.lit(model.thresholds[""])

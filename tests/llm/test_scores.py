@@ -171,3 +171,11 @@ def test_thresholds_equal_the_best_of_all_cuts(frame):
         everything = np.concatenate(list(score.values()))
         assert got == {"": pytest.approx(best_of_all(positive[""], everything)), "en": pytest.approx(best_of_all(positive["en"], score["en"]))}
         assert got["en"] == pytest.approx(best_threshold(positive["en"], score["en"]))
+
+
+def test_labels_are_learnt_in_shards(frame):
+    docs = corpus(900, 1)
+    labels = [(i, int(bad)) for i, _, _, _, bad in docs[:500]]
+    a = AbuseScores(frame([(*d[:4], 1) for d in docs], TEXTS), frame(labels, LABELS), gathered=5000)
+    flagged, want = {x.doc_id for x in a.scores.where("flagged").collect()}, {d[0] for d in docs if d[4]}
+    assert len(flagged & want) / len(want) > 0.9 and len(flagged & want) / max(1, len(flagged)) > 0.9
