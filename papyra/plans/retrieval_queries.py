@@ -197,6 +197,11 @@ def _field_terms(spark, d):
     return q.select("qid", F.explode(F.array_distinct(_with_shingles(T.analyzed(F.col("text"))))).alias("term"))
 
 
+def _chunk_terms(spark, d):
+    """``(id, terms)`` of the chunks' texts, analysed once."""
+    return stage(_chunks(spark, d, "text").select("id", T.analyzed(F.col("text")).alias("terms")), "chunk-terms")
+
+
 def _field_index(spark, d, terms):
     t = T.analyzed(F.col("text"))
     fields = {"text": t, "shingle": F.concat(T.shingles(t, 2), T.shingles(t, 3)), "section": T.analyzed(F.col("section_title")), "headings": T.analyzed(F.array_join("headings", " ")), "model": F.transform("model_names", F.lower)}
@@ -210,8 +215,7 @@ def _phrases(spark, d):
 
 
 def _phrase_scores(spark, d, index):
-    docs = _chunks(spark, d, "text").select("id", T.analyzed(F.col("text")).alias("terms"))
-    return L.phrase_scores(docs, _phrases(spark, d), index, "text", 2)
+    return L.phrase_scores(_chunk_terms(spark, d), _phrases(spark, d), index.only("text").features.select("term", "idf"), 2)
 
 
 @query("lex_best_fields", _FIELDS + "SELECT qid, id, score, matched, rank FROM r WHERE rank <= 50")
@@ -223,7 +227,8 @@ def lex_best_fields(spark, d):
 
 @query("lex_phrase", _FIELDS + _PHRASE + "SELECT qid, id, phrase FROM ph")
 def lex_phrase(spark, d):
-    return _phrase_scores(spark, d, _field_index(spark, d, _field_terms(spark, d)))
+    docs, phrases = _chunk_terms(spark, d), _phrases(spark, d)
+    return L.phrase_scores(docs, phrases, L.inverse_frequencies(docs, phrases.select(F.explode("phrase").alias("term"))), 2)
 
 
 @query("lex_dis_max", _FIELDS + _PHRASE + """, m AS (SELECT coalesce(best.qid, ph.qid) AS qid, coalesce(best.id, ph.id) AS id, coalesce(score, 0) AS f, coalesce(phrase, 0) AS p FROM best FULL JOIN ph ON best.qid = ph.qid AND best.id = ph.id),

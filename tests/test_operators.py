@@ -153,6 +153,22 @@ def test_phrases(spark):
     assert df.select(L.phrase_frequency(F.lit(None).cast("array<string>"), F.col("t"), 1)).first()[0] == 0
 
 
+def test_phrase_is_looked_for_once(spark):
+    """Queries that share a phrase share one search, and the frequencies are those of ``phrase_frequency``."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([*[(i, r.choices("abcd", k=r.randint(0, 12))) for i in range(60)], (60, None)], "id long, terms array<string>")
+    phrases = [["a", "b"], ["a", "a"], ["c"], ["b", "c", "a"], ["a", "never"], []]
+    asked = spark.createDataFrame([(10 * n + i, p) for i, p in enumerate(phrases) for n in range(3)], "qid long, phrase array<string>")
+    idf = L.inverse_frequencies(docs, asked.select(F.explode("phrase").alias("term")))
+    _, hits = L.phrase_hits(docs, asked, idf, 2)
+    assert hits.groupBy("pno", "id").count().where("count > 1").count() == 0 and hits.select("pno").distinct().count() == 4
+    got = {(x.qid, x.id): x.phrase for x in L.phrase_scores(docs, asked, idf, 2).collect()}
+    known = {x.term: x.idf for x in idf.collect()}
+    every = asked.crossJoin(docs).select("qid", "id", "phrase", L.phrase_frequency(F.col("terms"), F.col("phrase"), 2).alias("f")).where("f > 0").collect()
+    want = {(x.qid, x.id): sum(known[w] for w in set(x.phrase)) * x.f * 2.2 / (x.f + 1.2) for x in every}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def test_fields_and_clauses(spark):
     df = spark.sql("select array('we','treat','it') t, 3.0D a, 1.0D b, cast(null as double) c")
     assert df.select(L.best_field(0.2, F.col("a"), F.col("b"), F.col("c"))).first()[0] == pytest.approx(3.2)
