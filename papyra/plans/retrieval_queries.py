@@ -302,7 +302,7 @@ UNION ALL SELECT query_id, f.id, 0.0::DOUBLE, f.rank FROM query_specs, f WHERE q
 def lex_fallback(spark, d):
     """Five documents that hold every boosted keyword; a question without one gets the first five documents."""
     terms = _boosted(spark, d)
-    hits = L.text_index(_docs(spark, d), terms).every(terms).select("qid", "id", F.col("matched").cast("double").alias("score"))
+    hits = L.text_index(_docs(spark, d), terms).every(terms, first=5).select("qid", "id", F.col("matched").cast("double").alias("score"))
     return L.with_fallback(stage(L.top_per_query(hits, 5, "id"), "lexical-fallback"), _questions(spark, d), _docs(spark, d), 5)
 
 
