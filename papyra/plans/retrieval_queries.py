@@ -273,11 +273,11 @@ SELECT k.qid, k.id, round(1 + coalesce(h.score, 0), 6) AS score FROM k LEFT JOIN
 def lex_bool(spark, d):
     """Every boosted keyword must be there (1 point), the question's terms add their score, and the source must be known."""
     must, terms = _boosted(spark, d), L.query_terms(_questions(spark, d))
-    index = L.text_index(_docs(spark, d), must.unionByName(terms))
-    held = index.every(must).select("qid", "id", F.lit(1.0).alias("must"))
-    rows = held.join(index.scored(terms, held).select("qid", "id", F.nullif("score", F.lit(0.0)).alias("should")), ["qid", "id"], "left")
-    rows = rows.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
-    return L.bool_query(rows, ["must"], ["should"], F.col("source").isNotNull()).select("qid", "id", "score")
+    # the statistics are those of all documents
+    known = table(spark, d, "documents").where("source is not null").select(F.col("doc_id").alias("id"))
+    held = L.text_index(_docs(spark, d), must.unionByName(terms)).among(known).every(must, scored=terms)
+    rows = held.select("qid", "id", F.lit(1.0).alias("must"), F.nullif("score", F.lit(0.0)).alias("should"))
+    return L.bool_query(rows, ["must"], ["should"]).select("qid", "id", "score")
 
 
 @query("lex_highlight", rf"""
