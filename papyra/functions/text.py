@@ -1,4 +1,4 @@
-"""Text functions: Column in, Column out, evaluated in the JVM (but for ``token_spans``).
+"""Text functions: Column in, Column out, evaluated in the JVM (but for ``token_spans`` and ``window_spans``).
 
 Patterns use ASCII classes, so that they mean the same to every SQL engine.
 """
@@ -173,6 +173,32 @@ def token_spans(c: pd.Series) -> pd.Series:
     return c.map(one)
 
 
+def window_spans(c: Column, size: int, overlap: int, least: int) -> Column:
+    """array<struct<start, end, tokens>>: where each window of ``size`` tokens starts and ends and how many it has, as
+    ``chunking.token_windows`` cuts them. Null for null.
+
+    Only the windows leave the worker, and no text's tokens are kept beside another's."""
+    step = size - overlap
+
+    def one(x: str | None) -> list[dict] | None:
+        if x is None:
+            return None
+        at = [m.span() for m in _TOKEN.finditer(x)]
+        n = len(at)
+        if not n:
+            return []
+        last = max(0, -(-(n - size) // step))
+        # the last window is left out where it is too short
+        last -= last > 0 and n - last * step < least
+        return [{"start": at[k * step][0], "end": at[min(k * step + size, n) - 1][1], "tokens": min(size, n - k * step)} for k in range(last + 1)]
+
+    @F.pandas_udf("array<struct<start:int,end:int,tokens:int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return spans(c)
+
+
 def strip_stop_words(c: Column) -> Column:
     """The text's words other than stop words, or the text itself if none is left."""
     kept = F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9']+)"), 1), lambda w: ~w.isin(STOP_WORDS))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.functions.text import HEADING_NUMBER, heading, model_names, normalised_terms, question_line, strip, token_spans
+from papyra.functions.text import HEADING_NUMBER, heading, model_names, normalised_terms, question_line, strip, window_spans
 from papyra.models import Embedder, TextModel, embed, generated
 from papyra.operators.chunking import balanced_parts, near_heading, page_at, sentence_groups
 from papyra.sources.index import create_index, upsert
@@ -23,20 +23,22 @@ def sections(text: Column, given: Column, fallback: str = "Body") -> Column:
     lines that read as headings, numbered ones one level deeper for each point; else one section ``fallback``."""
     titled = F.filter(given, lambda s: F.coalesce(strip(s["title"]), F.lit("")) != "")
     own = F.transform(titled, lambda s: F.struct(F.coalesce(s["start"], F.lit(0)).cast("int").alias("start"), strip(s["title"]).alias("title"), F.coalesce(F.nullif(s["level"], F.lit(0)), F.lit(1)).cast("int").alias("level")))
+    number = lambda x: F.regexp_extract(strip(x), HEADING_NUMBER, 1)
+    points = lambda x: F.length(strip(x)) - F.length(F.replace(strip(x), F.lit("."), F.lit("")))
+    mined = lambda x: F.struct(x["at"].alias("start"), strip(F.regexp_replace(strip(x["line"]), ":+$", "")).alias("title"), F.when(number(x["line"]) != "", points(x["line"]) + 1).otherwise(1).cast("int").alias("level"))
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(fallback).alias("title"), F.lit(1).alias("level"))).cast(SECTION)
+    named = lambda out: F.when(F.size(out) > 0, F.transform(out, mined).cast(SECTION)).otherwise(one)
     lines = F.split(text, "\n")
     # each line with the length of all lines before it
     walked = F.aggregate(
         lines,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("out")),
         lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.when(heading(x), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), x.alias("line"))))).otherwise(s["out"]).alias("out")),
-        lambda s: s["out"],
+        lambda s: named(s["out"]),
     )
-    number = lambda x: F.regexp_extract(strip(x), HEADING_NUMBER, 1)
-    points = lambda x: F.length(strip(x)) - F.length(F.replace(strip(x), F.lit("."), F.lit("")))
-    mined = F.transform(walked, lambda x: F.struct(x["at"].alias("start"), strip(F.regexp_replace(strip(x["line"]), ":+$", "")).alias("title"), F.when(number(x["line"]) != "", points(x["line"]) + 1).otherwise(1).cast("int").alias("level")))
-    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(fallback).alias("title"), F.lit(1).alias("level"))).cast(SECTION)
-    found = F.when(F.size(own) > 0, own.cast(SECTION)).when(F.size(mined) > 0, mined.cast(SECTION)).otherwise(one)
-    return F.array_sort(found, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    # lines come in order; the walk stands here once, as Spark evaluates such an expression wherever it stands
+    given_first = F.array_sort(own.cast(SECTION), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return F.when(F.size(own) > 0, given_first).otherwise(walked)
 
 
 def enriched_chunks(docs: DataFrame, size: int = 512, overlap: int = 128, least: int = 40, reach: int = 400) -> DataFrame:
@@ -47,18 +49,11 @@ def enriched_chunks(docs: DataFrame, size: int = 512, overlap: int = 128, least:
     within ``reach`` characters after a heading), page_num, model_names, keyword_key, prev_chunk_id, next_chunk_id.
     Windows follow in closed form from the number of tokens; links do too, so that no document is ordered as one group.
     Null ids and texts without tokens give no rows."""
-    step = size - overlap
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap from 0 to less than size")
-    d = docs.where("id is not null and text is not null").select("id", "text", "sections", "pages", token_spans(F.col("text")).alias("t")).where("size(t) > 0")
-    n = F.size("t")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
-    # the last window is left out where it is too short
-    kept = F.when((last > 0) & (n - last * step < least), last - 1).otherwise(last)
-    w = d.withColumn("most", kept).withColumn("chunk_id", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    lo = F.col("chunk_id") * step
-    hi = F.least(lo + size, F.size("t"))
-    w = w.select("id", "text", "sections", "pages", "most", "chunk_id", F.get("t", lo)["start"].alias("char_start"), F.get("t", hi - 1)["end"].alias("char_end"), (hi - lo).alias("token_count"))
+    d = docs.where("id is not null and text is not null").select("id", "text", "sections", "pages", window_spans(F.col("text"), size, overlap, least).alias("t"))
+    w = d.select("id", "text", "sections", "pages", (F.size("t") - 1).alias("most"), F.posexplode("t").alias("chunk_id", "w"))
+    w = w.select("id", "text", "sections", "pages", "most", "chunk_id", F.col("w.start").alias("char_start"), F.col("w.end").alias("char_end"), F.col("w.tokens").alias("token_count"))
     at = F.col("char_start")
     before = F.filter("sections", lambda s: s["start"] <= at)
     here = F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise(F.get("sections", F.lit(0)))

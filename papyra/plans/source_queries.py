@@ -197,7 +197,7 @@ c AS (SELECT id, k, len(list_transform(regexp_extract_all(lower(array_to_string(
 SELECT id || '#' || lpad(k::VARCHAR, 4, '0') AS id, keys::INT AS n_keys, true AS text_is_the_span, true AS section_is_the_last_before FROM c""")
 def chunk_enriched(spark, d):
     """Each window's keywords, and whether its text is what its offsets name and its section the last that starts before it."""
-    docs = _documents(spark, d)
+    docs = stage(_documents(spark, d), "sectioned")  # its sections are read on both sides of the join
     c = ingest.enriched_chunks(docs, 64, 16, 8)
     j = c.join(docs.select(F.col("id").alias("doc_id"), F.col("text").alias("whole"), "sections"), "doc_id")
     last = F.element_at(F.filter("sections", lambda s: s["start"] <= F.col("char_start")), -1)

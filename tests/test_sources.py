@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra import models
+from papyra.functions.text import window_spans
 from papyra.models import HashEmbedder, VectorCache, device, once, timed
 from papyra.operators import ingest
+from papyra.operators.chunking import token_windows
 from papyra.sources import index as I
 from papyra.sources import papers as S
 from papyra.sources.tei import read_tei, tei_sentences
@@ -143,6 +145,16 @@ def test_enriched_chunks_and_odd_texts(spark):
     assert "GraphNet" in got["d#0001"].model_names or "GraphNet" in a.model_names
 
 
+@pytest.mark.parametrize("size,overlap,least", [(4, 1, 1), (4, 1, 3), (64, 16, 8), (1, 0, 1)])
+def test_window_spans_equal_the_tokens(spark, size, overlap, least):
+    """Only a few numbers a window leave the worker, and they name what ``token_windows`` cuts."""
+    docs = spark.createDataFrame([(n, "  ".join(f"w\u00e9{i}" for i in range(n)) + " ") for n in (0, 1, 3, 4, 5, 7, 8, 64, 70, 300)] + [(999, None)], "id long, text string")
+    w = docs.select("id", "text", F.posexplode(window_spans(F.col("text"), size, overlap, least)).alias("chunk", "w"))
+    got = {(r.id, r.chunk): (r.tokens, r.cut.split()) for r in w.select("id", "chunk", "w.tokens", F.substring("text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("cut")).collect()}
+    want = {(r.id, r.chunk): (r.token_end - r.token_start, r.text.split()) for r in token_windows(docs, size, overlap, least).collect()}
+    assert got == want
+
+
 def test_tei_files_become_a_sentence_index(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text("<TEI xmlns='x'><p>Before.</p><head>One</head><p>First one. Second one.</p></TEI>")
