@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 log = logging.getLogger("papyra")
 T = TypeVar("T")
@@ -122,14 +123,17 @@ def relevance_prompt(question: Column, title: Column, abstract: Column) -> Colum
     return F.concat(F.lit("Question: "), question, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nAbstract: "), F.coalesce(abstract, F.lit("")), F.lit("\nSay in two sentences why this paper is relevant to the question."))
 
 
-def embed(df: DataFrame, key: str, text: str, factory: Callable[[], Embedder], batch: int = 16) -> DataFrame:
-    """``(key, vector)``: L2-normalised vectors, ``batch`` texts a call. Null texts embed as empty ones."""
-    kind = dict(df.dtypes)[key]
+def embed(df: DataFrame, key: str, text: str, factory: Callable[[], Embedder], batch: int = 16, keep: bool = False) -> DataFrame:
+    """``(key, vector)``: L2-normalised vectors, ``batch`` texts a call. Null texts embed as empty ones. With ``keep`` the rows
+    as they are, with their ``vector``, so that nothing has to be joined."""
+    rows = df if keep else df.select(key, text)
+    place, n = rows.columns.index(text), len(rows.columns) if keep else 1
+    schema = t.StructType([*rows.schema.fields[:n], t.StructField("vector", t.ArrayType(t.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [x or "" for x in b.column(place).to_pylist()]
             parts = [np.asarray(model.encode(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
             if not parts:
                 continue
@@ -137,9 +141,9 @@ def embed(df: DataFrame, key: str, text: str, factory: Callable[[], Embedder], b
             if len(v) != len(texts):
                 raise ValueError(f"{len(v)} vectors for {len(texts)} texts")
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(v), pa.list_(pa.float32()))], [key, "vector"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(list(v), pa.list_(pa.float32()))], schema.names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<float>")
+    return rows.mapInArrow(run, schema)
 
 
 def cross_scored(df: DataFrame, query: str, text: str, factory: Callable[[], PairScorer], batch: int = 16) -> DataFrame:

@@ -12,6 +12,7 @@ from papyra.models import Embedder, TextModel, embed, generated
 from papyra.operators.chunking import balanced_parts, near_heading, page_at, sentence_groups
 from papyra.sources.index import create_index, upsert
 from papyra.sources.tei import read_tei
+from papyra.storage import stage
 
 SECTION = "array<struct<start:int,title:string,level:int>>"
 #: header score of a chunk that starts near no heading (fixed value)
@@ -70,9 +71,8 @@ def enriched_chunks(docs: DataFrame, size: int = 512, overlap: int = 128, least:
 
 def index_documents(spark: SparkSession, path: str, docs: DataFrame, factory: Callable[[], Embedder], generation: str, **windows: int) -> None:
     """Chunk, embed and add documents to an index; a vector for each text, or an error."""
-    chunks = enriched_chunks(docs, **windows)
-    vectors = embed(chunks.select("id", "text"), "id", "text", factory)
-    upsert(spark, path, chunks.join(vectors, "id"), generation)
+    # written once, with the vectors: the checks and the index read them again
+    upsert(spark, path, stage(embed(enriched_chunks(docs, **windows), "id", "text", factory, keep=True), "embedded-chunks"), generation)
 
 
 def index_sentences(spark: SparkSession, path: str, sentences: DataFrame, factory: Callable[[], Embedder], recreate: bool = False) -> None:

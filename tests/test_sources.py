@@ -155,6 +155,30 @@ def test_window_spans_equal_the_tokens(spark, size, overlap, least):
     assert got == want
 
 
+def test_documents_are_cut_and_embedded_once(spark, tmp_path):
+    """Every chunk is embedded once, and none is cut again to be checked or joined."""
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(HashEmbedder):
+        def encode(self, texts):
+            seen.add(len(texts))
+            return super().encode(texts)
+
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        cuts.add(1)
+        return x
+
+    none = F.lit(None).cast("array<struct<title:string,start:int,level:int>>")
+    docs = spark.createDataFrame([(f"d{i}", "One two three four. " * (i + 1)) for i in range(5)], "id string, text string").select("id", counted.asNondeterministic()("text").alias("text"))
+    docs = docs.select("id", "text", ingest.sections(F.col("text"), none).alias("sections"), F.lit(None).cast("array<struct<page:int,start:int,end:int>>").alias("pages"))
+    ingest.index_documents(spark, str(tmp_path / "ix"), docs, lambda: Counting(8), "a", size=4, overlap=0, least=1)
+    rows = I.load_index(spark, str(tmp_path / "ix")).collect()
+    assert len(rows) == 15 == seen.value and cuts.value == 5 and all(len(r.vector) == 8 for r in rows)
+
+
 def test_tei_files_become_a_sentence_index(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.xml").write_text("<TEI xmlns='x'><p>Before.</p><head>One</head><p>First one. Second one.</p></TEI>")
