@@ -202,11 +202,19 @@ def _chunk_terms(spark, d):
     return stage(_chunks(spark, d, "text").select("id", T.analyzed(F.col("text")).alias("terms")), "chunk-terms")
 
 
-def _field_index(spark, d, terms):
-    t = T.analyzed(F.col("text"))
-    fields = {"text": t, "shingle": F.concat(T.shingles(t, 2), T.shingles(t, 3)), "section": T.analyzed(F.col("section_title")), "headings": T.analyzed(F.array_join("headings", " ")), "model": F.transform("model_names", F.lower)}
+def _chunk_fields(spark, d):
+    """``(id, text, section, headings, model)``: the terms of the chunks' fields, analysed once."""
     c = _chunks(spark, d, "text", "section_title", "headings", "model_names")
-    return L.LexicalIndex.build(c, terms, {k: (v, L.CHUNK_BOOSTS[k]) for k, v in fields.items()})
+    fields = {"text": T.analyzed(F.col("text")), "section": T.analyzed(F.col("section_title")), "headings": T.analyzed(F.array_join("headings", " ")), "model": F.transform("model_names", F.lower)}
+    return stage(c.select("id", *[v.alias(k) for k, v in fields.items()]), "chunk-fields")
+
+
+def _field_index(chunks, terms):
+    """Index of the fields that ``_chunk_fields`` gives."""
+    fields = {k: F.col(k) for k in L.CHUNK_BOOSTS if k != "shingle"}
+    t = fields["text"]
+    fields = {"text": t, "shingle": F.concat(T.shingles(t, 2), T.shingles(t, 3)), **fields}
+    return L.LexicalIndex.build(chunks, terms, {k: (v, L.CHUNK_BOOSTS[k]) for k, v in fields.items()})
 
 
 def _phrases(spark, d):
@@ -214,15 +222,18 @@ def _phrases(spark, d):
     return q.select("qid", F.slice("t", -2, 2).alias("phrase"))
 
 
-def _phrase_scores(spark, d, index):
-    return L.phrase_scores(_chunk_terms(spark, d), _phrases(spark, d), index.only("text").features.select("term", "idf"), 2)
+def _phrase_hits(spark, d, chunks, index):
+    """As ``lexical.phrase_hits``: the questions' phrases by number, and their scores in the chunks."""
+    idf = index.only("text").features.select("term", "idf")
+    asked, hits = L.phrase_hits(chunks.select("id", F.col("text").alias("terms")), _phrases(spark, d), idf, 2)
+    return asked, stage(hits, "phrase-hits")
 
 
 @query("lex_best_fields", _FIELDS + "SELECT qid, id, score, matched, rank FROM r WHERE rank <= 50")
 def lex_best_fields(spark, d):
     """BM25 in five boosted fields of the chunks: the best field plus 0.2 of the others."""
     terms = _field_terms(spark, d)
-    return _field_index(spark, d, terms).top(terms, 50, 0.2)
+    return _field_index(_chunk_fields(spark, d), terms).top(terms, 50, 0.2)
 
 
 @query("lex_phrase", _FIELDS + _PHRASE + "SELECT qid, id, phrase FROM ph")
@@ -239,9 +250,10 @@ def lex_dis_max(spark, d):
 
 
 def _dis_max(spark, d, k):
-    terms = _field_terms(spark, d)
-    index = _field_index(spark, d, terms)
-    phrase = stage(_phrase_scores(spark, d, index), "phrase-scores")
+    terms, chunks = _field_terms(spark, d), _chunk_fields(spark, d)
+    index = _field_index(chunks, terms)
+    asked, hits = _phrase_hits(spark, d, chunks, index)
+    phrase = stage(hits.join(small_side(asked), "pno").select("qid", "id", "phrase"), "phrase-scores")
     # a chunk without the phrase is among the k best only if it is so by its fields
     fields = index.top(terms, k, 0.2).select("qid", "id").unionByName(phrase.select("qid", "id"))
     rows = index.scored(terms, fields, 0.2).join(phrase, ["qid", "id"], "left")
@@ -253,7 +265,7 @@ def _dis_max(spark, d, k):
 def lex_function_score(spark, d):
     """The fifty best chunks by field, their scores raised by the header score."""
     terms = _field_terms(spark, d)
-    hits = _field_index(spark, d, terms).top(terms, 50, 0.2)
+    hits = _field_index(_chunk_fields(spark, d), terms).top(terms, 50, 0.2)
     return L.function_score(hits.join(_chunks(spark, d, "header_score"), "id"), "header_score").select("qid", "id", "score")
 
 
@@ -261,9 +273,11 @@ def lex_function_score(spark, d):
 SELECT qid, id, round(CASE WHEN rank <= 200 THEN score + 2 * phrase ELSE score END, 6) AS new_score, row_number() OVER (PARTITION BY qid ORDER BY (rank > 200)::INT, CASE WHEN rank <= 200 THEN -round(score + 2 * phrase, 6) ELSE rank END, rank) AS new_rank FROM win""")
 def lex_rescore(spark, d):
     """Of 250 hits the first 200 are ordered again by their score plus twice the phrase's."""
-    terms = _field_terms(spark, d)
-    index = _field_index(spark, d, terms)
-    top = index.top(terms, 250, 0.2).join(_phrase_scores(spark, d, index), ["qid", "id"], "left").fillna(0.0, ["phrase"])
+    terms, chunks = _field_terms(spark, d), _chunk_fields(spark, d)
+    index = _field_index(chunks, terms)
+    asked, hits = _phrase_hits(spark, d, chunks, index)
+    # the phrase's score is looked up for the hits alone
+    top = index.top(terms, 250, 0.2).join(small_side(asked), "qid", "left").join(hits, ["pno", "id"], "left").fillna(0.0, ["phrase"])
     return L.rescored(top, 200, "phrase").select("qid", "id", "new_score", "new_rank")
 
 

@@ -212,6 +212,17 @@ def test_bool_query(spark):
     assert ids(L.bool_query(df, ["m"], ["s"], F.col("id") > 1, 1)) == {3: 3.0}
 
 
+def test_rescoring_analyses_chunks_once_and_looks_phrases_up(spark, monkeypatch):
+    """The phrases' scores are kept by phrase and chunk, never for every query that shares a phrase."""
+    from papyra.plans import retrieval_queries as R
+
+    staged = []
+    monkeypatch.setattr(R, "stage", lambda df, label, real=R.stage: staged.append((label, df.columns)) or real(df, label))
+    df = R.lex_rescore(spark, "/root/testdata/sf0.001")
+    assert [label for label, _ in staged] == ["chunk-fields", "phrase-hits"] and staged[1][1] == ["pno", "id", "phrase"]
+    assert df.count() == df.select("qid", "id").distinct().count() > 0
+
+
 def test_rescored_window(spark):
     df = spark.createDataFrame([(0, i, 10.0 - i, i, 1.0 if i == 3 else 0.0) for i in range(1, 6)], "qid long, id long, score double, rank int, p double")
     got = [r.id for r in L.rescored(df, 3, "p").orderBy("new_rank").collect()]
