@@ -252,13 +252,7 @@ def lex_dis_max(spark, d):
 def _dis_max(spark, d, k):
     terms, chunks = _field_terms(spark, d), _chunk_fields(spark, d)
     index = _field_index(chunks, terms)
-    asked, hits = _phrase_hits(spark, d, chunks, index)
-    phrase = stage(hits.join(small_side(asked), "pno").select("qid", "id", "phrase"), "phrase-scores")
-    # a chunk without the phrase is among the k best only if it is so by its fields
-    fields = index.top(terms, k, 0.2).select("qid", "id").unionByName(phrase.select("qid", "id"))
-    rows = index.scored(terms, fields, 0.2).join(phrase, ["qid", "id"], "left")
-    score = F.round(L.best_field(0.1, F.col("score"), F.col("phrase")) + 1e-9, 6)  # halves of the last digit go up on every engine
-    return L.top_per_query(rows.select("qid", "id", score.alias("score")), k)
+    return index.top_with_phrases(terms, *_phrase_hits(spark, d, chunks, index), k, 0.2, 0.1)
 
 
 @query("lex_function_score", _FIELDS + "SELECT r.qid, r.id, round(r.score + coalesce(header_score, 0), 6) AS score FROM r JOIN c USING (id) WHERE rank <= 50")

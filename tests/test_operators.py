@@ -152,7 +152,7 @@ def test_conjunctions_go_on_in_bounded_parts(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_ROWS", 50)
     fs = pa.array([[1, 2]] * 40, pa.list_(pa.int64()))
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), fs, pa.array([[1.0, 0.5]] * 40)], ["id", "fs", "ws"])
-    one = L._Asked([np.array([2])], [np.array([1]), np.array([2])])
+    one = L._Asked([np.array([2])], [np.array([1]), np.array([2])], np.array([], np.int64))
     asked = SimpleNamespace(value=dict.fromkeys(range(20), one))
     parts = list(L._matcher(asked, None, 1.0)([batch]))
     assert sum(p.num_rows for p in parts) == 800 and max(p.num_rows for p in parts) < 50 + 40
@@ -198,6 +198,25 @@ def test_phrase_is_looked_for_once(spark):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_best_documents_by_fields_and_phrase(spark):
+    """As if every document were scored by its fields and its phrase."""
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, r.choices(words, weights=[1 / (j + 1) for j in range(12)], k=r.randint(2, 25))) for i in range(300)], "id long, terms array<string>")
+    asked = [(q, r.choices(words, k=4)) for q in range(20)] + [(20, ["w3"]), (21, ["w1", "w2"]), (22, ["w1", "w2"])]
+    q = spark.createDataFrame(asked, "qid long, t array<string>")
+    terms = q.select("qid", F.explode(F.array_distinct("t")).alias("term"))
+    phrases = q.where("size(t) > 1").select("qid", F.slice("t", -2, 2).alias("phrase"))
+    index = L.LexicalIndex.build(docs, terms, {"text": (F.col("terms"), 1.0)})
+    idf = index.features.select("term", "idf")
+    got = index.top_with_phrases(terms, *L.phrase_hits(docs, phrases, idf, 2), 5, 0.2, 0.1)
+    every = index.scored(terms, q.select("qid").crossJoin(docs.select("id")), 0.2).where("matched > 0")
+    whole = every.join(L.phrase_scores(docs, phrases, idf, 2), ["qid", "id"], "left")
+    want = L.top_per_query(whole.select("qid", "id", F.round(L.best_field(0.1, F.col("score"), F.col("phrase")) + 1e-9, 6).alias("score")), 5)
+    key = lambda df: sorted((x.qid, x.rank, x.id, x.score) for x in df.collect())
+    assert key(got) == key(want) and whole.where("phrase > score").count() > 0
+
+
 def test_fields_and_clauses(spark):
     df = spark.sql("select array('we','treat','it') t, 3.0D a, 1.0D b, cast(null as double) c")
     assert df.select(L.best_field(0.2, F.col("a"), F.col("b"), F.col("c"))).first()[0] == pytest.approx(3.2)
